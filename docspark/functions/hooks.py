@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import col, index_tokens, model_summary_input, model_summary_output, fallback_summary, words
+from .text import col, index_tokens, let, model_summary_input, model_summary_output, fallback_summary, words
 
 Encoder = Callable[[Column], Column]
 DIMENSIONS = 64
@@ -27,19 +27,22 @@ def hash_encoder(text) -> Column:
         words(text),
         lambda t: F.conv(F.substring(F.md5(t), 1, 2), 16, 10).cast("int") % 128,
     )
-    sums = F.transform(
-        F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)),
-        lambda b: (F.size(F.filter(codes, lambda c: c == b))
-                   - F.size(F.filter(codes, lambda c: c == b + DIMENSIONS))).cast("double"),
-    )
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(sums, lambda x: x / norm)).otherwise(sums)
+
+    def count(cs, b):
+        return F.size(F.filter(cs, lambda c: c == b)) - F.size(F.filter(cs, lambda c: c == b + DIMENSIONS))
+
+    def scale(v):
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return let(norm, lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
+
+    buckets = F.sequence(F.lit(0), F.lit(DIMENSIONS - 1))
+    return let(let(codes, lambda cs: F.transform(buckets, lambda b: count(cs, b).cast("double"))), scale)
 
 
 def overlap_scorer(query, text) -> Column:
     """M2: share of the query's distinct words found in the text."""
-    q = F.array_distinct(words(query))
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, words(text))) / F.size(q)).otherwise(F.lit(0.0))
+    return let(F.array_distinct(words(query)), lambda q: F.when(
+        F.size(q) > 0, F.size(F.array_intersect(q, words(text))) / F.size(q)).otherwise(F.lit(0.0)))
 
 
 def summarize(text, summarizer: Encoder | None = None) -> Column:

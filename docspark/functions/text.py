@@ -60,6 +60,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c) -> Column:
     return F.btrim(col(c), F.lit(SPACE_CHARS))
 
@@ -141,16 +146,14 @@ def overview_sentence(c, head_chars: int | None = None) -> Column:
 
 
 def fallback_summary(c) -> Column:
-    snippet = collapse(c)
-    sents = plain_sentences(snippet, 15)
-    return F.when(F.size(sents) > 0, F.array_join(F.slice(sents, 1, 3), " ")).otherwise(
-        ellipsis(snippet, 300, mark="...")
-    )
+    return let(collapse(c), lambda snippet: let(
+        F.array_join(F.slice(plain_sentences(snippet, 15), 1, 3), " "),
+        lambda lead: F.when(lead != "", lead).otherwise(ellipsis(snippet, 300, mark="..."))))
 
 
 def short_summary(c, head_chars: int | None = None) -> Column:
     sents = plain_sentences(head(c, head_chars), 20)
-    return ellipsis(F.array_join(F.slice(sents, 1, 2), " "), 280, 277)
+    return let(F.array_join(F.slice(sents, 1, 2), " "), lambda lead: ellipsis(lead, 280, 277))
 
 
 def lead_summary(c, max_words: int = 20) -> Column:
@@ -160,13 +163,13 @@ def lead_summary(c, max_words: int = 20) -> Column:
         F.transform(F.split(strip(c), "[.!?]+"), strip),
         lambda s: (F.length(s) >= 5) & ~F.lower(s).rlike("^(abstract|summary|contents):"),
     )
-    fits = F.aggregate(
-        sents,
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"), F.lit(False).alias("over")),
-        lambda a, s: _lead_step(a, F.size(F.split(s, SPACE + "+")), max_words),
-    )
-    lead = F.array_join(F.slice(sents, 1, fits["n"]), ". ")
-    return F.when(lead != "", F.concat(lead, F.lit("."))).otherwise(F.substring(c, 1, 100))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"), F.lit(False).alias("over"))
+
+    def lead(ss):
+        fits = F.aggregate(ss, start, lambda a, s: _lead_step(a, F.size(F.split(s, SPACE + "+")), max_words))
+        return F.array_join(F.slice(ss, 1, fits["n"]), ". ")
+
+    return let(let(sents, lead), lambda x: F.when(x != "", F.concat(x, F.lit("."))).otherwise(F.substring(c, 1, 100)))
 
 
 def _lead_step(a: Column, n_words: Column, budget: int) -> Column:
@@ -190,30 +193,31 @@ def model_summary_output(c) -> Column:
 def key_insights(c, n: int = 5, head_chars: int | None = None) -> Column:
     """The n sentences with most signal words, ties in text order; without any signal
     the first n sentences."""
-    sents = plain_sentences(collapse(head(F.coalesce(col(c), F.lit("")), head_chars)), 40)
     flag = "(?iU)"
-    scored = F.filter(
-        F.transform(
-            sents,
-            lambda s, i: F.struct(
-                (-(F.regexp_count(s, F.lit(flag + K.SCIENTIFIC_SIGNAL)) * 2
-                   + F.regexp_count(s, F.lit(flag + K.POLICY_SIGNAL)))).alias("rank"),
-                i.alias("pos"),
-                s.alias("s"),
-            ),
-        ),
-        lambda x: x["rank"] < 0,
-    )
-    best = F.transform(F.sort_array(scored), lambda x: x["s"])
-    pool = F.slice(F.when(F.size(best) > 0, best).otherwise(sents), 1, n)
-    return F.transform(pool, lambda s: ellipsis(s, 300))
+
+    def score(s):
+        return (F.regexp_count(s, F.lit(flag + K.SCIENTIFIC_SIGNAL)) * 2
+                + F.regexp_count(s, F.lit(flag + K.POLICY_SIGNAL)))
+
+    def pick(sents):
+        scored = F.filter(
+            F.transform(sents, lambda s, i: F.struct((-score(s)).alias("rank"), i.alias("pos"), s.alias("s"))),
+            lambda x: x["rank"] < 0)
+        best = F.transform(F.slice(F.sort_array(scored), 1, n), lambda x: x["s"])
+        return let(best, lambda b: F.when(F.size(b) > 0, b).otherwise(F.slice(sents, 1, n)))
+
+    sents = plain_sentences(collapse(head(F.coalesce(col(c), F.lit("")), head_chars)), 40)
+    return F.transform(let(sents, pick), lambda s: ellipsis(s, 300))
 
 
 def key_findings(c, n: int = 3, head_chars: int | None = None) -> Column:
+    def pick(sents):
+        high = F.slice(F.filter(sents, lambda s: s.rlike("(?iU)" + K.FINDING_SIGNAL)), 1, n)
+        return let(high, lambda h: F.when(F.size(h) > 0, h).otherwise(
+            F.slice(F.filter(sents, lambda s: F.length(s) > 40), 1, n)))
+
     sents = plain_sentences(collapse(head(c, head_chars)), 30)
-    high = F.filter(sents, lambda s: s.rlike("(?iU)" + K.FINDING_SIGNAL))
-    pool = F.when(F.size(high) > 0, high).otherwise(F.filter(sents, lambda s: F.length(s) > 40))
-    return F.transform(F.slice(pool, 1, n), lambda s: ellipsis(s, 120))
+    return F.transform(let(sents, pick), lambda s: ellipsis(s, 120))
 
 
 def text_lines(c) -> Column:

@@ -19,49 +19,35 @@ def line_windows(lines: Column, size: int = K.ROWS_PER_CHUNK, overlap: int = K.O
 def _ranges(events: Column, size: int, carry: int) -> Column:
     """Sentence ranges of a page's chunks.
 
-    Only lengths go through the fold. `first..last` number the sentences that are not
-    giants, `at` is the event that closed the range; a giant closes the current range and
-    the carried sentences go on behind it.
+    Only lengths go through the fold. A range runs from its first to its last sentence and
+    leaves out giants between them; `at` is the sentence that closed it. A giant closes the
+    current range, and the carried sentences go on behind it.
     """
+    none = F.array().cast("array<struct<i:int,n:int>>")
     state = F.struct(
-        F.array().cast(_RANGE).alias("out"),
-        F.lit(0).alias("first"),
-        F.lit(0).alias("next"),
-        F.lit(0).alias("held"),
-        F.array().cast("array<int>").alias("tail"),
-    )
-
-    def close(a, at):
-        kept = F.least(F.lit(carry), a["next"] - a["first"])
-        tail = F.slice(a["tail"], F.greatest(F.size(a["tail"]) - kept + 1, F.lit(1)), kept)
-        return F.struct(
-            F.concat(a["out"], F.array(F.struct(
-                a["first"].alias("first"), (a["next"] - 1).alias("last"), at.alias("at")))).alias("out"),
-            (a["next"] - kept).alias("first"),
-            a["next"].alias("next"),
-            F.aggregate(tail, F.lit(0), lambda s, x: s + x).alias("held"),
-            a["tail"].alias("tail"),
-        )
-
-    def add(a, n):
-        return F.struct(
-            a["out"].alias("out"), a["first"].alias("first"), (a["next"] + 1).alias("next"),
-            (a["held"] + n).alias("held"),
-            F.slice(F.concat(a["tail"], F.array(n)), F.greatest(F.size(a["tail"]) + 2 - carry, F.lit(1)), carry).alias("tail"),
-        )
+        F.array().cast(_RANGE).alias("out"), none.alias("held"), F.lit(0).alias("chars"))
+
+    def total(held):
+        return F.aggregate(held, F.lit(0), lambda s, x: s + x["n"])
+
+    def last(held, k):
+        return F.slice(held, F.greatest(F.size(held) - k + 1, F.lit(1)), k)
+
+    def span(held, at):
+        return F.array(F.struct(held[0]["i"].alias("first"), F.element_at(held, -1)["i"].alias("last"), at.alias("at")))
 
     def step(a, e):
-        filled = a["next"] > a["first"]
-        closed = close(a, e["i"])
-        return (
-            F.when(e["giant"] & filled, closed)
-            .when(e["giant"], a)
-            .when(filled & (a["held"] + e["n"] > size), add(closed, e["n"]))
-            .otherwise(add(a, e["n"]))
-        )
+        close = (F.size(a["held"]) > 0) & (e["giant"] | (a["chars"] + e["n"] > size))
+        kept = F.when(close, last(a["held"], carry)).otherwise(a["held"])
+        one = F.array(F.struct(e["i"].alias("i"), e["n"].alias("n")))
+        held = F.when(e["giant"], kept).otherwise(F.concat(kept, one))
+        chars = F.when(close, total(last(a["held"], carry))).otherwise(a["chars"]) + F.when(e["giant"], 0).otherwise(e["n"])
+        return F.struct(
+            F.when(close, F.concat(a["out"], span(a["held"], e["i"]))).otherwise(a["out"]).alias("out"),
+            held.alias("held"), chars.alias("chars"))
 
     def finish(a):
-        return F.when(a["next"] > a["first"], close(a, F.lit(1 << 30))["out"]).otherwise(a["out"])
+        return F.when(F.size(a["held"]) > 0, F.concat(a["out"], span(a["held"], F.lit(1 << 30)))).otherwise(a["out"])
 
     return F.aggregate(events, state, step, finish)
 
@@ -80,11 +66,10 @@ def chunk_pages(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.OVE
     events = F.transform("sents", lambda s, i: F.struct(
         i.alias("i"), F.length(s).alias("n"), (F.length(s) > giant).alias("giant")))
     page = page.withColumn("ranges", F.when(~F.col("tabular"), _ranges(events, size, overlap)))
-    page = page.withColumn("small", F.filter("sents", lambda s: F.length(s) <= giant))
-
     plain = F.transform("ranges", lambda r: F.struct(
         r["at"].alias("at"), F.lit(0).alias("sub"),
-        F.array_join(F.slice("small", r["first"] + 1, r["last"] - r["first"] + 1), " ").alias("text")))
+        F.array_join(F.filter(F.slice("sents", r["first"] + 1, r["last"] - r["first"] + 1),
+                              lambda s: F.length(s) <= giant), " ").alias("text")))
     slices = F.flatten(F.transform("sents", lambda s, i: F.when(
         F.length(s) > giant,
         F.transform(F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1)),

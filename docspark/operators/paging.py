@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import SPACE, is_blank, strip
+from ..functions.text import SPACE, is_blank, let, strip
 
 
 def paginate_text(docs: DataFrame, chars: int = K.PAGE_CHARS) -> DataFrame:
@@ -50,9 +50,9 @@ def paginate_blocks(blocks: DataFrame, words_per_page: int = K.PAGE_WORDS) -> Da
         return F.concat(a["ends"], F.coalesce(rest, F.array().cast("array<int>")))
 
     doc = doc.withColumn("ends", F.aggregate("b", state, step, finish))
-    start = F.concat(F.array(F.lit(0)), F.col("ends"))
-    texts = F.transform("b", lambda x: x["text"])
-    pages = F.transform("ends", lambda e, i: F.array_join(F.slice(texts, start[i] + 1, e - start[i]), "\n"))
+    starts = F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))))
+    pages = F.zip_with(starts, "ends", lambda s, e: F.array_join(
+        F.transform(F.slice("b", s + 1, e - s), lambda x: x["text"]), "\n"))
     return doc.select("doc_id", F.posexplode(pages).alias("i", "text")).select(
         "doc_id", (F.col("i") + 1).alias("page"), "text"
     )
@@ -152,31 +152,36 @@ def detection_rows(detections: DataFrame, min_score: float = 0.5) -> DataFrame:
         )
     )
     y = F.transform("b", lambda d: d["y"])
+    last = F.greatest(F.size("b") - 1, F.lit(0))
     gaps = F.sort_array(F.filter(
-        F.transform(F.slice(y, 2, F.size(y)), lambda v, i: v - y[i]), lambda g: g > 2))
-    mid = F.try_element_at(gaps, (F.floor(F.size(gaps) / 2) + 1).cast("int"))
-    page = page.withColumn("band", F.greatest(F.coalesce(mid * 0.6, F.lit(15.0)), F.lit(8.0)))
-    # Each row of the fold is (anchor, cells); only the last one is ever extended.
-    start = F.struct(
-        F.array().cast("array<int>").alias("starts"), F.lit(0.0).alias("anchor"), F.lit(0).alias("i"))
+        F.zip_with(F.slice(y, 1, last), F.slice(y, 2, last), lambda p, q: q - p), lambda g: g > 2))
+    mid = let(gaps, lambda g: F.try_element_at(g, (F.floor(F.size(g) / 2) + 1).cast("int")))
+    band = F.greatest(F.coalesce(mid * 0.6, F.lit(15.0)), F.lit(8.0))
+    # The fold keeps the band, the anchor of the current row and where rows start.
+    state = F.struct(
+        band.alias("band"), F.array().cast("array<int>").alias("starts"), F.lit(0.0).alias("anchor"), F.lit(0).alias("i"))
 
     def step(a, d):
-        fresh = (F.size(a["starts"]) == 0) | (F.abs(d["y"] - a["anchor"]) > F.col("band"))
+        fresh = (a["i"] == 0) | (F.abs(d["y"] - a["anchor"]) > a["band"])
         return F.struct(
+            a["band"].alias("band"),
             F.when(fresh, F.concat(a["starts"], F.array(a["i"]))).otherwise(a["starts"]).alias("starts"),
             F.when(fresh, d["y"]).otherwise(a["anchor"]).alias("anchor"),
             (a["i"] + 1).alias("i"),
         )
 
-    page = page.withColumn("starts", F.aggregate("b", start, step, lambda a: a["starts"]))
-    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("b")))
-    rows = F.transform("starts", lambda s, i: F.array_join(F.transform(
-        F.sort_array(F.transform(F.slice("b", s + 1, ends[i] - s),
-                                 lambda d: F.struct(d["x"], d["y"], d["det_no"], d["t"].alias("t")))),
-        lambda d: d["t"]), " | "))
+    starts = F.aggregate("b", state, step, lambda a: a["starts"])
+
+    def cells(s, e):
+        across = F.sort_array(F.transform(
+            F.slice("b", s + 1, e - s), lambda d: F.struct(d["x"], d["y"], d["det_no"], d["t"].alias("t"))))
+        return F.array_join(F.transform(across, lambda d: d["t"]), " | ")
+
+    rows = let(starts, lambda st: F.zip_with(
+        st, F.concat(F.slice(st, 2, F.greatest(F.size(st) - 1, F.lit(0))), F.array(F.size("b"))), cells))
     plain = strip(F.array_join(F.transform("plain", lambda d: d["t"]), "\n"))
     return page.select(
-        "doc_id", "page", F.when(F.col("placed"), F.array_join(rows, "\n")).otherwise(plain).alias("text"))
+        "doc_id", "page", F.when(F.col("placed") & (F.size("b") > 0), F.array_join(rows, "\n")).when(F.col("placed"), F.lit("")).otherwise(plain).alias("text"))
 
 
 def ocr_plan(pages: DataFrame, images: DataFrame) -> DataFrame:

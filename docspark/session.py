@@ -24,6 +24,7 @@ def build_session(master: str | None = None, cores: int | None = None, app: str
             .config("spark.sql.shuffle.partitions", str(n))
             .config("spark.driver.memory", "8g")
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
         )
     return builder.getOrCreate()
 
