@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docspark.functions.tags import doc_type_of
 from docspark.functions.text import fallback_summary
 from docspark.operators import keywords as KW
+from docspark.session import spread
 
 EXTENSIONS = [".pdf", ".docx", ".txt", ".md", ".json", ".exe"]
 
@@ -16,7 +17,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark, d) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"), "doc_id")
 
 
 def _source_no():
@@ -109,7 +110,7 @@ def doc_vectors(spark, d) -> DataFrame:
 
 
 def conversation_pages(spark, d) -> DataFrame:
-    return table(spark, d, "conversations").select(
+    return spread(table(spark, d, "conversations"), "conv_id").select(
         F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), "text", "role")
 
 

@@ -14,7 +14,7 @@ from docspark.functions import hooks, tags as TG, text as T
 from docspark.operators import catalog as C, chunking, classify as CL, fusion, keywords as KW
 from docspark.operators import lexical, maintain as U, paging, vectors as V
 from docspark.plans import ingest as PI, search as PS
-from docspark.session import shared_dir
+from docspark.session import materialize, shared_dir, spread
 from docspark.sources import files as SF, tables as ST
 from docspark.streaming import ingest as SI, progress as SP
 
@@ -741,7 +741,7 @@ def r3(spark, d):
 def r4(spark, d):
     docs = I.documents(spark, d).select("doc_id", "text")
     items = lexical.match_items(lexical.query_terms(I.queries(spark, d)))
-    s = lexical.bm25(items, lexical.build_postings(docs, only=items.select("term").distinct()), lexical.doc_stats(docs))
+    s = lexical.bm25(items, *lexical.query_index(docs, items))
     return s.withColumn("bm25", F.round("bm25", 6))
 
 
@@ -758,7 +758,7 @@ def r4b(spark, d):
     raw = I.queries(spark, d).select("query_id", F.filter(T.words("text"), lambda t: F.length(t) > 1).alias("w")).filter(F.size("w") >= 2)
     phrases = raw.select("query_id", F.array(F.array_join(F.slice("w", 1, 2), "_")).alias("terms"))
     items = lexical.match_items(phrases)
-    s = lexical.bm25(items, lexical.build_postings(docs, only=items.select("term").distinct()), lexical.doc_stats(docs))
+    s = lexical.bm25(items, *lexical.query_index(docs, items))
     return s.withColumn("bm25", F.round("bm25", 6))
 
 
@@ -795,7 +795,7 @@ def r6(spark, d):
 
 @query("m1_hash_encoder", _hash_sql("(SELECT conv_id * 100 + turn AS id, text FROM conversations)", "id", "text"))
 def m1(spark, d):
-    c = I.table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), hooks.hash_encoder("text").alias("v"))
+    c = spread(I.table(spark, d, "conversations"), "conv_id").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), hooks.hash_encoder("text").alias("v"))
     return c.select("id", F.posexplode("v").alias("dim", "value")).select("id", big("dim"), F.round("value", 6).alias("value"))
 
 
@@ -854,7 +854,7 @@ def r9b(spark, d):
     """Everything on: chunks from the documents, default encoder, stems, phrases, reranker."""
     docs = I.named_text(spark, d)
     chunks = chunking.number_chunks(chunking.chunk_pages(paging.paginate_text(docs)))
-    vecs = chunks.select("chunk_id", "doc_id", "page", "text", hooks.hash_encoder("text").alias("embedding"))
+    vecs = materialize(chunks.select("chunk_id", "doc_id", "page", "text", hooks.hash_encoder("text").alias("embedding")))
     qs = I.queries(spark, d).select("query_id", "text")
     cat = I.catalog(spark, d, tags=False)
     hits = PS.hybrid_search(qs, cat, docs.select("doc_id", "text"), vecs, encoder=hooks.hash_encoder,
@@ -872,7 +872,7 @@ def k2(spark, d):
 @query("k3_semantic_candidates")
 def k3(spark, d):
     """On conversation turns: one candidate list a turn."""
-    turns = I.table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "text")
+    turns = spread(I.table(spark, d, "conversations"), "conv_id").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "text")
     return KW.semantic_candidates(turns, hooks.hash_encoder).withColumn("score", F.round("score", 6))
 
 
@@ -1096,7 +1096,7 @@ def x4b(spark, d):
 @query("x5_drop_redelivered", "SELECT doc_id, count(*) AS n FROM documents GROUP BY doc_id")
 def x5(spark, d):
     twice = _stream(spark, d, "documents").select(
-        "doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"), "text", F.timestamp_seconds(F.col("doc_id")).alias("upload_date"))
+        "doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"), "text", F.timestamp_seconds(F.col("doc_id") + 1_704_067_200).alias("upload_date"))
     out, cp = shared_dir(spark), shared_dir(spark)
     _run(lambda: SP.write_latest(SI.drop_redelivered(twice), out, cp, mode="append", trigger={"availableNow": True}))
     return spark.read.parquet(out).groupBy("doc_id").agg(F.count("*").alias("n"))

@@ -21,22 +21,34 @@ DIMENSIONS = 64
 def hash_encoder(text) -> Column:
     """M1: signed hashing of word tokens into 64 buckets, scaled to unit length.
 
-    Digit 0-5 of the token's md5 picks the bucket, the next one the sign.
+    The first two digits of a token's md5, modulo 128, give its code: bucket and sign.
+    Hashing stays in the JVM; only the codes go to Python, where a batch of rows is summed
+    at once.
     """
     codes = F.transform(
         words(text),
-        lambda t: F.conv(F.substring(F.md5(t), 1, 2), 16, 10).cast("int") % 128,
+        lambda t: F.conv(F.substring(F.md5(t), 1, 2), 16, 10).cast("int") % (2 * DIMENSIONS),
     )
+    return _sum_codes()(codes)
 
-    def count(cs, b):
-        return F.size(F.filter(cs, lambda c: c == b)) - F.size(F.filter(cs, lambda c: c == b + DIMENSIONS))
 
-    def scale(v):
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return let(norm, lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
+def _sum_codes() -> Encoder:
+    size = DIMENSIONS
 
-    buckets = F.sequence(F.lit(0), F.lit(DIMENSIONS - 1))
-    return let(let(codes, lambda cs: F.transform(buckets, lambda b: count(cs, b).cast("double"))), scale)
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def sums(s: pd.Series) -> pd.Series:
+        import numpy as np
+
+        s = s.map(lambda v: v if v is not None else ())
+        lengths = s.map(len).to_numpy()
+        flat = np.concatenate([np.zeros(0, int), *s]).astype(int)
+        row = np.repeat(np.arange(len(s)), lengths)
+        counts = np.bincount(row * 2 * size + flat, minlength=len(s) * 2 * size).reshape(len(s), 2, size)
+        v = (counts[:, 0] - counts[:, 1]).astype("float64")
+        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return pd.Series(list(np.divide(v, norm, out=v, where=norm > 0)))
+
+    return sums
 
 
 def overlap_scorer(query, text) -> Column:

@@ -93,8 +93,9 @@ def words(c) -> Column:
 
 
 def fold(c) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(col(c)), FOLD_FROM, FOLD_TO)
+    """Lower case without diacritics; text without multi-byte characters skips the mapping."""
+    low = F.lower(col(c))
+    return F.when(F.length(col(c)) == F.octet_length(col(c)), low).otherwise(F.translate(low, FOLD_FROM, FOLD_TO))
 
 
 def index_tokens(c) -> Column:
@@ -102,6 +103,11 @@ def index_tokens(c) -> Column:
     return F.regexp_extract_all(fold(c), F.lit(INDEX_TOKEN), F.lit(0))
 
 
+def count_index_tokens(c) -> Column:
+    """size(index_tokens(c)) without building them; combining marks stay inside a token."""
+    return F.regexp_count(col(c), F.lit(rf"{INDEX_TOKEN[:-1]}[\p{{L}}\p{{N}}\p{{Co}}\x{{300}}-\x{{36f}}]*"))
+
+
 def normalize_text(c, nfkc=None) -> Column:
     """Typographic clean-up, optional NFKC hook, line-wrap hyphens, horizontal space.
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.hooks import Encoder
-from ..functions.text import index_tokens, words
+from ..session import materialize
+from ..functions.text import count_index_tokens, index_tokens, words
 
 
 def stem_terms(terms: DataFrame, stemmer: Encoder, column: str = "term") -> DataFrame:
@@ -55,7 +56,7 @@ def build_postings(doc_text: DataFrame, stemmer: Encoder | None = None, position
 def doc_stats(doc_text: DataFrame, columns: Iterable[str] = ("filename", "text", "tags", "summary")) -> DataFrame:
     """(doc_id, dl): tokens over all indexed columns that the table has."""
     present = [c for c in columns if c in doc_text.columns]
-    dl = sum((F.size(index_tokens(F.coalesce(c, F.lit("")))) for c in present), F.lit(0))
+    dl = sum((count_index_tokens(F.coalesce(c, F.lit(""))) for c in present), F.lit(0))
     return doc_text.select("doc_id", dl.cast("bigint").alias("dl"))
 
 
@@ -160,14 +161,24 @@ def rank_keyword(scores: DataFrame, top: int = K.KEYWORD_TOP) -> DataFrame:
     return scores.withColumn("kw_rank", F.row_number().over(w)).filter(F.col("kw_rank") <= top)
 
 
+def query_index(doc_text: DataFrame, items: DataFrame, stemmer: Encoder | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings of the items' terms and document lengths, for a corpus without a stored index.
+
+    BM25 reads both more than once, so they are written to the shared folder: the texts are
+    tokenised once for the postings and counted once for the lengths.
+    """
+    postings = build_postings(doc_text, stemmer, only=items.select("term").distinct())
+    return materialize(postings), materialize(doc_stats(doc_text))
+
+
 def keyword_ranks(queries: DataFrame, doc_text: DataFrame, stopwords: Iterable[str] = K.STOPWORDS,
                   stemmer: Encoder | None = None, phrases: DataFrame | None = None,
                   postings: DataFrame | None = None, stats: DataFrame | None = None,
                   top: int = K.KEYWORD_TOP) -> DataFrame:
-    """R2 to W1 in one plan; stored postings and lengths are used when given."""
+    """R2 to W1; a stored index (postings and lengths) is used when given."""
     items = match_items(query_terms(queries, stopwords), phrases, stemmer)
-    if postings is None:
-        postings = build_postings(doc_text, stemmer, only=items.select("term").distinct())
-    if stats is None:
-        stats = doc_stats(doc_text)
+    if phrases is not None or stemmer is not None:
+        items = materialize(items)
+    if postings is None or stats is None:
+        postings, stats = query_index(doc_text, items, stemmer)
     return rank_keyword(bm25(items, postings, stats), top)

@@ -51,3 +51,12 @@ def materialize(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partitions by `key` when the scan has fewer partitions than the session has cores.
+
+    Text functions are CPU-bound, so a table of a few large row groups would leave cores
+    idle. A table with enough partitions is returned as it is, without a shuffle.
+    """
+    return df.repartition(key) if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism else df

@@ -69,7 +69,7 @@ def track_progress(stream: DataFrame, silence_hours: int = 2, delay: str = "2 ho
                             "status": [step if step in done else "processing"], "error_message": [None]})
 
     return (
-        stream.select("doc_id", "ts", "step", "pct").withWatermark("ts", delay).groupBy("doc_id")
+        stream.select("doc_id", F.col("ts").cast("timestamp").alias("ts"), "step", "pct").withWatermark("ts", delay).groupBy("doc_id")
         .applyInPandasWithState(
             update,
             f"doc_id {id_type}, ts timestamp, step string, pct int, status string, error_message string",
