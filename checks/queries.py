@@ -740,7 +740,7 @@ def r3(spark, d):
 @query("r4_bm25", S.build("SELECT query_id, doc_id, round(bm25, 6) AS bm25 FROM bm", "bm"))
 def r4(spark, d):
     docs = I.documents(spark, d).select("doc_id", "text")
-    items = lexical.match_items(lexical.query_terms(I.queries(spark, d)))
+    items = materialize(lexical.match_items(lexical.query_terms(I.queries(spark, d))))
     s = lexical.bm25(items, *lexical.query_index(docs, items))
     return s.withColumn("bm25", F.round("bm25", 6))
 
@@ -757,7 +757,7 @@ def r4b(spark, d):
     docs = I.documents(spark, d).select("doc_id", "text")
     raw = I.queries(spark, d).select("query_id", F.filter(T.words("text"), lambda t: F.length(t) > 1).alias("w")).filter(F.size("w") >= 2)
     phrases = raw.select("query_id", F.array(F.array_join(F.slice("w", 1, 2), "_")).alias("terms"))
-    items = lexical.match_items(phrases)
+    items = materialize(lexical.match_items(phrases))
     s = lexical.bm25(items, *lexical.query_index(docs, items))
     return s.withColumn("bm25", F.round("bm25", 6))
 

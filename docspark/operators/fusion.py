@@ -12,13 +12,15 @@ HIT_METADATA = ["filename", "summary", "tags", "key_findings", "entities"]
 
 def fuse_ranks(keyword: DataFrame, semantic: DataFrame) -> DataFrame:
     """Chunk candidates with their document's keyword rank; a document without one gets
-    the query's number of keyword hits plus 60."""
-    hits = keyword.groupBy("query_id").agg(F.count("*").alias("n_kw"))
+    the query's number of keyword hits plus 60. A query's ranks, at most the keyword top, are
+    one map, so that they are computed and joined once."""
+    ranks = keyword.groupBy("query_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("doc_id", "kw_rank"))).alias("ranks"))
+    penalty = F.greatest(F.coalesce(F.size("ranks"), F.lit(0)), F.lit(0)) + K.RRF_K
     return (
-        semantic.join(keyword.select("query_id", "doc_id", "kw_rank"), ["query_id", "doc_id"], "left")
-        .join(hits, "query_id", "left")
-        .withColumn("kw_rank", F.coalesce("kw_rank", F.coalesce("n_kw", F.lit(0)) + K.RRF_K))
-        .drop("n_kw")
+        semantic.join(ranks, "query_id", "left")
+        .withColumn("kw_rank", F.coalesce(F.try_element_at("ranks", F.col("doc_id")), penalty))
+        .drop("ranks")
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.hooks import Encoder
-from ..functions.text import SPACE, head, mentions_syllabus, strip_tags, title_case, words
+from ..functions.text import SPACE, head, let, mentions_syllabus, strip_tags, title_case, words
 from .vectors import cosine
 
 SEMANTIC_FLOOR = 0.45
@@ -40,56 +40,51 @@ def keyphrases(docs: DataFrame, top: int, n: int = 2, dedup: float = 0.7,
     are better; a phrase too close to a better one (Levenshtein similarity above `dedup`)
     is passed over. Phrases have one or two words.
     """
-    sents = _body(docs, head_chars).select(
-        "doc_id",
-        F.posexplode(F.filter(F.split("text", rf"(?<=[.!?]){SPACE}+|\n"), lambda s: s.rlike(r"\p{L}"))).alias("sent", "s"))
+    split = F.filter(F.split("text", rf"(?<=[.!?]){SPACE}+|\n"), lambda s: s.rlike(r"\p{L}"))
+    sents = _body(docs, head_chars).withColumn("split", split).select(
+        "doc_id", F.size("split").alias("n_sents"), F.posexplode("split").alias("sent", "s"))
     marks = F.regexp_extract_all("s", F.lit(r"[\p{L}\p{N}_]+|[^\s\p{Z}\p{L}\p{N}_]"), F.lit(0))
-    tok = sents.select("doc_id", "sent", F.posexplode(marks).alias("pos", "tok")).filter(F.col("tok").rlike(r"^[\p{L}\p{N}_]"))
-    tok = tok.withColumn("term", F.lower("tok")).withColumn(
-        "stop", _is_stop(F.col("term"), stopwords) | (F.length("term") < 3) | F.col("term").rlike(r"\p{N}|_"))
+    word = r"^[\p{L}\p{N}_]"
 
-    line = Window.partitionBy("doc_id", "sent").orderBy("pos")
-    tok = tok.withColumns({
-        "prev": F.when(F.lag("pos").over(line) == F.col("pos") - 1, F.lag("term").over(line)),
-        "next": F.when(F.lead("pos").over(line) == F.col("pos") + 1, F.lead("term").over(line)),
-    })
-    term = Window.partitionBy("doc_id", "term")
-    tok = tok.withColumns({
-        "by_sent": F.dense_rank().over(term.orderBy("sent")),
-        "occ": F.row_number().over(term.orderBy("sent", "pos")),
-        "by_prev": F.dense_rank().over(term.orderBy(F.col("prev").asc_nulls_last())),
-        "by_next": F.dense_rank().over(term.orderBy(F.col("next").asc_nulls_last())),
-    })
+    def neighbour(m, i):
+        return F.when(F.get(m, i).rlike(word), F.lower(F.get(m, i)))
+
+    around = let(marks, lambda m: F.transform(m, lambda t, i: F.struct(
+        i.alias("pos"), t.alias("tok"), F.lower(t).alias("term"),
+        neighbour(m, i - 1).alias("prev"), neighbour(m, i + 1).alias("next"))))
+    tok = sents.select("doc_id", "sent", "n_sents", F.inline(F.filter(around, lambda x: x["tok"].rlike(word))))
     upper = F.col("tok").rlike(r"^\p{Lu}{2,}$")
     proper = F.col("tok").rlike(r"^\p{Lu}") & (F.col("pos") > 0) & ~upper
 
-    def ratio(rank, neighbour):
-        return F.coalesce(F.max(F.when(F.col(neighbour).isNotNull(), F.col(rank))).over(term)
-                          / F.count(neighbour).over(term), F.lit(0.0))
-
-    tok = tok.withColumns({
-        "tf": F.count("*").over(term),
-        "cased": F.greatest(F.count_if(upper).over(term), F.count_if(proper).over(term)),
-        "median": F.median("sent").over(term),
-        "spread": F.max("by_sent").over(term),
-        "vary": ratio("by_prev", "prev") + ratio("by_next", "next"),
-    })
+    def variety(c):
+        return F.coalesce(F.size(F.collect_set(c)) / F.nullif(F.count(c), F.lit(0)), F.lit(0.0))
+
+    term = tok.groupBy("doc_id", "term").agg(
+        F.count("*").alias("tf"),
+        F.greatest(F.count_if(upper), F.count_if(proper)).alias("cased"),
+        F.median("sent").alias("median"),
+        F.size(F.collect_set("sent")).alias("spread"),
+        (variety("prev") + variety("next")).alias("vary"),
+        F.max("n_sents").alias("n_sents"),
+        F.collect_list(F.struct("sent", "pos", "tok")).alias("occ"),
+    ).withColumn("stop", _is_stop(F.col("term"), stopwords) | (F.length("term") < 3) | F.col("term").rlike(r"\p{N}|_"))
     doc = Window.partitionBy("doc_id")
-    valid_tf = F.when((F.col("occ") == 1) & ~F.col("stop"), F.col("tf"))
-    tok = tok.withColumns({
+    valid_tf = F.when(~F.col("stop"), F.col("tf"))
+    term = term.withColumns({
         "max_tf": F.max("tf").over(doc),
         "usual": F.avg(valid_tf).over(doc) + F.stddev_pop(valid_tf).over(doc),
-        "n_sents": (F.max("sent").over(doc) + 1),
     })
     rel = 1 + F.col("vary") * F.col("tf") / F.col("max_tf")
     h = (rel * F.log(F.log(F.col("median") + 3))) / (
         F.col("cased") / (1 + F.log("tf")) + (F.col("tf") / F.col("usual")) / rel
         + (F.col("spread") / F.col("n_sents")) / rel)
-    tok = tok.select("doc_id", "sent", "pos", "tok", "stop", h.alias("h"))
+    tok = term.select("doc_id", "stop", h.alias("h"), F.inline("occ"))
+    line = Window.partitionBy("doc_id").orderBy("sent", "pos")
+    tok = tok.withColumn("then", F.lead(F.struct("sent", "pos", "tok", "stop", "h")).over(line)).filter(~F.col("stop"))
     tok = tok.withColumns({
-        "tok2": F.lead("tok").over(line), "h2": F.lead("h").over(line),
-        "ok2": (F.lead("pos").over(line) == F.col("pos") + 1) & ~F.lead("stop").over(line) & F.lit(n > 1),
-    }).filter(~F.col("stop"))
+        "tok2": F.col("then.tok"), "h2": F.col("then.h"),
+        "ok2": F.lit(n > 1) & (F.col("then.sent") == F.col("sent")) & (F.col("then.pos") == F.col("pos") + 1) & ~F.col("then.stop"),
+    })
 
     one = F.struct(F.col("tok").alias("phrase"), F.col("h").alias("prod"), F.col("h").alias("sum"))
     two = F.struct(F.concat_ws(" ", "tok", "tok2").alias("phrase"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.hooks import Encoder
 from ..session import materialize
-from ..functions.text import count_index_tokens, index_tokens, words
+from ..functions.text import count_index_tokens, index_tokens, let, words
 
 
 def stem_terms(terms: DataFrame, stemmer: Encoder, column: str = "term") -> DataFrame:
@@ -73,13 +73,10 @@ def document_frequency(postings: DataFrame) -> DataFrame:
 def query_terms(queries: DataFrame, stopwords: Iterable[str] = K.STOPWORDS) -> DataFrame:
     """R2: (query_id, terms), repeats kept; a query of stop words alone keeps them all."""
     stop = sorted(set(stopwords))
-    long = F.filter(words("text"), lambda t: F.length(t) > 1)
-    return (
-        queries.select("query_id", long.alias("raw"))
-        .withColumn("kept", F.filter("raw", lambda t: ~t.isin(stop)))
-        .select("query_id", F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("raw")).alias("terms"))
-        .filter(F.size("terms") > 0)
-    )
+    terms = let(
+        F.filter(words("text"), lambda t: F.length(t) > 1),
+        lambda raw: let(F.filter(raw, lambda t: ~t.isin(stop)), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(raw)))
+    return queries.select("query_id", terms.alias("terms")).filter(F.size("terms") > 0)
 
 
 def match_items(terms: DataFrame, phrases: DataFrame | None = None, stemmer: Encoder | None = None) -> DataFrame:
@@ -91,7 +88,7 @@ def match_items(terms: DataFrame, phrases: DataFrame | None = None, stemmer: Enc
     raw = terms.select("query_id", F.explode("terms").alias("t"))
     if phrases is not None:
         raw = raw.unionByName(phrases.select("query_id", F.col("phrase").alias("t")))
-    items = raw.select("query_id", index_tokens("t").alias("tokens")).filter(F.size("tokens") > 0)
+    items = raw.select("query_id", index_tokens("t").alias("tokens"))
     if stemmer is not None:
         # A query table's distinct items only, so the hook sees each token once an item.
         items = items.groupBy("query_id", "tokens").agg(F.count("*").alias("weight"))
@@ -165,9 +162,11 @@ def query_index(doc_text: DataFrame, items: DataFrame, stemmer: Encoder | None =
     """Postings of the items' terms and document lengths, for a corpus without a stored index.
 
     BM25 reads both more than once, so they are written to the shared folder: the texts are
-    tokenised once for the postings and counted once for the lengths.
+    tokenised once for the postings and counted once for the lengths. Positions are only
+    kept when some item has more than one token.
     """
-    postings = build_postings(doc_text, stemmer, only=items.select("term").distinct())
+    phrases = not items.filter(F.col("n") > 1).isEmpty()
+    postings = build_postings(doc_text, stemmer, phrases, items.select("term").distinct())
     return materialize(postings), materialize(doc_stats(doc_text))
 
 
@@ -175,10 +174,12 @@ def keyword_ranks(queries: DataFrame, doc_text: DataFrame, stopwords: Iterable[s
                   stemmer: Encoder | None = None, phrases: DataFrame | None = None,
                   postings: DataFrame | None = None, stats: DataFrame | None = None,
                   top: int = K.KEYWORD_TOP) -> DataFrame:
-    """R2 to W1; a stored index (postings and lengths) is used when given."""
-    items = match_items(query_terms(queries, stopwords), phrases, stemmer)
-    if phrases is not None or stemmer is not None:
-        items = materialize(items)
+    """R2 to W1; a stored index (postings and lengths) is used when given.
+
+    The items are written out first: their size is then known to Spark, which sends a small
+    query table to the tokens and shuffles for a large one.
+    """
+    items = materialize(match_items(query_terms(queries, stopwords), phrases, stemmer))
     if postings is None or stats is None:
         postings, stats = query_index(doc_text, items, stemmer)
     return rank_keyword(bm25(items, postings, stats), top)
