@@ -38,23 +38,21 @@ def keyphrases(docs: DataFrame, top: int, n: int = 2, dedup: float = 0.7,
     The published five-feature statistic: casing, position of the median sentence,
     normalised frequency, variety of neighbours and spread over sentences. Lower scores
     are better; a phrase too close to a better one (Levenshtein similarity above `dedup`)
-    is passed over. Phrases have one or two words.
+    is passed over. Phrases have one or two words and come in lower case.
     """
     split = F.filter(F.split("text", rf"(?<=[.!?]){SPACE}+|\n"), lambda s: s.rlike(r"\p{L}"))
     sents = _body(docs, head_chars).withColumn("split", split).select(
         "doc_id", F.size("split").alias("n_sents"), F.posexplode("split").alias("sent", "s"))
-    marks = F.regexp_extract_all("s", F.lit(r"[\p{L}\p{N}_]+|[^\s\p{Z}\p{L}\p{N}_]"), F.lit(0))
-    word = r"^[\p{L}\p{N}_]"
-
-    def neighbour(m, i):
-        return F.when(F.get(m, i).rlike(word), F.lower(F.get(m, i)))
-
-    around = let(marks, lambda m: F.transform(m, lambda t, i: F.struct(
-        i.alias("pos"), t.alias("tok"), F.lower(t).alias("term"),
-        neighbour(m, i - 1).alias("prev"), neighbour(m, i + 1).alias("next"))))
-    tok = sents.select("doc_id", "sent", "n_sents", F.inline(F.filter(around, lambda x: x["tok"].rlike(word))))
+    # Words are neighbours inside a run without punctuation.
+    runs = sents.select("doc_id", "sent", "n_sents", F.posexplode(F.split("s", rf"[^\p{{L}}\p{{N}}_\s\p{{Z}}]+")).alias("run", "s"))
+    around = let(F.filter(F.split("s", SPACE + "+"), lambda t: t != ""), lambda m: F.transform(m, lambda t, i: F.struct(
+        i.alias("pos"), t.alias("tok"), F.get(m, i - 1).alias("prev"), F.get(m, i + 1).alias("next"))))
+    tok = runs.select("doc_id", "sent", "n_sents", "run", F.inline(around)).withColumns({
+        "term": F.lower("tok"), "prev": F.lower("prev"), "next": F.lower("next")})
+    # Stop words count as neighbours, but are no terms.
+    tok = tok.filter(~(_is_stop(F.col("term"), stopwords) | (F.length("term") < 3) | F.col("term").rlike(r"\p{N}|_")))
     upper = F.col("tok").rlike(r"^\p{Lu}{2,}$")
-    proper = F.col("tok").rlike(r"^\p{Lu}") & (F.col("pos") > 0) & ~upper
+    proper = F.col("tok").rlike(r"^\p{Lu}") & (F.col("run") + F.col("pos") > 0) & ~upper
 
     def variety(c):
         return F.coalesce(F.size(F.collect_set(c)) / F.nullif(F.count(c), F.lit(0)), F.lit(0.0))
@@ -66,45 +64,45 @@ def keyphrases(docs: DataFrame, top: int, n: int = 2, dedup: float = 0.7,
         F.size(F.collect_set("sent")).alias("spread"),
         (variety("prev") + variety("next")).alias("vary"),
         F.max("n_sents").alias("n_sents"),
-        F.collect_list(F.struct("sent", "pos", "tok")).alias("occ"),
-    ).withColumn("stop", _is_stop(F.col("term"), stopwords) | (F.length("term") < 3) | F.col("term").rlike(r"\p{N}|_"))
+        F.collect_list(F.struct("sent", "run", "pos")).alias("occ"),
+    )
     doc = Window.partitionBy("doc_id")
-    valid_tf = F.when(~F.col("stop"), F.col("tf"))
     term = term.withColumns({
         "max_tf": F.max("tf").over(doc),
-        "usual": F.avg(valid_tf).over(doc) + F.stddev_pop(valid_tf).over(doc),
+        "usual": F.avg("tf").over(doc) + F.stddev_pop("tf").over(doc),
     })
     rel = 1 + F.col("vary") * F.col("tf") / F.col("max_tf")
     h = (rel * F.log(F.log(F.col("median") + 3))) / (
         F.col("cased") / (1 + F.log("tf")) + (F.col("tf") / F.col("usual")) / rel
         + (F.col("spread") / F.col("n_sents")) / rel)
-    tok = term.select("doc_id", "stop", h.alias("h"), F.inline("occ"))
-    line = Window.partitionBy("doc_id").orderBy("sent", "pos")
-    tok = tok.withColumn("then", F.lead(F.struct("sent", "pos", "tok", "stop", "h")).over(line)).filter(~F.col("stop"))
+    tok = term.select("doc_id", "term", h.alias("h"), F.inline("occ"))
+    line = Window.partitionBy("doc_id").orderBy("sent", "run", "pos")
+    tok = tok.withColumn("then", F.lead(F.struct("sent", "run", "pos", "term", "h")).over(line))
     tok = tok.withColumns({
-        "tok2": F.col("then.tok"), "h2": F.col("then.h"),
-        "ok2": F.lit(n > 1) & (F.col("then.sent") == F.col("sent")) & (F.col("then.pos") == F.col("pos") + 1) & ~F.col("then.stop"),
+        "term2": F.col("then.term"), "h2": F.col("then.h"),
+        "ok2": F.lit(n > 1) & (F.col("then.sent") == F.col("sent")) & (F.col("then.run") == F.col("run")) & (F.col("then.pos") == F.col("pos") + 1),
     })
 
-    one = F.struct(F.col("tok").alias("phrase"), F.col("h").alias("prod"), F.col("h").alias("sum"))
-    two = F.struct(F.concat_ws(" ", "tok", "tok2").alias("phrase"),
+    # A phrase's words fix its product and sum, so they go through plain hash aggregates.
+    one = F.struct(F.col("term").alias("phrase"), F.col("h").alias("prod"), F.col("h").alias("sum"))
+    two = F.struct(F.concat_ws(" ", "term", "term2").alias("phrase"),
                    (F.col("h") * F.col("h2")).alias("prod"), (F.col("h") + F.col("h2")).alias("sum"))
-    cand = tok.select("doc_id", "sent", "pos", F.explode(F.when(F.col("ok2"), F.array(one, two)).otherwise(F.array(one))).alias("c"))
-    cand = cand.groupBy("doc_id", F.lower("c.phrase").alias("key")).agg(
-        F.count("*").alias("n"), F.min_by("c", F.struct("sent", "pos")).alias("c"))
-    score = F.col("c.prod") / (F.col("n") * (1 + F.col("c.sum")))
-    ranked = cand.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(
-        F.round(score, 12).alias("score"), F.col("key").alias("key"), F.col("c.phrase").alias("phrase")))).alias("r"))
+    cand = tok.select("doc_id", F.inline(F.when(F.col("ok2"), F.array(one, two)).otherwise(F.array(one))))
+    cand = cand.groupBy("doc_id", "phrase").agg(
+        F.count("*").alias("n"), F.max("prod").alias("prod"), F.max("sum").alias("sum"))
+    score = F.round(F.col("prod") / (F.col("n") * (1 + F.col("sum"))), 12)
+    ranked = cand.groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct(score.alias("score"), F.col("phrase").alias("key")))).alias("r"))
 
     def alike(a, b):
         longest = F.greatest(F.length(a["key"]), F.length(b["key"]))
         return 1 - F.levenshtein(a["key"], b["key"]) / longest > dedup
 
-    none = F.array().cast("array<struct<score:double,key:string,phrase:string>>")
+    none = F.array().cast("array<struct<score:double,key:string>>")
     chosen = F.aggregate("r", none, lambda acc, c: F.when(
         (F.size(acc) < top) & ~F.exists(acc, lambda a: alike(a, c)), F.concat(acc, F.array(c))).otherwise(acc))
     return ranked.select("doc_id", F.posexplode(chosen).alias("pos", "k")).select(
-        "doc_id", "pos", F.col("k.phrase").alias("phrase"), F.col("k.score").alias("score"))
+        "doc_id", "pos", F.col("k.key").alias("phrase"), F.col("k.score").alias("score"))
 
 
 def semantic_candidates(docs: DataFrame, encoder: Encoder, floor: float = SEMANTIC_FLOOR,

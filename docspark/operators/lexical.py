@@ -131,7 +131,9 @@ def bm25(items: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
     idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6.
     """
     matches = item_matches(items, postings)
-    df = matches.groupBy("item").agg(F.count("*").alias("df"))
+    # One row an item, written out: joined by its known size, so that a common item's
+    # matches are not shuffled to one task just to learn its frequency.
+    df = materialize(matches.groupBy("item").agg(F.count("*").alias("df")))
     totals = corpus_stats(stats)
     n_docs, avgdl = totals.select("n_docs").scalar(), totals.select("avgdl").scalar()
     raw = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
