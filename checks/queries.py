@@ -335,8 +335,7 @@ def _keyword(spark, d):
 
 
 def _semantic(spark, d):
-    v = I.vectors(spark, d)
-    return V.vector_topk(I.queries(spark, d), v).join(v.select("chunk_id", "doc_id"), "chunk_id")
+    return V.vector_topk(I.queries(spark, d), I.vectors(spark, d), keep=("doc_id",))
 
 
 def _fused(spark, d):

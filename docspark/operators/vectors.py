@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import constants as K
 from ..functions.hooks import Encoder
@@ -63,7 +64,8 @@ def _scorer(k: int | None, floor: float | None, slice_rows: int = 512):
         place = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
         return found.filter(pa.array(place < k))
 
-    def score(left_ids, left_vecs, right_vecs):
+    def score(left_cols, left_vecs, right_vecs):
+        """`left_cols` are the columns to hand on, the id under the name left_id."""
         import numpy as np
         import pyarrow as pa
 
@@ -83,30 +85,42 @@ def _scorer(k: int | None, floor: float | None, slice_rows: int = 512):
             parts.append(best(pa.table({
                 "right_row": pa.array(r + at, pa.int64()),
                 "similarity": pa.array(sims[r, c], pa.float64()),
-                "left_id": left_ids.take(pa.array(c)),
+                **{name: column.take(pa.array(c)) for name, column in left_cols.items()},
             })))
         return pa.concat_tables(parts) if parts else None
 
     return score, best
 
 
-def _pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str,
-           k: int | None, floor: float | None, ship_rows: int, block_rows: int) -> DataFrame:
-    """(left_id, right_id, similarity): partial results, k a query from every task."""
-    left = left.select(left_id, vector)
+def _pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str, k: int | None,
+           floor: float | None, ship_rows: int, block_rows: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(left_id, right_id, similarity, *keep): partial results, k a right row from every task.
+
+    `keep` names further left columns to carry, which saves joining them back.
+    """
+    left = left.select(left_id, vector, *keep)
     right = right.select(right_id, vector)
     out = T.StructType([
         T.StructField(left_id, left.schema[left_id].dataType),
         T.StructField(right_id, right.schema[right_id].dataType),
         T.StructField("similarity", T.DoubleType()),
+        *[T.StructField(c, left.schema[c].dataType) for c in keep],
     ])
     score, best = _scorer(k, floor)
 
+    def carried(part):
+        import pyarrow as pa
+
+        flat = {c: part.column(c) for c in (left_id, *keep)}
+        flat = {c: v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for c, v in flat.items()}
+        return {"left_id": flat.pop(left_id), **flat}
+
     def emit(found, right_ids):
         import pyarrow as pa
 
         ids = right_ids.take(found.column("right_row"))
-        return pa.table({left_id: found.column("left_id"), right_id: ids, "similarity": found.column("similarity")})
+        return pa.table({left_id: found.column("left_id"), right_id: ids, "similarity": found.column("similarity"),
+                         **{c: found.column(c) for c in keep}})
 
     # The bound is checked on at most ship_rows + 1 rows.
     shipped = right.limit(ship_rows + 1).toArrow()
@@ -120,7 +134,7 @@ def _pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vecto
             for b in batches:
                 if b.num_rows == 0 or len(right_ids) == 0:
                     continue
-                found = score(b.column(left_id), b.column(vector), right_vecs)
+                found = score(carried(b), b.column(vector), right_vecs)
                 if k is None:
                     yield from emit(found, right_ids).to_batches()
                 else:
@@ -139,16 +153,14 @@ def _pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vecto
                      F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("rb"))
     rb = right.select("*", blocks(right, right_id, n_right).alias("rb"),
                       F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("lb"))
+    out_schema = to_arrow_schema(out)
 
     def pair(lt, rt):
         if lt.num_rows == 0 or rt.num_rows == 0:
             return out_schema.empty_table()
-        found = score(lt.column(left_id).combine_chunks(), lt.column(vector), rt.column(vector))
+        found = score(carried(lt), lt.column(vector), rt.column(vector))
         return emit(found, rt.column(right_id).combine_chunks()).cast(out_schema)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out_schema = to_arrow_schema(out)
     return lb.groupBy("lb", "rb").cogroup(rb.groupBy("lb", "rb")).applyInArrow(pair, out)
 
 
@@ -164,9 +176,9 @@ def rank_semantic(sims: DataFrame, top: int = K.SEMANTIC_TOP) -> DataFrame:
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = K.SEMANTIC_TOP,
-                ship_rows: int = SHIP_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, chunk_id, similarity, sem_rank), the k nearest chunks of each query."""
-    pairs = _pairs(vectors, queries, "chunk_id", "query_id", "embedding", k, None, ship_rows, block_rows)
+                ship_rows: int = SHIP_ROWS, block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, chunk_id, similarity, sem_rank, *keep), the k nearest chunks of each query."""
+    pairs = _pairs(vectors, queries, "chunk_id", "query_id", "embedding", k, None, ship_rows, block_rows, keep)
     return rank_semantic(pairs, k)
 
 

@@ -16,6 +16,7 @@ from ..operators.keywords import content_keywords, document_tags
 from ..operators.lexical import build_postings
 from ..operators.paging import pages_summary, paginate_text
 from ..operators.vectors import finite_vectors
+from ..session import materialize
 
 
 @dataclass
@@ -67,11 +68,13 @@ def ingest(files: DataFrame, dims: DataFrame, cats: DataFrame, options: IngestOp
     does not disturb the others.
     """
     o = options or IngestOptions()
-    pages = paginate_text(files.select("doc_id", normalize_text("text", o.nfkc).alias("text")))
+    # Pages, metadata and encoded chunks feed several tables: each is computed once and
+    # written to the shared folder.
+    pages = materialize(paginate_text(files.select("doc_id", normalize_text("text", o.nfkc).alias("text"))))
     whole = pages_summary(pages, o.sample_pages or 3)
     body = whole.join(files.select("doc_id", "filename"), "doc_id").select(
         "doc_id", "filename", F.col("sample" if o.sample_pages else "text").alias("text"))
-    meta = document_metadata(body, dims, cats, o)
+    meta = materialize(document_metadata(body, dims, cats, o))
     failed = F.col("page_count").isNull()
     catalog = (
         files.select("doc_id", "filename", "file_size_bytes", "upload_date")
@@ -92,7 +95,7 @@ def ingest(files: DataFrame, dims: DataFrame, cats: DataFrame, options: IngestOp
     chunks = chunk_pages(pages)
     if o.max_chunks is not None:
         chunks = cap_chunks(chunks, o.max_chunks)
-    encoded = number_chunks(finite_vectors(chunks.withColumn("embedding", o.encoder(F.col("text")))), None)
+    encoded = materialize(number_chunks(finite_vectors(chunks.withColumn("embedding", o.encoder(F.col("text")))), None))
     return {
         "catalog": catalog,
         "doc_text": doc_text,

@@ -11,6 +11,7 @@ from ..functions.hooks import Encoder
 from ..functions.text import is_blank
 from ..operators import fusion, lexical, vectors as V
 from ..operators.keywords import expand_query
+from ..session import materialize
 
 
 def hybrid_search(
@@ -40,10 +41,12 @@ def hybrid_search(
         queries = V.encode_distinct(queries, encoder)
     phrases = expand_query(queries, stopwords) if expand else None
     keyword = lexical.keyword_ranks(queries, doc_text, stopwords, stemmer, phrases, postings, stats)
-    near = V.vector_topk(queries, vectors)
-    semantic = near.join(vectors.select("chunk_id", "doc_id"), "chunk_id")
+    semantic = V.vector_topk(queries, vectors, keep=("doc_id",))
     fused = fusion.rrf(keyword, semantic, kw_weight=kw_weight, sem_weight=sem_weight)
-    hits = fusion.attach_metadata(fusion.rerank_pool(fused, limit), docs)
+    # At most thirty rows a query; written out, so that Spark knows how small they are and
+    # looks them up in the catalog and the chunks without shuffling either.
+    pool = materialize(fusion.rerank_pool(fused, limit))
+    hits = fusion.attach_metadata(pool, docs)
     shown = [c for c in ("page", "text") if c in vectors.columns]
     if shown:
         hits = hits.join(vectors.select("chunk_id", *shown), "chunk_id")
