@@ -75,7 +75,8 @@ def nfkc() -> Encoder:
 
 
 def porter() -> Encoder:
-    """M5: Porter (1980) stems, meant for a column of distinct terms."""
+    """M5: Porter (1980) stems. A worker remembers the stems of recent terms."""
+    memo: dict[str, str] = {}
 
     @F.pandas_udf(T.StringType())
     def stem(s: pd.Series) -> pd.Series:
@@ -143,7 +144,12 @@ def porter() -> Encoder:
                 w = w[:-1]
             return w
 
-        return s.map(one, na_action="ignore")
+        if len(memo) > 1 << 18:
+            memo.clear()
+        for w in s.dropna().unique():
+            if w not in memo:
+                memo[w] = one(w)
+        return s.map(memo, na_action="ignore")
 
     return stem
 

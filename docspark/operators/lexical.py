@@ -18,12 +18,6 @@ from ..session import materialize
 from ..functions.text import count_index_tokens, index_tokens, let, words
 
 
-def stem_terms(terms: DataFrame, stemmer: Encoder, column: str = "term") -> DataFrame:
-    """Adds `stem` to a table of terms; each distinct term is stemmed once."""
-    stems = terms.select(column).distinct().withColumn("stem", stemmer(F.col(column)))
-    return terms.join(stems, column)
-
-
 def document_tokens(doc_text: DataFrame) -> DataFrame:
     """(doc_id, pos, term) for every token of the text."""
     return doc_text.select("doc_id", F.posexplode(index_tokens("text")).alias("pos", "term"))
@@ -35,22 +29,27 @@ def build_postings(doc_text: DataFrame, stemmer: Encoder | None = None, position
 
     A whole index partitions the documents once and groups inside that partitioning. When
     only some terms are wanted (`only`, one column `term`), tokens are filtered first and
-    just the matching ones are shuffled.
+    just the matching ones are shuffled. With a stemmer each document's distinct terms are
+    stemmed where they are and grouped again by stem; a common term is never gathered.
     """
-    if only is None:
+    if only is None or stemmer is not None:
         doc_text = doc_text.select("doc_id", "text").repartition("doc_id")
     tokens = document_tokens(doc_text)
-    if stemmer is not None:
-        stems = tokens.select("term").distinct().withColumn("stem", stemmer(F.col("term")))
-        if only is not None:
-            stems = stems.join(only.select(F.col("term").alias("stem")), "stem", "left_semi")
-        tokens = tokens.join(stems, "term").select("doc_id", "pos", F.col("stem").alias("term"))
-    elif only is not None:
+    if only is not None and stemmer is None:
         tokens = tokens.join(only, "term", "left_semi")
     aggs = [F.count("*").alias("tf")]
     if positions:
         aggs.append(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return tokens.groupBy("doc_id", "term").agg(*aggs)
+    postings = tokens.groupBy("doc_id", "term").agg(*aggs)
+    if stemmer is None:
+        return postings
+    stemmed = postings.withColumn("term", stemmer(F.col("term")))
+    if only is not None:
+        stemmed = stemmed.join(only, "term", "left_semi")
+    aggs = [F.sum("tf").alias("tf")]
+    if positions:
+        aggs.append(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return stemmed.groupBy("doc_id", "term").agg(*aggs)
 
 
 def doc_stats(doc_text: DataFrame, columns: Iterable[str] = ("filename", "text", "tags", "summary")) -> DataFrame:
@@ -89,18 +88,11 @@ def match_items(terms: DataFrame, phrases: DataFrame | None = None, stemmer: Enc
     if phrases is not None:
         raw = raw.unionByName(phrases.select("query_id", F.col("phrase").alias("t")))
     items = raw.select("query_id", index_tokens("t").alias("tokens"))
-    if stemmer is not None:
-        # A query table's distinct items only, so the hook sees each token once an item.
-        items = items.groupBy("query_id", "tokens").agg(F.count("*").alias("weight"))
-        tok = items.select("query_id", "tokens", "weight", F.posexplode("tokens").alias("i", "t"))
-        tok = stem_terms(tok, stemmer, "t")
-        return tok.select(
-            "query_id", F.array_join("tokens", " ").alias("item"), "weight", "i",
-            F.size("tokens").alias("n"), F.col("stem").alias("term"))
     items = items.groupBy("query_id", "tokens").agg(F.count("*").alias("weight"))
-    return items.select(
+    parts = items.select(
         "query_id", F.array_join("tokens", " ").alias("item"), "weight",
         F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "term"))
+    return parts if stemmer is None else parts.withColumn("term", stemmer(F.col("term")))
 
 
 def item_matches(items: DataFrame, postings: DataFrame) -> DataFrame:
