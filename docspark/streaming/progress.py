@@ -39,8 +39,9 @@ def silent_documents(progress: DataFrame, now, hours: int = 2) -> DataFrame:
 def track_progress(stream: DataFrame, silence_hours: int = 2, delay: str = "2 hours") -> DataFrame:
     """X2 and X3 on a stream: (doc_id, ts, step, pct, status, error_message) on every change.
 
-    State is one record a document and is dropped when the document ends or stays silent
-    past the limit, so it does not grow with the number of documents ever seen.
+    State is one record a document and is dropped once nothing has come for the limit, so
+    it does not grow with the number of documents ever seen. An ended document is remembered
+    that long too: a record that comes late does not start it again.
     """
     limit_ms = silence_hours * 3600 * 1000
     done, message = DONE, K.STALE_MESSAGE
@@ -50,8 +51,9 @@ def track_progress(stream: DataFrame, silence_hours: int = 2, delay: str = "2 ho
         if state.hasTimedOut:
             ts, step, pct = state.get
             state.remove()
-            yield pd.DataFrame({"doc_id": [key[0]], "ts": [pd.Timestamp(ts, unit="us")], "step": [step], "pct": [pct],
-                                "status": ["failed"], "error_message": [message]})
+            if step not in done:
+                yield pd.DataFrame({"doc_id": [key[0]], "ts": [pd.Timestamp(ts, unit="us")], "step": [step], "pct": [pct],
+                                    "status": ["failed"], "error_message": [message]})
             return
         ts, step, pct = state.get if state.exists else (-1, "", 0)
         for f in frames:
@@ -59,12 +61,8 @@ def track_progress(stream: DataFrame, silence_hours: int = 2, delay: str = "2 ho
             r = f.sort_values(["us", "step", "pct"]).iloc[-1]
             if (r["us"], r["step"], r["pct"]) > (ts, step, pct):
                 ts, step, pct = int(r["us"]), str(r["step"]), int(r["pct"])
-        if step in done:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((ts, step, pct))
-            state.setTimeoutTimestamp(max(ts // 1000 + limit_ms, state.getCurrentWatermarkMs() + 1))
+        state.update((ts, step, pct))
+        state.setTimeoutTimestamp(max(ts // 1000 + limit_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"doc_id": [key[0]], "ts": [pd.Timestamp(ts, unit="us")], "step": [step], "pct": [pct],
                             "status": [step if step in done else "processing"], "error_message": [None]})
 

@@ -189,3 +189,16 @@ def test_present_documents(spark):
     a, b = C.present_documents(docs).orderBy("doc_id").collect()
     assert (a.meta, a.pills, a.shown_tags) == ("1 pg · 1.5 KB", ["s1", "s2", "m1"], ["t1", "t2", "t3"])
     assert a.short_summary == ("x y " + "z" * 90)[:78] + "…" and b.summary_line == "" and b.meta == "3 pgs" and b.pills == ["t1", "t2"]
+
+
+def test_late_record_does_not_restart_an_ended_document(spark):
+    path, out, cp = shared_dir(spark), shared_dir(spark), shared_dir(spark)
+    schema = "doc_id long, ts timestamp, step string, pct int, detail string"
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    for rows in ([(1, at(5), "completed", 100, ""), (2, at(5), "saving", 97, "")], [(1, at(3), "saving", 97, "")], [(3, at(400), "saving", 97, "")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    SP.write_latest(SP.track_progress(s), out, cp, mode="update", trigger={"availableNow": True}).awaitTermination()
+    seen = {(r.doc_id, r.step, r.status) for r in spark.read.parquet(out).collect()}
+    assert {x for x in seen if x[0] == 1} == {(1, "completed", "completed")}
+    assert (2, "saving", "failed") in seen and (3, "saving", "failed") not in seen
