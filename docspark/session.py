@@ -29,18 +29,20 @@ def build_session(master: str | None = None, cores: int | None = None, app: str
     return builder.getOrCreate()
 
 
+_LOCAL: dict[str, str] = {}  # the folder of a local session that names none
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh sub-folder of the folder named in spark.checkpoint.dir.
 
     Only a local session may fall back to a temporary folder; a cluster has to
     name one that every executor can reach.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get("dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _LOCAL["dir"] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
