@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .chat import format_conversations, read_back
 from .common import table
+from .top_products import top_products
 from .vector_dups import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +31,48 @@ def query(name: str, sql: str | None = None):
 @query("op2_vector_dups")
 def op2(spark, d):
     return near_vectors(table(spark, d, "embeddings"))
+
+
+def _whole_vectors(spark, d):
+    """Every component x as floor(64 x); null where the vector is null or holds null or non-finite components."""
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return table(spark, d, "embeddings").select("vec_id", F.when(fine, F.transform(
+        "embedding", lambda x: F.floor(x.cast("double") * 64))).alias("vec"))
+
+
+@query("op7_top_products", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS vec FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.vec::DOUBLE[], c.vec::DOUBLE[])::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
+def op7(spark, d):
+    rows = _whole_vectors(spark, d)
+    return top_products(rows, rows.where(F.col("vec_id") % 20 == 0), 20)
+
+
+@query("op8_chat_format", """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, replace(text, '\\', '\\\\') AS b, replace(replace(role, '\\', '\\\\'), chr(10), '\\' || chr(10)) AS r FROM c),
+f AS (SELECT *, replace(replace(replace(replace(b, '<s>', '<\\s>'), '</s>', '<\\/s>'), '[INST]', '[\\INST]'), '[/INST]', '[\\/INST]') AS body,
+    replace(replace(replace(replace(r, '<s>', '<\\s>'), '</s>', '<\\/s>'), '[INST]', '[\\INST]'), '[/INST]', '[\\/INST]') AS name FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    (3 + sum(CASE WHEN role = 'assistant' THEN length(body) + 4 ELSE length(name) + length(body) + 14 END))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id""")
+def op8(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    own = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], rows.schema))
+    place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    rows = rows.withColumn("message", F.struct("turn", place.alias("place")))
+    # Each row is the log of one message: it opens with the first half of its text, the rest comes as a delta.
+    half = F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    parts = F.array(F.struct(F.lit(0).alias("seq"), F.lit("message").alias("event"), F.col("role").alias("by"), F.substring("text", F.lit(1), half).alias("part")),
+                    F.struct(F.lit(1).alias("seq"), F.lit("delta").alias("event"), F.lit(None).cast("string").alias("by"), F.col("text").substr(half + 1, F.length("text")).alias("part")))
+    events = rows.select("conv_id", "message", F.explode(parts).alias("e")).select(
+        "conv_id", "message", "e.seq", "e.event", F.col("e.by").alias("role"), F.col("e.part").alias("text"))
+    return read_back(format_conversations(events))
