@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_back
-from .common import table
+from .common import held_out, table
+from .langid import identify
 from .top_products import top_products
 from .vector_dups import near_vectors
 
@@ -76,3 +77,9 @@ def op8(spark, d):
     events = rows.select("conv_id", "message", F.explode(parts).alias("e")).select(
         "conv_id", "message", "e.seq", "e.event", F.col("e.by").alias("role"), F.col("e.part").alias("text"))
     return read_back(format_conversations(events))
+
+
+@query("op9_language_id")
+def op9(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang", "text")
+    return identify(docs.drop("lang"), docs.where(~F.col("held_out")).select("lang", "text"))
