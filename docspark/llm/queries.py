@@ -14,6 +14,7 @@ from .chat import format_conversations, read_back
 from .common import held_out, table
 from .langid import identify
 from .top_products import top_products
+from .toxicity import toxicity
 from .vector_dups import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +84,10 @@ def op8(spark, d):
 def op9(spark, d):
     docs = table(spark, d, "documents").select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang", "text")
     return identify(docs.drop("lang"), docs.where(~F.col("held_out")).select("lang", "text"))
+
+
+@query("op3_toxicity")
+def op3(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text")
+    scored = toxicity(docs, table(spark, d, "labels"), learn=docs.where(~F.col("held_out")))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
