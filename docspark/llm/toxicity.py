@@ -1,6 +1,7 @@
 """Toxicity of texts by a counterfactually regularised classifier.
 
-A sparse logistic model over the distinct words of a text. It is fitted to minimise the
+A sparse logistic model over the distinct words of a text, and over word beginnings of four to
+eight bytes by how dense they are in it (inflected languages have no list of words). It is fitted to minimise the
 log-loss on labelled texts, an L1 penalty, and a counterfactual penalty: in every labelled
 sentence that names a group, the identity term is swapped for the others of its kind and for
 a neutral word, and the squared change of the sentence's score is charged. So a model can't
@@ -35,13 +36,16 @@ IDENTITY = [
     ["patients", "deaf", "blind", "disabled", "elderly", "autistic"],
 ]
 
-SAMPLE = 32_768      # labelled texts used for fitting, at most
-CANDIDATES = 4_096   # words the model chooses from
+SAMPLE = 16_384      # labelled texts used for fitting, at most
+CANDIDATES = 4_096   # features the model chooses from
 MIN_TEXTS = 3        # toxic (or clean) sample texts that a candidate word occurs in
-L1 = 2e-4
+L1 = 1e-4
 SWAP = 1.0           # weight of the counterfactual penalty
 STEPS = 600
 
+PREFIXES = (4, 5, 6, 7, 8)        # bytes
+DENSITIES = (0.0, 0.01, 0.02, 0.04)  # shares of a text's words; a beginning counts from its second occurrence on
+
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _STOP = np.zeros(256, bool)
@@ -49,9 +53,51 @@ _STOP[[ord(c) for c in ".!?\n"]] = True
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray):
-    """Hash, row and start of each run of letters, lower-cased for A-Z."""
+    """Hash, row, start and end of each run of letters, lower-cased for A-Z, and the prefix sums behind the hashes.
+
+    The low three bits are left for the kind of a feature: 0 for a word, 1 to 4 for a density.
+    """
     starts, ends = runs(_LETTER[data], offsets)
-    return span_hash(prefix_sums(LOWER[data]), starts, ends), np.searchsorted(offsets, starts, "right") - 1, starts
+    sums = prefix_sums(LOWER[data])
+    return _base(span_hash(sums, starts, ends)), np.searchsorted(offsets, starts, "right") - 1, starts, ends, sums
+
+
+def _base(h: np.ndarray) -> np.ndarray:
+    return h & ~np.uint64(7)
+
+
+def _distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, hash) and how often each occurs, in order."""
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(first)
+    return row[at], h[at], np.diff(np.append(at, len(h)))
+
+
+def features(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, feature) of a chunk; with `known` (sorted base hashes) only features of these."""
+    def only(row, h):
+        if known is None:
+            return row, h
+        if not len(known):
+            return row[:0], h[:0]
+        hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+        return row[hit], h[hit]
+
+    h, row, starts, ends, sums = word_hashes(data, offsets)
+    n_words = np.bincount(row, minlength=len(offsets) - 1)
+    r, f, _ = _distinct(*only(row, h))
+    rows, found = [r], [f]
+    for size in PREFIXES:
+        long = ends - starts >= size
+        r, f, c = _distinct(*only(row[long], _base(span_hash(sums, starts[long], starts[long] + size))))
+        for level, least in enumerate(DENSITIES, 1):
+            dense = (c >= 2) & (c >= least * n_words[r])
+            rows.append(r[dense])
+            found.append(f[dense] | np.uint64(level))
+    return np.concatenate(rows), np.concatenate(found)
 
 
 def term_hashes(terms: list[str]) -> np.ndarray:
@@ -62,28 +108,26 @@ def term_hashes(terms: list[str]) -> np.ndarray:
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
+    return np.ascontiguousarray(h).view(np.int64)
 
 
 _WORDS = [("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.list_(pa.int64())), ("named", pa.list_(pa.int64()))]
 
 
 def _sample_words(rows: DataFrame) -> DataFrame:
-    """Per text: its distinct words, and the identity terms of its sentences (once a sentence)."""
+    """Per text: its distinct features (words), and the identity terms of its sentences (once a sentence)."""
     identity = np.sort(term_hashes([t for kind in IDENTITY for t in kind[1:]]))
 
     def run(batches):
         for batch in batches:
             for i, j, data, offsets in chunks(text_column(batch)):
-                h, row, start = word_hashes(data, offsets)
+                h, row, start, *_ = word_hashes(data, offsets)
                 hit = np.isin(h, identity)
                 sentence = np.cumsum(_STOP[data])[start[hit]] if hit.any() else np.zeros(0, np.int64)
                 named = np.unique(np.stack([row[hit], sentence, _signed(h[hit])]), axis=1) if hit.any() else np.zeros((3, 0), np.int64)
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                first = np.ones(len(h), bool)
-                first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                h, row = _signed(h[first]), row[first]
+                row, h = features(data, offsets)
+                order = np.argsort(row, kind="stable")
+                row, h = row[order], _signed(h[order])
                 cuts = np.searchsorted(row, np.arange(j - i + 1))
                 named_cuts = np.searchsorted(named[0], np.arange(j - i + 1))
                 lists = [pa.ListArray.from_arrays(pa.array(c, pa.int32()), pa.array(v, pa.int64())) for c, v in ((cuts, h), (named_cuts, named[2]))]
@@ -128,7 +172,7 @@ def train(x_row: np.ndarray, x_col: np.ndarray, y: np.ndarray, n_words: int, swa
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidates: int = CANDIDATES, swap: float = SWAP,
         min_texts: int = MIN_TEXTS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted word hashes, their weights and the bias, from docs (doc_id, text) and labels (doc_id, toxic)."""
+    """Sorted feature hashes, their weights and the bias, from docs (doc_id, text) and labels (doc_id, toxic)."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the documented bound
@@ -175,15 +219,15 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], co
 
     def run(batches):
         hashes, weights, bias = shared.value
+        known = np.unique(_base(hashes))
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(batch.num_columns - 1)):
-                h, row, _ = word_hashes(data, offsets)
+                row, h = features(data, offsets, known)
                 z = np.full(j - i, bias)
-                if len(hashes):
+                if len(h):
                     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                     hit = hashes[at] == h
-                    found = np.unique(row[hit].astype(np.int64) * len(hashes) + at[hit])  # a word counts once
-                    z += np.bincount(found // len(hashes), weights[found % len(hashes)], minlength=j - i)
+                    z += np.bincount(row[hit], weights[at[hit]], minlength=j - i)
                 score = pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))
                 kept = batch.slice(i, j - i).columns[:-1]
                 yield pa.RecordBatch.from_arrays([*kept, score], names=[*batch.schema.names[:-1], "score"])
