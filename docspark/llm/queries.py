@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import bpe_decode, bpe_encode
 from .chat import format_conversations, read_back
 from .common import held_out, table
 from .langid import identify
@@ -91,3 +92,18 @@ def op3(spark, d):
     docs = table(spark, d, "documents").select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text")
     scored = toxicity(docs, table(spark, d, "labels"), learn=docs.where(~F.col("held_out")))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_bpe_codec")
+def op5(spark, d):
+    path = _tokenizer()
+    ids = bpe_encode(table(spark, d, "documents").select("doc_id", "text"), path).drop("text")
+    both = bpe_decode(ids, path)
+    return both.select("doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
