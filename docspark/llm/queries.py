@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode
 from .chat import format_conversations, read_back
 from .common import held_out, table
+from .jaccard_join import similar_documents
 from .langid import identify
 from .top_products import top_products
 from .toxicity import toxicity
@@ -107,3 +108,8 @@ def op5(spark, d):
     both = bpe_decode(ids, path)
     return both.select("doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query("op10_jaccard_join")
+def op10(spark, d):
+    return similar_documents(table(spark, d, "documents").select("doc_id", "text"), n=3, percent=90)[0]
