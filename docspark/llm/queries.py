@@ -15,6 +15,7 @@ from .chat import format_conversations, read_back
 from .common import held_out, table
 from .jaccard_join import similar_documents
 from .langid import identify
+from .suffix_dedup import remove_repeats
 from .top_products import top_products
 from .toxicity import toxicity
 from .vector_dups import near_vectors
@@ -113,3 +114,10 @@ def op5(spark, d):
 @query("op10_jaccard_join")
 def op10(spark, d):
     return similar_documents(table(spark, d, "documents").select("doc_id", "text"), n=3, percent=90)[0]
+
+
+@query("op4_suffix_dedup")
+def op4(spark, d):
+    cut = remove_repeats(table(spark, d, "documents").select("doc_id", "text"), with_text=False)
+    size = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return cut.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
