@@ -15,6 +15,7 @@ from .chat import format_conversations, read_back
 from .common import held_out, table
 from .jaccard_join import similar_documents
 from .langid import identify
+from .mixing import mixing_rates
 from .suffix_dedup import remove_repeats
 from .top_products import top_products
 from .toxicity import toxicity
@@ -121,3 +122,19 @@ def op4(spark, d):
     cut = remove_repeats(table(spark, d, "documents").select("doc_id", "text"), with_text=False)
     size = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return cut.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+#: Shares of tokens that op1 aims at, by quality and toxicity.
+WEIGHTS = {"quality_1_toxic_0": 0.85, "quality_0_toxic_0": 0.12, "quality_1_toxic_1": 0.02, "quality_0_toxic_1": 0.01}
+
+
+def domain_labels(spark, d):
+    name = F.concat(F.lit("quality_"), F.col("quality").cast("string"), F.lit("_toxic_"), F.col("toxic").cast("string"))
+    return table(spark, d, "labels").select("doc_id", name.alias("domain"))
+
+
+@query("op1_mixing")
+def op1(spark, d):
+    rates, domains = mixing_rates(table(spark, d, "documents").select("doc_id", "text"), domain_labels(spark, d), WEIGHTS)
+    return rates.select("doc_id", "n_tokens", F.round("rate", 6).alias("rate"),
+                        *[F.round(f"p{k}", 6).alias(f"p_{x}") for k, x in enumerate(domains)])
