@@ -16,6 +16,7 @@ from .common import held_out, table
 from .jaccard_join import similar_documents
 from .langid import identify
 from .mixing import mixing_rates
+from .ngram_lm import score_texts, train
 from .suffix_dedup import remove_repeats
 from .top_products import top_products
 from .toxicity import toxicity
@@ -138,3 +139,9 @@ def op1(spark, d):
     rates, domains = mixing_rates(table(spark, d, "documents").select("doc_id", "text"), domain_labels(spark, d), WEIGHTS)
     return rates.select("doc_id", "n_tokens", F.round("rate", 6).alias("rate"),
                         *[F.round(f"p{k}", 6).alias(f"p_{x}") for k, x in enumerate(domains)])
+
+
+@query("op6_lm_score")
+def op6(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "text")
+    return score_texts(docs, train(docs.where(~F.col("held_out"))))
