@@ -98,7 +98,7 @@ def op3(spark, d):
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -106,7 +106,7 @@ def _tokenizer() -> str:
 
 @query("op5_bpe_codec")
 def op5(spark, d):
-    path = _tokenizer()
+    path = tokenizer_path()
     ids = bpe_encode(table(spark, d, "documents").select("doc_id", "text"), path).drop("text")
     both = bpe_decode(ids, path)
     return both.select("doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
