@@ -183,9 +183,9 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, fragments:
 def _between(texts: DataFrame, where: DataFrame, n: int, t: float) -> DataFrame:
     """Candidate pairs of different components among the nodes of `where` (node, component).
 
-    Elements go by frequency, then value. A pair comes up at an element in both prefixes, where
-    the elements before it, all missing in the other set if it is the first in common, leave
-    enough room.
+    Elements go by frequency, then value. A pair comes up at an element in both prefixes, if the
+    elements before it, all missing in the other set if it is the first in common, and the
+    difference in number of those after it leave enough room.
     """
     grams = materialize(sets_of(texts.join(where.select("node"), "node", "left_semi"), n).select(
         "node", F.size("grams").alias("size"), F.explode("grams").alias("g")))
@@ -198,8 +198,10 @@ def _between(texts: DataFrame, where: DataFrame, n: int, t: float) -> DataFrame:
     posts = posts.join(mixed, "g")
     x, y = posts.alias("x"), posts.alias("y")
     room = F.lit((1 - t) / (1 + t)) * (F.col("x.size") + F.col("y.size")) + 1e-6
+    i, j = F.col("x.pos"), F.col("y.pos")
+    missed = i + j + F.abs((F.col("x.size") - i) - (F.col("y.size") - j))
     pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-                   & (F.col("x.pos") + F.col("y.pos") <= room) & (F.abs(F.col("x.size") - F.col("y.size")) <= room))
+                   & (missed <= room))
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
