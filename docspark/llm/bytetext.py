@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 4 << 20  # bytes a chunk; a longer text is a chunk of its own
+CHUNK = 1 << 20  # bytes a chunk; a longer text is a chunk of its own
 
 _rng = np.random.default_rng(20_240_117)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
