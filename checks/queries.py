@@ -70,13 +70,14 @@ _FILES = (f"SELECT '/in/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS path, uppe
 
 
 @query("s2_accept_files", f"""
-    WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path) AS r FROM ({_FILES})) WHERE r = 1),
-    g AS (SELECT path, name, length, CASE WHEN {S.EXT.format('name')} NOT IN {S.in_list(K.ALLOWED_EXTENSIONS)} THEN 'unsupported format'
+    WITH f AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path) AS r FROM ({_FILES})),
+    g AS (SELECT path, name, length, CAST(r > 1 AS INT) AS duplicate_name, CASE WHEN {S.EXT.format('name')} NOT IN {S.in_list(K.ALLOWED_EXTENSIONS)} THEN 'unsupported format'
       WHEN length > {K.MAX_UPLOAD_BYTES} THEN 'too large' END AS reason FROM f)
-    SELECT path, name, length, CAST(reason IS NULL AS INT) AS accepted, coalesce(reason, '') AS reason FROM g""")
+    SELECT path, name, length, CAST(reason IS NULL AS INT) AS accepted, coalesce(reason, '') AS reason, duplicate_name FROM g""")
 def s2(spark, d):
     return SF.accept_files(_files(spark, d)).select(
-        "path", "name", "length", F.col("accepted").cast("int").alias("accepted"), F.coalesce("reason", F.lit("")).alias("reason"))
+        "path", "name", "length", F.col("accepted").cast("int").alias("accepted"), F.coalesce("reason", F.lit("")).alias("reason"),
+        F.col("duplicate_name").cast("int").alias("duplicate_name"))
 
 
 @query("s3_register_documents", f"""
@@ -451,9 +452,9 @@ def t4(spark, d):
 @query("t3_newest_first", S.build("SELECT doc_id, CAST(row_number() OVER (ORDER BY upload_date DESC, doc_id) AS BIGINT) AS place, status FROM base", "base"))
 def t3(spark, d):
     docs = C.newest_first(I.catalog(spark, d, tags=False).select("doc_id", "status", "upload_date"))
-    # Upload dates are a minute apart by construction, so the place follows from the date.
-    last = docs.agg(F.max("upload_date")).scalar()
-    return docs.select("doc_id", ((F.unix_timestamp(last) - F.unix_timestamp("upload_date")) / 60 + 1).cast("bigint").alias("place"), "status")
+    # The place is that of the row in the sorted output.
+    placed = materialize(docs.withColumn("o", F.monotonically_increasing_id()))
+    return placed.select("doc_id", F.row_number().over(Window.orderBy("o")).cast("bigint").alias("place"), "status")
 
 
 # --- Scalar functions ---------------------------------------------------------
@@ -645,7 +646,7 @@ def f20(spark, d):
       SELECT doc_id, array_to_string(string_split({S.collapse('text')}, ' ')[1:600], ' ') AS i,
         string_split(regexp_replace({S.strip('text')}, '([.!?]){S.WS}', '\\1' || chr(1)), chr(1))[1] AS o FROM documents)""")
 def f21(spark, d):
-    return I.documents(spark, d).select("doc_id", T.model_summary_input("text").alias("input"), F.coalesce(T.model_summary_output("text"), F.lit("")).alias("output"))
+    return I.documents(spark, d).select("doc_id", T.model_summary_input("text", 600).alias("input"), F.coalesce(T.model_summary_output("text"), F.lit("")).alias("output"))
 
 
 @query("m4_summarize", f"""
@@ -684,9 +685,9 @@ def w3(spark, d):
         "doc_id", "page", big("part"), "text")
 
 
-@query("w4_cap_chunks", f"SELECT doc_id, page FROM (SELECT conv_id AS doc_id, turn + 1 AS page, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r <= {K.MAX_CHUNKS_PER_DOC}")
+@query("w4_cap_chunks", f"SELECT doc_id, page FROM (SELECT conv_id AS doc_id, turn + 1 AS page, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r <= 3")
 def w4(spark, d):
-    return chunking.cap_chunks(I.conversation_pages(spark, d).withColumn("part", F.lit(0))).select("doc_id", big("page"))
+    return chunking.cap_chunks(I.conversation_pages(spark, d).withColumn("part", F.lit(0)), 3).select("doc_id", big("page"))
 
 
 @query("l1_reading_order", S.build(f"""
@@ -817,7 +818,7 @@ def _searchable(spark, d):
 
 
 @query("r8_rerank", S.build(f"""
-    SELECT query_id, chunk_id, ce_score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(ce_score, 0) DESC, fused_rank) AS rank FROM (
+    SELECT query_id, chunk_id, ce_score, row_number() OVER (PARTITION BY query_id ORDER BY ce_score DESC NULLS LAST, fused_rank) AS rank FROM (
       SELECT h.query_id, h.chunk_id, h.fused_rank, CASE WHEN count(*) OVER (PARTITION BY h.query_id) > 1 THEN {_OVERLAP} END AS ce_score
       FROM hits h JOIN qs q USING (query_id) JOIN documents x USING (doc_id))""", "hits", "qs"))
 def r8(spark, d):
@@ -836,6 +837,37 @@ def r9(spark, d):
     return hits.select("query_id", big("rank"), "chunk_id", "doc_id", big("page"), "score", "similarity", "filename", "summary", joined("tags").alias("tags"))
 
 
+_SCORES = "CASE WHEN length(x.text) % 3 > 0 THEN -(length(x.text) % 7) / 2.0 END"
+
+
+@query("r8_rerank_scores", S.build(f"""
+    SELECT query_id, chunk_id, coalesce(ce_score, 99) AS ce_score, row_number() OVER (PARTITION BY query_id ORDER BY ce_score DESC NULLS LAST, fused_rank) AS rank FROM (
+      SELECT h.query_id, h.chunk_id, h.fused_rank, CASE WHEN count(*) OVER (PARTITION BY h.query_id) > 1 THEN {_SCORES} END AS ce_score
+      FROM hits h JOIN documents x USING (doc_id))""", "hits"))
+def r8b(spark, d):
+    """A scorer whose scores are not positive and sometimes missing."""
+    hits = fusion.attach_metadata(fusion.rerank_pool(_fused(spark, d)), I.catalog(spark, d, tags=False))
+    hits = hits.join(I.documents(spark, d).select("doc_id", "text"), "doc_id").withColumn("query", F.lit(""))
+    score = lambda q, t: F.when(F.length(t) % 3 > 0, -(F.length(t) % 7) / F.lit(2.0))
+    return fusion.rerank(hits, score).select("query_id", "chunk_id", F.coalesce("ce_score", F.lit(99.0)).alias("ce_score"), big("rank"))
+
+
+@query("r9_hybrid_search_stored", SQL["r9_hybrid_search"])
+def r9c(spark, d):
+    """The search of r9 over a stored index: postings and lengths are read, no text is tokenised."""
+    docs = I.documents(spark, d).select("doc_id", "text")
+    postings, stats = materialize(lexical.build_postings(docs)), materialize(lexical.doc_stats(docs))
+    hits = PS.hybrid_search(I.queries(spark, d), I.catalog(spark, d), docs, I.vectors(spark, d), postings=postings, stats=stats)
+    return hits.select("query_id", big("rank"), "chunk_id", "doc_id", big("page"), "score", "similarity", "filename", "summary", joined("tags").alias("tags"))
+
+
+@query("t2_top_hits_of_50", S.build("""SELECT query_id, rank, chunk_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sem_rank) AS rank
+    FROM (SELECT query_id, chunk_id, min(sem_rank) AS sem_rank, min_by(score, sem_rank) AS score FROM fused GROUP BY 1, 2)) WHERE rank <= 50""", "fused"))
+def t2b(spark, d):
+    """A limit beyond the reranker's usual bound."""
+    return fusion.top_hits(fusion.fused_order(fusion.rerank_pool(_fused(spark, d), 50)), 50).select("query_id", big("rank"), "chunk_id")
+
+
 @query("t2_top_hits", S.build("SELECT query_id, rank, chunk_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS rank FROM hits) WHERE rank <= 3", "hits"))
 def t2(spark, d):
     hits = fusion.attach_metadata(fusion.rerank_pool(_fused(spark, d)), I.catalog(spark, d, tags=False))
@@ -1052,7 +1084,7 @@ def _progress_stream(spark, d):
 def x2b(spark, d):
     out, cp = shared_dir(spark), shared_dir(spark)
     _run(lambda: SP.write_latest(SP.latest_progress(_progress_stream(spark, d)), out, cp, trigger={"availableNow": True}))
-    return spark.read.parquet(out).select("doc_id", _ts(), "step", "pct")
+    return SP.read_latest(spark, out).select("doc_id", _ts(), "step", "pct")
 
 
 _END = "(SELECT max(ts) FROM lastp)"
@@ -1078,7 +1110,7 @@ def x4(spark, d):
     docs = _stream(spark, d, "events").select(F.lit("completed").alias("status"), F.array("event_type").alias("tags"))
     out, cp = shared_dir(spark), shared_dir(spark)
     _run(lambda: SP.write_latest(SP.live_tags(docs), out, cp, trigger={"availableNow": True}))
-    return spark.read.parquet(out)
+    return SP.read_latest(spark, out)
 
 
 @query("x4_live_counts_stream", """SELECT count(*) FILTER (lang = 'en') AS "all", count(*) FILTER (lang = 'en' AND n_chars > 2000) AS syllabus, 0::BIGINT AS notes, 0::BIGINT AS assign,
@@ -1089,13 +1121,18 @@ def x4b(spark, d):
         F.when(F.col("n_chars") > 2000, "syllabus").alias("doc_type"))
     out, cp = shared_dir(spark), shared_dir(spark)
     _run(lambda: SP.write_latest(SP.live_counts(docs), out, cp, trigger={"availableNow": True}))
-    return spark.read.parquet(out)
+    return SP.read_latest(spark, out)
 
 
 @query("x5_drop_redelivered", "SELECT doc_id, count(*) AS n FROM documents GROUP BY doc_id")
 def x5(spark, d):
-    twice = _stream(spark, d, "documents").select(
-        "doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"), "text", F.timestamp_seconds(F.col("doc_id") + 1_704_067_200).alias("upload_date"))
-    out, cp = shared_dir(spark), shared_dir(spark)
-    _run(lambda: SP.write_latest(SI.drop_redelivered(twice), out, cp, mode="append", trigger={"availableNow": True}))
+    """Every document twice in a batch, and in two batches: the second brings all that the first
+    brought, and documents whose own date is months older. Nothing is lost, nothing comes twice."""
+    src, out, cp = shared_dir(spark), shared_dir(spark), shared_dir(spark)
+    docs = I.documents(spark, d).select("doc_id", "text", F.timestamp_seconds(1_704_067_200 - F.col("doc_id") * 86_400).alias("upload_date"))
+    for part in (docs.where("doc_id % 2 = 0"), docs):
+        part.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(docs.schema).parquet(src)
+        twice = stream.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+        _run(lambda: SP.write_latest(SI.drop_redelivered(twice), out, cp, mode="append", trigger={"availableNow": True}))
     return spark.read.parquet(out).groupBy("doc_id").agg(F.count("*").alias("n"))

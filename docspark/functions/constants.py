@@ -23,6 +23,7 @@ RRF_KW_WEIGHT = 2.0
 RRF_SEM_WEIGHT = 1.0
 KEYWORD_TOP = 50
 SEMANTIC_TOP = 100
+RERANK_MOST = 30
 BM25_K1 = 1.2
 BM25_B = 0.75
 BM25_IDF_FLOOR = 1e-6
@@ -34,15 +35,7 @@ MAX_TAGS_PER_VALUE = 20
 
 # --- Fixed values: how much of a text the model-backed steps may be shown.
 # Every function reads the whole text unless one of these is passed to it.
-OVERVIEW_HEAD = 3000
 SHORT_SUMMARY_HEAD = 600
-INSIGHTS_HEAD = 5000
-FINDINGS_HEAD = 3000
-KEYPHRASE_HEAD = 4000
-CANDIDATE_DOC_HEAD = 400
-CLASSIFY_HEAD = 1500
-SYLLABUS_HEAD = 300
-SYLLABUS_TAG_HEAD = 500
 
 # --- Fixed values: tag vocabulary -----------------------------------------
 SYLLABUS_TAGS = ["Course Syllabus", "Syllabus"]

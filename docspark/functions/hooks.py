@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import col, index_tokens, let, model_summary_input, model_summary_output, fallback_summary, words
+from .text import col, let, model_summary_input, model_summary_output, fallback_summary, words
 
 Encoder = Callable[[Column], Column]
 DIMENSIONS = 64
@@ -57,11 +57,12 @@ def overlap_scorer(query, text) -> Column:
         F.size(q) > 0, F.size(F.array_intersect(q, words(text))) / F.size(q)).otherwise(F.lit(0.0)))
 
 
-def summarize(text, summarizer: Encoder | None = None) -> Column:
-    """M4: a model's first sentence when a model is given and answers, else the lead."""
+def summarize(text, summarizer: Encoder | None = None, max_words: int | None = None) -> Column:
+    """M4: a model's first sentence when a model is given and answers, else the lead. The model
+    is shown the whole text unless `max_words` bounds it."""
     if summarizer is None:
         return fallback_summary(text)
-    return F.coalesce(model_summary_output(summarizer(model_summary_input(text))), fallback_summary(text))
+    return F.coalesce(model_summary_output(summarizer(model_summary_input(text, max_words))), fallback_summary(text))
 
 
 def nfkc() -> Encoder:
@@ -153,7 +154,3 @@ def porter() -> Encoder:
 
     return stem
 
-
-def index_terms(text, stemmer=None) -> Column:
-    tokens = index_tokens(text)
-    return tokens if stemmer is None else F.transform(tokens, stemmer)

@@ -187,7 +187,9 @@ def _lead_step(a: Column, n_words: Column, budget: int) -> Column:
     )
 
 
-def model_summary_input(c, max_words: int = 600) -> Column:
+def model_summary_input(c, max_words: int | None = None) -> Column:
+    if max_words is None:
+        return collapse(c)
     return F.array_join(F.slice(F.split(collapse(c), " "), 1, max_words), " ")
 
 

@@ -18,7 +18,10 @@ def newest_first(docs: DataFrame) -> DataFrame:
 
 def list_documents(docs: DataFrame, doc_type: str | None = None, tag: str | None = None,
                    dimension: str | None = None, value: str | None = None) -> DataFrame:
-    """The listing, newest first. Empty filters are off; a dimension needs its value."""
+    """The listing, newest first. Empty filters are off; a dimension needs its value. A stored
+    type is filtered in the scan, a missing one is derived first."""
+    if doc_type:
+        docs = docs.filter((F.col("doc_type") == doc_type) | F.col("doc_type").isNull() | (F.col("doc_type") == ""))
     out = docs.withColumn("doc_type", F.coalesce(F.nullif("doc_type", F.lit("")), doc_type_of(
         F.coalesce("tags", F.array().cast("array<string>")))))
     if doc_type:

@@ -83,8 +83,8 @@ def chunk_pages(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.OVE
         "doc_id", "page", "part", F.col("c.text").alias("text"))
 
 
-def number_chunks(chunks: DataFrame, max_chunks: int | None = K.MAX_CHUNKS_PER_DOC) -> DataFrame:
-    """Chunk numbers from 0 in page order and chunk ids, up to the ingest limit.
+def number_chunks(chunks: DataFrame, max_chunks: int | None = None) -> DataFrame:
+    """Chunk numbers from 0 in page order and chunk ids; with `max_chunks` up to that many a document.
 
     Run it after unusable vectors are dropped. The window holds one document, whose size
     the intake limit bounds.

@@ -35,19 +35,21 @@ def rrf(keyword: DataFrame, semantic: DataFrame, **weights) -> DataFrame:
     return fused.withColumn("score", rrf_score(F.col("kw_rank"), F.col("sem_rank"), **weights))
 
 
-def pool_size(limit: int) -> int:
+def pool_size(limit: int, most: int = K.RERANK_MOST) -> int:
+    """Candidates a query that go on to the reranker: three times the limit, 15 at least, `most`
+    at most, but never fewer than the limit."""
     if limit < 1:
         raise ValueError("limit must be at least 1")
-    return min(max(limit * 3, 15), 30)
+    return max(limit, min(max(limit * 3, 15), most))
 
 
-def rerank_pool(fused: DataFrame, limit: int = 5) -> DataFrame:
+def rerank_pool(fused: DataFrame, limit: int = 5, most: int = K.RERANK_MOST) -> DataFrame:
     """Best candidates of each query in score order, ties by semantic rank. A chunk
     occurs once: its best-placed row is kept."""
     first = F.min_by(F.struct("doc_id", "similarity", "sem_rank", "kw_rank", "score"), F.col("sem_rank"))
     unique = fused.groupBy("query_id", "chunk_id").agg(first.alias("f")).select("query_id", "chunk_id", "f.*")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "sem_rank")
-    return unique.withColumn("fused_rank", F.row_number().over(w)).filter(F.col("fused_rank") <= pool_size(limit))
+    return unique.withColumn("fused_rank", F.row_number().over(w)).filter(F.col("fused_rank") <= pool_size(limit, most))
 
 
 def attach_metadata(hits: DataFrame, docs: DataFrame) -> DataFrame:
@@ -58,13 +60,13 @@ def attach_metadata(hits: DataFrame, docs: DataFrame) -> DataFrame:
 def rerank(hits: DataFrame, scorer=overlap_scorer, query: str = "query", text: str = "text") -> DataFrame:
     """Joint (query, text) scores reorder the hits of queries with more than one.
 
-    Hits are at most 30 a query here, so the scorer sees no more than that. Hits it cannot
-    score keep their fused order behind the others.
+    The scorer sees the pool of a query (pool_size) and no more. Hits it cannot score keep
+    their fused order behind the others, whatever sign scores have.
     """
     whole = Window.partitionBy("query_id")
     scored = hits.withColumn("n_hits", F.count("*").over(whole)).withColumn(
         "ce_score", F.when(F.col("n_hits") > 1, F.round(scorer(F.col(query), F.col(text)), 4)))
-    order = whole.orderBy(F.coalesce("ce_score", F.lit(0.0)).desc(), "fused_rank")
+    order = whole.orderBy(F.col("ce_score").desc_nulls_last(), "fused_rank")
     return scored.withColumn("rank", F.row_number().over(order)).drop("n_hits")
 
 

@@ -21,8 +21,11 @@ def upsert(target: DataFrame, changes: DataFrame, key: str = "doc_id") -> DataFr
 
 
 def update_columns(target: DataFrame, changes: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
-    """U1 for some columns: rows with a change take its values, nulls included."""
-    new = changes.select(key, F.lit(True).alias("_changed"), *[F.col(c).alias(f"_{c}") for c in columns])
+    """U1 for some columns: rows with a change take its values, nulls included. Of several changes
+    of one key the greatest, written as JSON, counts."""
+    values = F.struct(*columns)
+    one = changes.groupBy(key).agg(F.max_by(values, F.to_json(values)).alias("c")).select(key, "c.*")
+    new = one.select(key, F.lit(True).alias("_changed"), *[F.col(c).alias(f"_{c}") for c in columns])
     joined = target.join(new, key, "left")
     return joined.select(*[
         F.when(F.col("_changed"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)

@@ -32,7 +32,8 @@ class IngestOptions:
     stemmer: Encoder | None = None
     nfkc: Encoder | None = None
     model_version: str = "hash-64"
-    max_chunks: int | None = K.MAX_CHUNKS_PER_DOC
+    max_chunks: int | None = None
+    summary_words: int | None = None
     sample_pages: int | None = None
     classify_chars: int | None = None
     keywords: object = field(default=content_keywords)
@@ -54,7 +55,7 @@ def document_metadata(docs: DataFrame, dims: DataFrame, cats: DataFrame,
     tags = document_tags(docs, label_union(cats), o.keyword_encoder, keywords=o.keywords)
     classes = classify_text(docs, dims, cats, o.encoder, o.classify_chars)
     return (
-        docs.select("doc_id", summarize(F.col("text"), o.summarizer).alias("summary"),
+        docs.select("doc_id", summarize(F.col("text"), o.summarizer, o.summary_words).alias("summary"),
                     key_findings("text").alias("key_findings"), empty_entities().alias("entities"))
         .join(classes, "doc_id", "left").join(tags, "doc_id", "left")
         .withColumns({"classifications": F.coalesce("classifications", no_map), "tags": F.coalesce("tags", none)})
@@ -65,9 +66,12 @@ def ingest(files: DataFrame, dims: DataFrame, cats: DataFrame, options: IngestOp
     """Corpus tables of a batch of (doc_id, filename, file_size_bytes, upload_date, text).
 
     A document without text becomes a failed catalog row and appears in no other table; it
-    does not disturb the others.
+    does not disturb the others. So does one with a `reason` (an optional column), which then
+    is its message.
     """
     o = options or IngestOptions()
+    reason = F.col("reason") if "reason" in files.columns else F.lit(None).cast("string")
+    files = files.withColumn("reason", reason).withColumn("text", F.when(F.col("reason").isNull(), F.col("text")))
     # Pages, metadata and encoded chunks feed several tables: each is computed once and
     # written to the shared folder.
     pages = materialize(paginate_text(files.select("doc_id", normalize_text("text", o.nfkc).alias("text"))))
@@ -77,7 +81,7 @@ def ingest(files: DataFrame, dims: DataFrame, cats: DataFrame, options: IngestOp
     meta = materialize(document_metadata(body, dims, cats, o))
     failed = F.col("page_count").isNull()
     catalog = (
-        files.select("doc_id", "filename", "file_size_bytes", "upload_date")
+        files.select("doc_id", "filename", "file_size_bytes", "upload_date", "reason")
         .join(whole.select("doc_id", "page_count"), "doc_id", "left")
         .join(meta, "doc_id", "left")
         .select(
@@ -85,7 +89,7 @@ def ingest(files: DataFrame, dims: DataFrame, cats: DataFrame, options: IngestOp
             "summary", "tags", "classifications", "key_findings", "entities",
             doc_type("tags", "classifications").alias("doc_type"),
             F.when(failed, "failed").otherwise("completed").alias("status"),
-            F.when(failed, K.NO_TEXT_MESSAGE).alias("error_message"), "upload_date",
+            F.coalesce("reason", F.when(failed, K.NO_TEXT_MESSAGE)).alias("error_message"), "upload_date",
         )
     )
     doc_text = (

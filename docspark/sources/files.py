@@ -34,20 +34,18 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def accept_files(files: DataFrame, max_bytes: int = K.MAX_UPLOAD_BYTES) -> DataFrame:
-    """One row a file name, with `accepted` and the reason for a rejection.
-
-    Of several files with one name the smallest path is kept, by an aggregate that
-    combines before the shuffle.
+    """Every file, with `accepted`, the reason for a rejection, and whether its name is a
+    `duplicate_name`: another file of that name has a smaller path. Both are kept.
     """
-    first = files.groupBy("name").agg(F.min_by(F.struct("path", "length"), F.col("path")).alias("f"))
+    first = files.groupBy("name").agg(F.min("path").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("name", "_first")
     ext = file_extension("name")
     reason = (
         F.when(~ext.isin(K.ALLOWED_EXTENSIONS), "unsupported format")
-        .when(F.col("f.length") > max_bytes, "too large")
+        .when(F.col("length") > max_bytes, "too large")
     )
-    return first.select(
-        F.col("f.path").alias("path"), "name", F.col("f.length").alias("length"),
-        reason.isNull().alias("accepted"), reason.alias("reason"),
+    return files.join(first, "name", "left").select(
+        "path", "name", "length", reason.isNull().alias("accepted"), reason.alias("reason"),
+        F.coalesce(F.col("path") > F.col("_first"), F.lit(False)).alias("duplicate_name"),
     )
 
 

@@ -21,19 +21,23 @@ BINARY_FILE = "path string, modificationTime timestamp, length bigint, content b
 
 
 def text_file_stream(spark: SparkSession, path: str, per_trigger: int = 10_000) -> DataFrame:
-    """Arriving text files as (doc_id, filename, file_size_bytes, upload_date, text)."""
+    """Arriving files as (doc_id, filename, file_size_bytes, upload_date, text, reason). A file that
+    is no text file or too large comes without text and with the reason, and ends as a failed
+    catalog row."""
     files = (
         spark.readStream.format("binaryFile").schema(BINARY_FILE)
         .option("maxFilesPerTrigger", per_trigger).load(path)
     )
     ext = file_extension("path")
-    return files.filter(ext.isin(K.TEXT_EXTENSIONS) & ext.isin(K.ALLOWED_EXTENSIONS)
-                        & (F.col("length") <= K.MAX_UPLOAD_BYTES)).select(
+    reason = (F.when(~(ext.isin(K.TEXT_EXTENSIONS) & ext.isin(K.ALLOWED_EXTENSIONS)), "unsupported format")
+              .when(F.col("length") > K.MAX_UPLOAD_BYTES, "too large"))
+    return files.select(
         F.md5(F.concat_ws("|", "path", F.col("length").cast("string"))).alias("doc_id"),
         F.element_at(F.split("path", "/"), -1).alias("filename"),
         F.col("length").alias("file_size_bytes"),
         F.col("modificationTime").alias("upload_date"),
-        decode_text(F.col("content")).alias("text"),
+        F.when(reason.isNull(), decode_text(F.col("content"))).alias("text"),
+        reason.alias("reason"),
     )
 
 
@@ -45,17 +49,21 @@ def latest_delivery(files: DataFrame) -> DataFrame:
 
 
 def drop_redelivered(stream: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """X5 across batches: an unchanged document seen within the delay is not ingested again."""
-    return stream.withColumn("_digest", F.md5("text")).withWatermark("upload_date", delay).dropDuplicatesWithinWatermark(
-        ["doc_id", "_digest"]).drop("_digest")
+    """X5 across batches: an unchanged document delivered again within the delay is not ingested again.
+
+    The delay counts from arrival, so a document whose own date is old is never lost.
+    """
+    marked = stream.withColumns({"_digest": F.md5(F.coalesce("text", F.lit(""))), "_arrived": F.current_timestamp()})
+    return marked.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(["doc_id", "_digest"]).drop("_digest", "_arrived")
 
 
 def ingest_batch(files: DataFrame, batch_id: int, out: str, dims: DataFrame, cats: DataFrame,
                  options: IngestOptions | None = None) -> None:
     files = latest_delivery(files).persist()
     try:
-        for name, df in ingest(files, dims, cats, options).items():
-            df.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+        tables = ingest(files, dims, cats, options)
+        for name in sorted(tables, key=lambda n: n == "catalog"):  # last: by it readers find a batch
+            tables[name].write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
     finally:
         files.unpersist()
 

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -87,13 +87,19 @@ def live_tags(docs: DataFrame) -> DataFrame:
 
 def write_latest(stream: DataFrame, out: str, checkpoint: str, mode: str = "complete",
                  trigger: dict | None = None) -> StreamingQuery:
-    """Keeps the current answer of a complete-mode stream in `out`, refreshed every five
-    seconds unless told otherwise. In update mode each batch adds a folder."""
+    """Writes each batch to `out`/batch=<id>, every five seconds unless told otherwise. A
+    complete-mode stream's current answer is its newest batch: see read_latest."""
     def save(df, n):
-        target = out if mode == "complete" else f"{out}/batch={n}"
-        df.write.mode("overwrite").parquet(target)
+        df.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     return (
         stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "5 seconds"})).foreachBatch(save).start()
     )
+
+
+def read_latest(spark: SparkSession, out: str) -> DataFrame:
+    """The newest finished batch of a complete-mode stream; other batches are not read."""
+    batches = spark.read.parquet(out)
+    newest = batches.agg(F.max("batch")).scalar()
+    return batches.where(F.col("batch") == newest).drop("batch")

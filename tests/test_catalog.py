@@ -90,9 +90,9 @@ def test_intake(spark):
     mb = 120 * 1024 * 1024
     rows = [("/a", "A.PDF", mb), ("/b", "b.docx", mb + 1), ("/c", "c.csv", 1), ("/d", "d.exe", 1), ("/e", "noext", 1), ("/z", "A.PDF", 5), ("/f", "f.json", 1)]
     files = spark.createDataFrame(rows, "path string, name string, length long")
-    got = {r.name: (r.path, r.reason) for r in SF.accept_files(files).collect()}
-    assert got == {"A.PDF": ("/a", None), "b.docx": ("/b", "too large"), "c.csv": ("/c", "unsupported format"),
-                   "d.exe": ("/d", "unsupported format"), "noext": ("/e", "unsupported format"), "f.json": ("/f", None)}
+    got = {r.path: (r.reason, r.duplicate_name) for r in SF.accept_files(files).collect()}
+    no = "unsupported format"
+    assert got == {"/a": (None, False), "/z": (None, True), "/b": ("too large", False), "/c": (no, False), "/d": (no, False), "/e": (no, False), "/f": (None, False)}
     ids = [r.doc_id for r in SF.register_documents(files).collect()]
     assert len(set(ids)) == 7 and ids == [r.doc_id for r in SF.register_documents(files).collect()]
 
@@ -109,12 +109,14 @@ def test_text_files_and_stream_equal_batch(spark, dims, tmp_path):
     SI.ingest_stream(SI.text_file_stream(spark, str(tmp_path / "in")), out, shared_dir(spark), dims, cats).awaitTermination()
     t = SI.read_tables(spark, out)
     cat = {r.filename: r for r in t["catalog"].collect()}
+    assert cat["skip.exe"].status == "failed" and cat["skip.exe"].error_message == "unsupported format"
     assert cat["blank.md"].status == "failed" and "No extractable text" in cat["blank.md"].error_message
     assert cat["one.txt"].status == "completed" and cat["one.txt"].page_count == 1 and cat["one.txt"].tags
     assert t["chunks"].first().chunk_id == cat["one.txt"].doc_id + "_chunk_0"
     files = t["catalog"].select("doc_id", "filename", "file_size_bytes", "upload_date").join(
         SF.read_text_corpus(spark, str(tmp_path / "in")).withColumn("filename", F.element_at(F.split("path", "/"), -1)), "filename")
     batch = ingest(files, dims, cats)
+    t["catalog"] = t["catalog"].where("filename <> 'skip.exe'")
     for name in ("catalog", "chunks", "postings", "doc_text"):
         cols = [c for c in batch[name].columns if c not in ("classifications", "entities")]
         assert sorted(map(str, batch[name].select(cols).collect())) == sorted(map(str, t[name].select(cols).collect())), name

@@ -95,7 +95,7 @@ def test_fusion_penalty_ties_and_pool(spark):
     r = {(x.query_id, x.chunk_id): (x.kw_rank, x.score) for x in fused.collect()}
     assert r[0, "c00"] == (1, round(2 / 61 + 1 / 61, 6)) and r[0, "c02"] == (63, round(2 / 123 + 1 / 63, 6))
     assert r[1, "c00"] == (60, round(2 / 120 + 1 / 61, 6))
-    for limit, n in ((1, 15), (5, 15), (6, 18), (30, 30), (50, 30)):
+    for limit, n in ((1, 15), (5, 15), (6, 18), (30, 30), (36, 36), (50, 40)):
         assert fusion.rerank_pool(fused.filter("query_id = 0"), limit).count() == n
     with pytest.raises(ValueError):
         fusion.pool_size(0)
@@ -104,7 +104,7 @@ def test_fusion_penalty_ties_and_pool(spark):
     hits = fusion.attach_metadata(pool, docs)
     assert {x.doc_id for x in hits.collect()} == {10, 12}
     ranks = sorted(x.rank for x in fusion.top_hits(fusion.fused_order(hits), 50).collect())
-    assert ranks == list(range(1, len(ranks) + 1)) and len(ranks) <= 30
+    assert ranks == list(range(1, len(ranks) + 1)) and len(ranks) <= 40
 
 
 def test_rerank_orders_and_single_hit(spark):
