@@ -52,9 +52,35 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.mode("overwrite").parquet(path)
+    written.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of intermediate tables that this process wrote and has not removed.
+written: set[str] = set()
+
+
+def reads(df: DataFrame) -> set[str]:
+    """Those of the written folders that `df` still reads."""
+    files = [f.replace("file://", "") for f in df.inputFiles()]
+    return {p for p in written if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)}
+
+
+def remove(spark: SparkSession, paths: set[str]) -> None:
+    """Deletes intermediate tables that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in set(paths) & written:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        written.discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the written tables behind `tables`, which must not be read again."""
+    for df in tables:
+        remove(df.sparkSession, reads(df))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-partitions by `key` when the scan has fewer partitions than the session has cores.
 
