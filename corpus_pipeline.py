@@ -5,6 +5,8 @@ read again as the next stage's docs.
 """
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,19 +17,39 @@ from docspark.llm.mixing import copies, mixing_rates
 from docspark.llm.queries import tokenizer_path
 from docspark.llm.suffix_dedup import remove_repeats
 from docspark.llm.toxicity import fit, score_texts
-from docspark.session import shared_dir
+from docspark.session import reads, remove, shared_dir, written
 
 TOXIC = 0.5
 #: Shares of tokens by quality that mixing aims at. No rate is below 1: it repeats documents, it drops none.
 QUALITY = {"1": 0.9, "0": 0.1}
 
 
+_made: set[str] = set()
+
+
+def stage(fn):
+    """A stage that first removes the intermediate tables of the stages before it: their results have
+    been written by then. Tables that docs still reads stay."""
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _made - reads(docs))
+        before = set(written)
+        out = fn(spark, docs, sf_dir)
+        _made.clear()
+        _made.update(written - before)
+        return out
+
+    return run_stage
+
+
+@stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored toxic go."""
     model = fit(docs, table(spark, sf_dir, "labels"))
     return score_texts(docs, model, docs.columns).where(F.col("score") < TOXIC).select(*docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more, the document with the smallest id stays."""
     members, _ = similar_documents(docs.select("doc_id", "text"), n=5, percent=80)
@@ -35,11 +57,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut; every document stays with what is its own."""
     return remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated at fitted rates, so that expected tokens by quality meet their shares."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("domain"))
@@ -50,6 +74,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), often))).select(*docs.columns)
 
 
+@stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text that they decode to."""
     path = tokenizer_path()
@@ -73,8 +98,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for _, step in STAGES:
         path = shared_dir(spark)
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        step(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
     return docs

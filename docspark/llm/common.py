@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.session import materialize
+from docspark.session import discard, materialize
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -49,8 +49,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = large.union(rest).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(small, "u")
-        now = materialize(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                          .union(small.select("u", F.col("m").alias("v"))).distinct())
+        before, now = now, materialize(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                                       .union(small.select("u", F.col("m").alias("v"))).distinct())
+        discard(before)
         n = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n[0], n[1]) == state:
             break

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.session import materialize
+from docspark.session import discard, materialize
 
 from .bytetext import chunks, mix, text_column, words
 from .common import components, record
@@ -223,8 +223,9 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[D
     mine = sets.select("doc_id", "keys").join(reps.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     keyed = mine.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
     first = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a")
-    stars = keyed.join(first, "key")
-    stars = materialize(stars.select("node", "key", "a"))
+    stars = materialize(keyed.join(first, "key").select("node", "key", "a"))
+    sizes = materialize(sets.drop("keys"))
+    discard(sets)
     near = stars.where("node <> a").select("a", F.col("node").alias("b")).distinct()
     touched = stars.select("node").distinct()
     texts = materialize(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(touched, "node", "left_semi").dropDuplicates(["node"]))
@@ -239,6 +240,6 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[D
             links = materialize(links.union(more))
             parts = materialize(components(links))
     classes = reps.join(parts, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component"))
-    ok = sets.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    bare = sets.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    ok = sizes.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    bare = sizes.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return ok.union(bare), links
