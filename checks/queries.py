@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docspark.functions import constants as K
 from docspark.functions import hooks, tags as TG, text as T
 from docspark.operators import catalog as C, chunking, classify as CL, fusion, keywords as KW
-from docspark.operators import lexical, maintain as U, paging, vectors as V
+from docspark.operators import lexical, maintain as U, paging, quality as Q, vectors as V
 from docspark.plans import ingest as PI, search as PS
 from docspark.session import materialize, shared_dir, spread
 from docspark.sources import files as SF, tables as ST
@@ -861,6 +861,27 @@ def r9c(spark, d):
     return hits.select("query_id", big("rank"), "chunk_id", "doc_id", big("page"), "score", "similarity", "filename", "summary", joined("tags").alias("tags"))
 
 
+def _quality_sql(name, ranks):
+    return f"""SELECT '{name}' AS method, count(*) AS n_queries, round(avg(CASE WHEN best = 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN best <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_n,
+      round(avg(CASE WHEN best <= 10 THEN 1.0 / best ELSE 0 END), 6) AS mrr FROM (SELECT query_id, min(rank) AS best FROM (SELECT DISTINCT q.query_id, x.doc_id FROM qs q JOIN documents x ON contains(x.text, q.text)) LEFT JOIN ({ranks}) USING (query_id, doc_id) GROUP BY 1)"""
+
+
+@query("q1_retrieval_quality", S.build(f"""
+    {_quality_sql('keyword', 'SELECT query_id, doc_id, kw_rank AS rank FROM kw')} UNION ALL
+    {_quality_sql('semantic', 'SELECT query_id, doc_id, sem_rank AS rank FROM sem')} UNION ALL
+    {_quality_sql('hybrid', 'SELECT query_id, doc_id, fused_rank AS rank FROM hits')}""", "kw", "sem", "hits", "qs"))
+def q1(spark, d):
+    """Recall and reciprocal rank of documents that hold the query's text."""
+    relevant = materialize(Q.verbatim_documents(I.queries(spark, d), I.documents(spark, d)))
+    keyword, semantic = _keyword(spark, d), _semantic(spark, d)
+    pool = fusion.attach_metadata(fusion.rerank_pool(fusion.rrf(keyword, semantic)), I.catalog(spark, d, tags=False))
+    out = None
+    for name, rows, rank in (("keyword", keyword, "kw_rank"), ("semantic", semantic, "sem_rank"), ("hybrid", pool, "fused_rank")):
+        one = Q.retrieval_quality(rows.select("query_id", "doc_id", F.col(rank).alias("rank")), relevant).withColumn("method", F.lit(name))
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query("t2_top_hits_of_50", S.build("""SELECT query_id, rank, chunk_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sem_rank) AS rank
     FROM (SELECT query_id, chunk_id, min(sem_rank) AS sem_rank, min_by(score, sem_rank) AS score FROM fused GROUP BY 1, 2)) WHERE rank <= 50""", "fused"))
 def t2b(spark, d):
