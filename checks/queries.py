@@ -107,8 +107,9 @@ def s4(spark, d):
 
 
 @query("s5_write_index", S.build("""
-    SELECT doc_id || '_chunk_' || n AS chunk_id, doc_id, n AS chunk_no, page FROM (
-      SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1 AS n FROM vecs WHERE label <> 3)""", "vecs"))
+    SELECT doc_id || '_chunk_' || n AS chunk_id, doc_id, n AS chunk_no, page, first, coalesce(n_terms, 0) AS n_terms FROM (
+      SELECT doc_id, page, round(embedding[1]::DOUBLE, 6) AS first, row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1 AS n FROM vecs WHERE label <> 3)
+    LEFT JOIN (SELECT doc_id, count(*) AS n_terms FROM postings GROUP BY 1) USING (doc_id)""", "vecs", "postings"))
 def s5(spark, d):
     vecs = I.vectors(spark, d).withColumn("embedding", F.when(
         F.col("label") == 3, F.transform("embedding", lambda x: x * float("nan"))).otherwise(F.col("embedding"))).withColumn("part", F.lit(0))
@@ -116,7 +117,24 @@ def s5(spark, d):
     path = shared_dir(spark)
     chunks = good.select("chunk_id", "doc_id", "chunk_no", "page")
     ST.write_index(chunks, good.select("chunk_id", "doc_id", "embedding"), lexical.build_postings(I.documents(spark, d)), path, buckets=8)
-    return ST.read_index(spark, path)["chunks"].select("chunk_id", "doc_id", big("chunk_no"), big("page"))
+    t = ST.read_index(spark, path)
+    terms = t["postings"].groupBy("doc_id").agg(F.count("*").alias("n_terms"))
+    return t["chunks"].join(t["vectors"].select("chunk_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first")), "chunk_id").join(terms, "doc_id", "left").select(
+        "chunk_id", "doc_id", big("chunk_no"), big("page"), "first", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
+
+
+@query("u1_update_index", """
+    SELECT doc_id, n_chars + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN doc_id % 7 = 0 THEN 'new' ELSE 'old' END AS v, source AS term
+    FROM documents WHERE doc_id % 11 <> 0 OR doc_id % 7 = 0""")
+def u1b(spark, d):
+    """Deletes and replaces documents of a written index: only their buckets are written again."""
+    docs, path = I.documents(spark, d), shared_dir(spark)
+    parts = lambda rows, tag, more: {"chunks": rows.select("doc_id", (F.col("n_chars") + more).alias("size")),
+                                     "vectors": rows.select("doc_id", F.lit(tag).alias("v")), "postings": rows.select("doc_id", F.col("source").alias("term"))}
+    ST.write_index(**parts(docs, "old", 0), path=path, buckets=256)
+    ST.update_index(spark, path, docs.where("doc_id % 7 = 0 OR doc_id % 11 = 0"), parts(docs.where("doc_id % 7 = 0"), "new", 1), buckets=256)
+    t = ST.read_index(spark, path)
+    return t["chunks"].join(t["vectors"], "doc_id", "full").join(t["postings"], "doc_id", "full")
 
 
 @query("s6_document_text", "SELECT item_id * 11 AS doc_id, coalesce(d.text, '') AS text, CASE WHEN d.text IS NULL THEN 'missing' ELSE 'found' END AS status "

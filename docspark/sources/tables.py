@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions.tags import decode_json
 from ..functions.text import empty_entities
+from ..session import discard, materialize
 
 EMPTY = {
     "tags": lambda: F.array().cast("array<string>"),
@@ -43,14 +44,49 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
 
 
 def write_index(chunks: DataFrame, vectors: DataFrame, postings: DataFrame, path: str,
-                buckets: int = 64, mode: str = "overwrite") -> None:
+                buckets: int = 64, mode: str = "overwrite", files: int = 1) -> None:
     """The three index tables, partitioned by a hash bucket of the document.
 
     Hash buckets stay level whatever the document ids look like, and an upsert only has
-    to rewrite the buckets it touches.
+    to rewrite the buckets it touches. Rows are dealt by bucket and a salt of the document,
+    so that a bucket is `files` files however many tasks there were; choose both with the
+    size of the corpus.
     """
     for name, df in (("chunks", chunks), ("vectors", vectors), ("postings", postings)):
-        _bucketed(df, buckets).write.mode(mode).partitionBy("bucket").parquet(f"{path}/{name}")
+        _write_buckets(_bucketed(df, buckets), f"{path}/{name}", mode, buckets * files, files)
+
+
+def _write_buckets(rows: DataFrame, path: str, mode: str, tasks: int, files: int, **options) -> None:
+    salt = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(files))
+    rows.repartition(tasks, "bucket", salt).write.mode(mode).options(**options).partitionBy("bucket").parquet(path)
+
+
+def update_index(spark: SparkSession, path: str, gone: DataFrame, new: dict[str, DataFrame],
+                 buckets: int = 64, files: int = 1) -> None:
+    """U1 and U2 on a written index: the documents of `gone` (doc_id) leave it and the rows of
+    `new` (by table name) come in. Give documents that change on both sides.
+
+    Only the buckets of these documents are read and rewritten; `buckets` is that of write_index.
+    """
+    ids = gone.select("doc_id").distinct()
+    for name in ("chunks", "vectors", "postings"):
+        fresh = _bucketed(new[name], buckets) if name in new else None
+        touched = _bucketed(ids, buckets).select("bucket")
+        if fresh is not None:
+            touched = touched.union(fresh.select("bucket"))
+        touched = sorted(r[0] for r in touched.distinct().collect())  # bucket numbers
+        if not touched:
+            continue
+        rows = spark.read.parquet(f"{path}/{name}").where(F.col("bucket").isin(touched)).join(ids, "doc_id", "left_anti")
+        if fresh is not None:
+            rows = rows.unionByName(fresh)
+        rows = materialize(rows)
+        left = {r[0] for r in rows.select("bucket").distinct().collect()}
+        _write_buckets(rows, f"{path}/{name}", "overwrite", max(1, len(left)) * files, files, partitionOverwriteMode="dynamic")
+        for bucket in set(touched) - left:
+            where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/bucket={bucket}")
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        discard(rows)
 
 
 def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
