@@ -308,9 +308,10 @@ def p14(spark, d):
 
 # --- Joins --------------------------------------------------------------------
 
-@query("j1_docs_with_text", S.build("SELECT b.doc_id, b.status, coalesce(x.text, '') AS text FROM base b LEFT JOIN documents x ON x.doc_id = b.doc_id AND x.lang <> 'fr'", "base"))
+@query("j1_docs_with_text", S.build("SELECT b.doc_id, b.status, coalesce(x.text, '') AS text FROM base b LEFT JOIN documents x ON x.doc_id + 100 = b.doc_id", "base"))
 def j1(spark, d):
-    return C.docs_with_text(I.catalog(spark, d, tags=False), I.documents(spark, d).filter("lang <> 'fr'")).select("doc_id", "status", "text")
+    texts = I.documents(spark, d).withColumn("doc_id", F.col("doc_id") + 100)  # some documents have no text, some texts no document
+    return C.docs_with_text(I.catalog(spark, d, tags=False), texts).select("doc_id", "status", "text")
 
 
 @query("j2_attach_metadata", S.build("SELECT query_id, chunk_id, filename, summary FROM hits", "hits"))
@@ -384,11 +385,11 @@ def f17(spark, d):
 
 
 @query("j6_merge_taxonomy", S.build(f"""
-    SELECT 'dim' AS kind, dimension_id, display_name AS name FROM dims UNION ALL SELECT 'cat', dimension_id, name FROM cats WHERE name <> 'fr'
+    SELECT 'dim' AS kind, dimension_id, display_name AS name FROM dims UNION ALL SELECT 'cat', dimension_id, CASE name WHEN 'fr' THEN 'old' ELSE name END FROM cats
     UNION ALL SELECT DISTINCT 'dim', 'source_group', 'Source Group' FROM {_SUGG} WHERE dimension_id = 'source_group'
     UNION ALL SELECT DISTINCT 'cat', dimension_id, category_name FROM {_SUGG}""", "dims", "cats"))
 def j6(spark, d):
-    cats = I.categories(spark, d).filter("name <> 'fr'")
+    cats = I.categories(spark, d).withColumn("name", F.when(F.col("name") == "fr", "old").otherwise(F.col("name")))
     dims, cats = CL.merge_taxonomy(I.dimensions(spark), cats, CL.parse_suggestions(_replies(spark, d)))
     return dims.select(F.lit("dim").alias("kind"), "dimension_id", F.col("display_name").alias("name")).union(
         cats.select(F.lit("cat"), "dimension_id", "name"))
@@ -720,17 +721,14 @@ def l1(spark, d):
     SELECT doc_id, page, round(avg(greatest(1.0, h)), 6) AS height, count(*) AS n_blocks FROM blocks
     WHERE block_type = 0 AND {S.strip('text')} <> '' GROUP BY doc_id, page""", "blocks"))
 def w6(spark, d):
-    b = I.blocks(spark, d).filter((F.col("block_type") == 0) & ~T.is_blank("text"))
-    w = Window.partitionBy("doc_id", "page")
-    return b.withColumn("height", F.round(F.avg(F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))).over(w), 6)).withColumn(
-        "n_blocks", F.count("*").over(w)).select("doc_id", big("page"), "height", "n_blocks").distinct()
+    return paging.page_blocks(I.blocks(spark, d)).select("doc_id", big("page"), F.round("h", 6).alias("height"), F.size("b").cast("bigint").alias("n_blocks"))
 
 
 @query("l2_detection_rows", """
-    SELECT event_id // 400 AS doc_id, (event_id // 40) % 10 AS page, string_agg(props || ' | u' || user_id || ' | ' || event_type, chr(10) ORDER BY event_id) AS text
-    FROM events WHERE value >= 5 GROUP BY 1, 2""")
+    SELECT event_id // 400 AS doc_id, (event_id // 40) % 10 AS page, coalesce(string_agg(props || ' | u' || user_id || ' | ' || event_type, chr(10) ORDER BY event_id) FILTER (value >= 5), '') AS text
+    FROM events GROUP BY 1, 2""")
 def l2(spark, d):
-    return paging.detection_rows(I.detections(spark, d)).filter("text <> ''").select("doc_id", big("page"), "text")
+    return paging.detection_rows(I.detections(spark, d)).select("doc_id", big("page"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 # --- Retrieval ----------------------------------------------------------------
@@ -977,12 +975,12 @@ def k7b(spark, d):
 
 
 @query("k8_clean_tags", f"""
-    WITH r AS (SELECT doc_id, list_filter(list_transform(string_split(substring(text, 1, 30), ' '), lambda t: {S.strip('t')}), lambda t: t <> '' AND lower(t) NOT IN {S.in_list(K.GENERIC_TAGS)})[1:src % 8] AS k,
+    WITH r AS (SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda t: {S.strip('t')}), lambda t: t <> '' AND lower(t) NOT IN {S.in_list(K.GENERIC_TAGS)})[1:src % 8] AS k,
       ['Document A', lang, source, 'Extra'] AS fb FROM (SELECT *, {S.SRC} AS src FROM documents))
     SELECT doc_id, array_to_string(CASE WHEN len(k) < 2 THEN fb WHEN len(k) < 3 THEN list_concat(k, list_filter(fb, lambda t: NOT list_contains(k, t))[1:3])[1:5] ELSE k[1:6] END, '|') AS tags FROM r""")
 def k8(spark, d):
     raw = F.concat(F.array(F.lit(" General "), F.lit("")), F.slice(
-        F.filter(F.transform(F.split(F.substring("text", 1, 30), " "), T.strip), lambda t: (t != "") & ~F.lower(t).isin(K.GENERIC_TAGS)),
+        F.filter(F.transform(F.split("text", " "), T.strip), lambda t: (t != "") & ~F.lower(t).isin(K.GENERIC_TAGS)),
         1, F.substring("source", 4, 9).cast("int") % 8))
     fb = F.array(F.lit("Document A"), "lang", "source", F.lit("Extra"))
     return I.documents(spark, d).select("doc_id", joined(TG.clean_tags(raw, fb)).alias("tags"))

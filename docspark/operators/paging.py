@@ -116,13 +116,18 @@ def join_row_cells(cells: DataFrame) -> DataFrame:
     )
 
 
-def reading_order(blocks: DataFrame) -> DataFrame:
-    """L1: text blocks by horizontal band, then left to right."""
+def page_blocks(blocks: DataFrame) -> DataFrame:
+    """Per page the mean height of its text blocks, by which bands are cut, and the blocks."""
     text = blocks.filter((F.col("block_type") == 0) & ~is_blank("text"))
-    page = text.groupBy("doc_id", "page").agg(
+    return text.groupBy("doc_id", "page").agg(
         F.avg(F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))).alias("h"),
         F.collect_list(F.struct("y0", "x0", "block_no", strip("text").alias("t"))).alias("b"),
     )
+
+
+def reading_order(blocks: DataFrame) -> DataFrame:
+    """L1: text blocks by horizontal band, then left to right."""
+    page = page_blocks(blocks)
     band = F.greatest(F.lit(5.0), F.col("h") * 0.75)
     keyed = F.sort_array(F.transform(
         "b", lambda b: F.struct((b["y0"] / band).cast("long").alias("band"), b["x0"], b["block_no"], b["t"].alias("t"))))
