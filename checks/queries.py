@@ -992,12 +992,6 @@ def c1(spark, d):
     return r.select("doc_id", F.explode("classifications").alias("dimension_id", "l")).select("doc_id", "dimension_id", joined("l").alias("labels"))
 
 
-def _contains_scorer(text, labels, multi):
-    """A stand-in scorer: share of the label's letters' counts, by plain text search."""
-    return F.map_from_entries(F.transform(labels, lambda x: F.struct(
-        x, F.least(F.lit(1.0), F.round(F.regexp_count(F.lower(text), F.lower(x)) / 10.0, 4)))))
-
-
 @query("c2_classify_with", S.build(f"""
     WITH s AS (SELECT doc_id, dimension_id, name, is_multi_label, least(1.0, round(len(regexp_extract_all(lower(text), lower(name))) / 10.0, 4)) AS sc
       FROM documents, (SELECT c.dimension_id, name, is_multi_label FROM cats c JOIN dims USING (dimension_id)))
@@ -1005,7 +999,7 @@ def _contains_scorer(text, labels, multi):
     UNION ALL SELECT doc_id, dimension_id, name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, dimension_id ORDER BY sc DESC, name) AS r FROM s WHERE NOT is_multi_label AND sc > {K.SINGLE_LABEL_THRESHOLD}) WHERE r = 1
     """.replace("WITH s", "SELECT * FROM (WITH s") + ")", "cats", "dims"))
 def c2(spark, d):
-    r = CL.classify_with(I.documents(spark, d), I.dimensions(spark), I.categories(spark, d), _contains_scorer)
+    r = CL.classify_with(I.documents(spark, d), I.dimensions(spark), I.categories(spark, d), hooks.label_scorer)
     return r.select("doc_id", F.explode("classifications").alias("dimension_id", "l")).select("doc_id", "dimension_id", joined("l").alias("labels"))
 
 

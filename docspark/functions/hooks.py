@@ -57,6 +57,19 @@ def overlap_scorer(query, text) -> Column:
         F.size(q) > 0, F.size(F.array_intersect(q, words(text))) / F.size(q)).otherwise(F.lit(0.0)))
 
 
+def label_scorer(text, labels, multi, full: int = 10) -> Column:
+    """M3: a map of each label to how often the text names it, in either case, `full` times or more
+    being 1. Single- and multi-label dimensions are scored alike."""
+    low = F.lower(text)
+
+    def share(label):
+        name = F.lower(label)
+        n = (F.length(low) - F.length(F.replace(low, name, F.lit("")))) / F.nullif(F.length(name), F.lit(0))
+        return F.least(F.lit(1.0), F.round(F.coalesce(n, F.lit(0.0)) / full, 4))
+
+    return F.map_from_arrays(labels, F.transform(labels, share))
+
+
 def summarize(text, summarizer: Encoder | None = None, max_words: int | None = None) -> Column:
     """M4: a model's first sentence when a model is given and answers, else the lead. The model
     is shown the whole text unless `max_words` bounds it."""

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.hooks import label_scorer
 from ..functions.text import parse_suggestion, title_case
 from .vectors import similar_above
 
@@ -77,7 +78,7 @@ def classify(doc_vectors: DataFrame, dims: DataFrame, label_vectors: DataFrame)
     return _assign(scores, dims)
 
 
-def classify_with(docs: DataFrame, dims: DataFrame, cats: DataFrame, scorer, text: str = "text") -> DataFrame:
+def classify_with(docs: DataFrame, dims: DataFrame, cats: DataFrame, scorer=label_scorer, text: str = "text") -> DataFrame:
     """The same rules over a scorer `(text, labels, multi) -> map<label, score>`;
     labels come in score order."""
     packed = (
