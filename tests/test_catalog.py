@@ -139,6 +139,31 @@ def test_redelivered_document_replaces_its_rows(spark, dims):
         SI.ingest_batch(spark.createDataFrame([("d", "d.txt", 2, T0 + dt.timedelta(1), "Now it is one short text only.")], schema), 1, out, dims, cats, opts)
 
 
+def test_a_half_written_batch_is_not_seen(spark, dims):
+    cats = spark.createDataFrame([("topic", "words")], "dimension_id string, name string")
+    schema = "doc_id string, filename string, file_size_bytes long, upload_date timestamp, text string, reason string"
+    out = shared_dir(spark)
+    rows = [("d", "d.txt", 1, T0, "A text that is long enough to be kept as a chunk.", None), ("r", "r.exe", 1, T0, "x", "unsupported format")]
+    SI.ingest_batch(spark.createDataFrame(rows, schema), 0, out, dims, cats, IngestOptions())
+    before = {n: sorted(map(str, df.collect())) for n, df in SI.read_tables(spark, out).items()}
+    assert {r.doc_id: r.error_message for r in SI.read_tables(spark, out)["catalog"].collect()} == {"d": None, "r": "unsupported format"}
+    spark.read.parquet(f"{out}/chunks/batch=0").write.parquet(f"{out}/chunks/batch=1")  # a batch that ended before its catalog
+    assert {n: sorted(map(str, df.collect())) for n, df in SI.read_tables(spark, out).items()} == before
+
+
+def test_repeated_changes_of_a_row_count_once(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id int, v string")
+    changes = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z")], "doc_id int, v string")
+    assert sorted(map(tuple, U.update_columns(target, changes, ["v"]).collect())) == [(1, "y"), (2, "b")]
+
+
+def test_newest_batch_is_read(spark):
+    out = shared_dir(spark)
+    spark.range(3).write.parquet(f"{out}/batch=1")
+    spark.range(5).write.parquet(f"{out}/batch=12")
+    assert SP.read_latest(spark, out).count() == 5 and SP.read_latest(spark, out).columns == ["id"]
+
+
 def progress_rows(spark, path):
     at = lambda m: T0 + dt.timedelta(minutes=m)
     rows = [(1, at(0), "parsing", 5, ""), (1, at(2), "chunking", 70, ""), (1, at(1), "ai_tagging", 65, ""),   # out of order, then silent
