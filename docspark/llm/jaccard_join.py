@@ -8,9 +8,9 @@ key, however frequent it is. How many fragments there are depends on the size cl
 document is also cut as its smaller partners would be. For a candidate pair, partial overlaps
 are counted fragment by fragment and summed.
 
-Groups of copies of any size stay cheap. Equal sets are one node. In a bucket of equal
-fragments every node is first compared with the smallest one only; what that links is one
-component. Only nodes that share a fragment with a node of another component are looked at
+Groups of copies of any size stay cheap. Equal sets are one node. Every node is
+first compared with one other only, the smallest of most of its buckets; what that links is
+one component. Only nodes that share a fragment with a node of another component are looked at
 again: among them, elements are put in order of frequency, and a pair comes up by its first
 common element if what it has missed until then allows the similarity. No link between
 different components is lost, and pairs within a component are not made.
@@ -71,7 +71,7 @@ def fragments_of_class(c: int, t: float) -> int:
 
 
 def fragment_keys(values: np.ndarray, c: int, t: float) -> np.ndarray:
-    """A key for each fragment of one sorted set that has to be matched in class c.
+    """A key for each fragment of one sorted set that has to be matched in class c; its low six bits are c.
 
     An empty fragment has a key only if there are more of them than were allowed for.
     """
@@ -86,7 +86,7 @@ def fragment_keys(values: np.ndarray, c: int, t: float) -> np.ndarray:
     empty = count == 0
     keep = ~empty if empty.sum() <= spare else np.ones(m, bool)
     which = np.flatnonzero(keep).astype(np.uint64)
-    return mix(sums[keep] + mix(which + np.uint64((c + 1) << 24)))
+    return mix(sums[keep] + mix(which + np.uint64((c + 1) << 24))) & ~np.uint64(63) | np.uint64(c)
 
 
 _SETS = [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64()))]
@@ -205,6 +205,28 @@ def _between(texts: DataFrame, where: DataFrame, n: int, t: float) -> DataFrame:
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def _met(keyed: DataFrame) -> DataFrame:
+    """Rows (node, n, key) whose key another node has too, with the smallest node of the key."""
+    first = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a")
+    return keyed.select("node", "n", "key").join(first, "key").select("node", "n", "key", "a")
+
+
+def _enough(rows: DataFrame, t: float) -> DataFrame:
+    """Rows (node, n, key) of nodes with as many shared keys in a size class as any link of theirs needs.
+
+    In class c a pair is cut into more fragments than the largest sets of the class can differ
+    in; smaller sets differ in fewer, so the rest must be the same, and have keys.
+    """
+    share, c = (1 - t) / (1 + t), F.col("key").bitwiseAND(F.lit(63))
+    small = F.ceil(F.pow(F.lit(CLASS_RATIO), c + 1) + 1e-6)
+    most = F.floor(F.lit(share) * (small + small / t) + 1e-6)
+    partner = F.when(F.col("n") <= small, F.col("n") / t).otherwise(small)  # the largest it can link with in this class
+    own = F.floor(F.lit(share) * (F.col("n") + partner) + 1e-6)
+    marked = rows.withColumns({"_c": c, "_need": F.greatest(F.lit(1).cast("long"), (most + 1 - own).cast("long"))})
+    kept = marked.groupBy("node", "_c").agg(F.count("*").alias("_k"), F.max("_need").alias("_need")).where("_k >= _need").select("node", "_c")
+    return marked.join(kept, ["node", "_c"], "left_semi").select(*rows.columns)
+
+
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Classes of documents linked by Jaccard similarity of word n-gram sets, 100 |x & y| >= percent |x | y|.
 
@@ -220,20 +242,23 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[D
     sets = materialize(signatures(docs, n, t))
     reps = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
     reps = materialize(reps)
-    mine = sets.select("doc_id", "keys").join(reps.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keyed = mine.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
-    first = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a")
-    stars = materialize(keyed.join(first, "key").select("node", "key", "a"))
+    mine = sets.select("doc_id", "n", "keys").join(reps.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keyed = mine.select(F.col("doc_id").alias("node"), "n", F.explode("keys").alias("key")).repartition("key")  # read twice, moved once
+    stars = materialize(_met(keyed))
+    for _ in range(2):
+        before, stars = stars, materialize(_met(_enough(stars, t)))
+        discard(before)
     sizes = materialize(sets.drop("keys"))
     discard(sets)
-    near = stars.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    near = stars.where("node <> a").groupBy("node", "a").agg(F.count("*").alias("k")).groupBy(F.col("node").alias("b")).agg(
+        F.max_by("a", F.struct("k", -F.col("a"))).alias("a")).select("a", "b")
     touched = stars.select("node").distinct()
     texts = materialize(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(touched, "node", "left_semi").dropDuplicates(["node"]))
     links = materialize(verify(near, texts, n, percent))
     parts = materialize(components(links))
-    known = stars.join(parts, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
+    known = materialize(stars.join(parts, "node", "left").select("node", "n", "key", F.coalesce("component", "node").alias("component")))
     mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_nodes = materialize(known.join(mixed, "key").select("node", "component").distinct())
+    open_nodes = materialize(_enough(known.join(mixed, "key"), t).select("node", "component").distinct())
     if not open_nodes.isEmpty():
         more = materialize(verify(_between(texts, open_nodes, n, t), texts, n, percent))
         if not more.isEmpty():
