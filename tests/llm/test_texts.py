@@ -144,6 +144,24 @@ def test_remove_repeats_of_nothing_and_of_equal_ids(spark):
     assert sorted((str(r["doc_id"]), len(r["text"])) for r in got) == [("1", len(text)), ("1", len(text)), ("None", 0)]
 
 
+def test_no_content_shard_gets_all_that_surrounds_a_frequent_gram(spark, monkeypatch):
+    rng = random.Random(8)
+    rows, line = corpus(5), " -- all rights are reserved -- "
+    some = [line.join("".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(3)) for _ in range(12)]
+    for i in range(len(rows), len(rows) + 150):  # the line with other text around it in each; some have whole windows over it in common
+        own = "".join(rng.choice("abcdefgh ") for _ in range(90))
+        rows.append((i, rng.choice([own + line + own[::-1], own[:20] + rng.choice(some)[rng.randrange(40):], line * 3 + own]), None, None, None, None))
+
+    def bounded(hashes, text, doc):
+        assert np.unique(hashes, return_counts=True)[1].max() <= 20, "one judge task gets every text around an anchor"
+        return repeated(hashes, text, doc)
+
+    for name, value in (("HOT", 20), ("SHARD_BYTES", 1 << 13), ("repeated", bounded)):
+        monkeypatch.setattr(f"docspark.llm.suffix_dedup.{name}", value, raising=False)
+    got = remove_repeats(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], [tuple(s) for s in r["removed"]], r["kept_sha256"]) for r in got} == brute_cut(rows)
+
+
 def test_suffix_order_and_common_prefixes():
     rng = np.random.default_rng(0)
     text = rng.integers(97, 99, (50, 84)).astype(np.uint8)
