@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -17,7 +18,7 @@ from docspark.llm.jaccard_join import similar_documents
 from docspark.llm.langid import codewords, identify
 from docspark.llm.mixing import copies, fit_rates, mixing_rates
 from docspark.llm.ngram_lm import score_texts, train
-from docspark.llm.suffix_dedup import PART, remove_repeats, repeated, common_prefixes, suffix_order
+from docspark.llm.suffix_dedup import PART, Shard, remove_repeats, repeated, common_prefixes, suffix_order
 from docspark.llm.toxicity import IDENTITY, fit, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string"
@@ -187,6 +188,21 @@ def test_parts_of_a_content_shard_are_merged(monkeypatch):
     assert PART > 200 and (repeated(hashes, text, doc) == whole).all() and whole.any()
 
 
+def test_texts_of_one_hash_are_told_apart_by_their_bytes(monkeypatch):
+    rng = np.random.default_rng(2)
+    text = np.zeros((60, 88), np.uint8)
+    text[:, :84] = rng.integers(97, 123, (4, 84))[rng.integers(0, 4, 60)]
+    text[:, 85] = 84
+    doc, hashes = rng.permutation(60).astype(np.int64), np.full(60, 7, np.uint64)
+    right = repeated(hashes, text, doc)
+    monkeypatch.setattr("docspark.llm.suffix_dedup._row_hash", lambda text, hashes: hashes)
+    assert (repeated(hashes, text, doc) == right).all() and (right == 0).sum() == 4
+    texts = [bytes(x).decode() for x in np.unique(text[:, :84], axis=0)]
+    shard = Shard(pa.table({"doc_id": range(8), "text": [texts[i % 4] for i in range(8)], "carried": [{"x": 1}] * 8}))
+    p, doc, cls, _, around, least = shard.contexts(np.unique(shard.hash), shard.hash[:0])
+    assert (least[cls] == doc % 4).all() and len(around) == len(p) // 2
+
+
 # --- BPE
 
 def test_bpe_matches_the_library(spark):
