@@ -12,8 +12,9 @@ Groups of copies of any size stay cheap. Equal sets are one node. Every node is
 first compared with one other only, the smallest of most of its buckets; what that links is
 one component. Only nodes that share a fragment with a node of another component are looked at
 again: among them, elements are put in order of frequency, and a pair comes up by its first
-common element if what it has missed until then allows the similarity. No link between
-different components is lost, and pairs within a component are not made.
+common element if what it has missed until then allows the similarity. Elements that come
+too late in both of two sets are never tried, and a frequent element is cut into blocks by size
+and salt. No link between different components is lost, and pairs within a component are not made.
 """
 from __future__ import annotations
 
@@ -28,6 +29,8 @@ from .bytetext import chunks, mix, text_column, words
 from .common import components, record
 
 CLASS_RATIO = 1.4   # greatest over least size in a size class
+BLOCK = 256         # nodes an element is joined from in one block
+SALTS = 64          # blocks of one element and size class, at most
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,15 +197,43 @@ def _between(texts: DataFrame, where: DataFrame, n: int, t: float) -> DataFrame:
     prefix = F.col("size") - F.ceil(F.col("size") * t - 1e-6) + 1
     posts = ordered.select("node", "size", F.posexplode(F.slice("gs", 1, prefix.cast("int"))).alias("pos", "e")).where("e.df > 1")
     posts = materialize(posts.select("node", "size", "pos", F.col("e.g").alias("g")).join(where, "node"))
-    mixed = posts.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("g")
-    posts = posts.join(mixed, "g")
-    x, y = posts.alias("x"), posts.alias("y")
+    x, y = _sides(posts, t)
+    x, y = x.alias("x"), y.alias("y")
     room = F.lit((1 - t) / (1 + t)) * (F.col("x.size") + F.col("y.size")) + 1e-6
     i, j = F.col("x.pos"), F.col("y.pos")
     missed = i + j + F.abs((F.col("x.size") - i) - (F.col("y.size") - j))
-    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-                   & (missed <= room))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    met = F.lit(True)
+    for c in _BY:
+        met = met & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    pairs = x.join(y, met & (~F.col("y.early") | (F.col("x.node") < F.col("y.node"))) & (F.col("x.component") != F.col("y.component")) & (missed <= room))
+    a, b = F.col("x.node"), F.col("y.node")
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+_BY = ["g", "block", "salt"]
+
+
+def _sides(posts: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the join of postings (node, size, pos, g, component), with the columns _BY to join by.
+
+    With a and b elements from positions i and j on, i + j + |a - b| is within the room of
+    (1-t)/(1+t) (i + j + a + b) only if i + j <= (1-t)/t min(a, b): the smaller position is
+    early in its own set, 2 i <= (1-t)/t a. So one side holds the early postings only, and
+    elements that are early nowhere are gone.
+    """
+    early = 2 * F.col("pos") <= F.lit((1 - t) / t) * (F.col("size") - F.col("pos")) + 1e-3
+    posts = posts.withColumn("early", early)
+    met = posts.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_if("early").alias("k"))
+    posts = posts.join(met.where("lo <> hi AND k > 0").select("g", "k"), "g")
+    hot, salts = F.col("k") > BLOCK, F.least(F.lit(SALTS), F.ceil(F.col("k") / BLOCK)).cast("int")
+
+    def size_class(size, slack=0.0):
+        return F.when(hot, F.floor(F.log(F.greatest(size, F.lit(1.0))) / float(np.log(CLASS_RATIO)) + slack).cast("int")).otherwise(0)
+
+    size = F.col("size").cast("double")
+    x = posts.where("early").withColumns({"block": size_class(size), "salt": F.pmod(F.xxhash64("node"), salts).cast("int")})
+    y = posts.withColumn("block", F.explode(F.sequence(size_class(size * t, -1e-9), size_class(size / t, 1e-9))))
+    return x, y.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
 
 
 def _met(keyed: DataFrame) -> DataFrame:

@@ -104,6 +104,25 @@ def test_similar_documents_of_nothing(spark):
     assert [tuple(r) for r in members.collect()] == [(None, 2, None)]
 
 
+def test_postings_that_come_late_in_both_sets_are_not_tried(spark, monkeypatch):
+    from docspark.llm import jaccard_join
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rng, t = random.Random(3), 0.8
+    rows = [(i, 100, 18 + k, k, i) for i in range(300) for k in range(3)]  # 18 words of its own each, then the template: similarity 0.69
+    late = spark.createDataFrame(rows, "node long, size int, pos int, g long, component long")
+    x, y = jaccard_join._sides(late, t)
+    assert x.join(y, jaccard_join._BY).count() == 0
+    sizes = [rng.randrange(20, 300) for _ in range(120)]
+    mixed = [(1000 + i, n, rng.randrange(n // 5 + 1), g, 1000 + i // 2) for i, n in enumerate(sizes) for g in (0, 7)]
+    x, y = jaccard_join._sides(late.union(spark.createDataFrame(mixed, late.schema)), t)
+    tried = x.alias("x").join(y.alias("y"), jaccard_join._BY).select("g", "x.node", "x.size", "x.pos", "x.component", "y.node", "y.size", "y.pos", "y.component")
+    got = {(g, *sorted((a, b))) for g, a, m, i, c, b, n, j, d in tried.collect() if c != d and i + j + abs(m - i - n + j) <= (1 - t) / (1 + t) * (m + n) + 1e-6}
+    posts = [*late.collect(), *mixed]
+    want = {(p[3], p[0], q[0]) for p in posts for q in posts if p[3] == q[3] and p[0] < q[0] and p[4] != q[4] and t * max(p[1], q[1]) <= min(p[1], q[1])
+            and p[2] + q[2] + abs(p[1] - p[2] - q[1] + q[2]) <= (1 - t) / (1 + t) * (p[1] + q[1]) + 1e-6}
+    assert want and want <= got and tried.count() < 120 * 420 * 2 // 2
+
+
 # --- suffix-array dedup
 
 def brute_cut(rows):
