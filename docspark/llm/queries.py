@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode
 from .chat import format_conversations, read_back
 from .common import held_out, table
+from .hard_negatives import hard_negatives
 from .jaccard_join import similar_documents
 from .langid import identify
+from .merkle import fold, manifest, path_digest
 from .mixing import mixing_rates
 from .ngram_lm import score_texts, train
+from .packing import cut, pack
 from .suffix_dedup import remove_repeats
 from .top_products import top_products
 from .toxicity import toxicity
@@ -40,11 +43,11 @@ def op2(spark, d):
     return near_vectors(table(spark, d, "embeddings"))
 
 
-def _whole_vectors(spark, d):
-    """Every component x as floor(64 x); null where the vector is null or holds null or non-finite components."""
+def _whole_vectors(spark, d, scale: int = 64):
+    """Every component x as floor(scale x); null where the vector is null or holds null or non-finite components."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return table(spark, d, "embeddings").select("vec_id", F.when(fine, F.transform(
-        "embedding", lambda x: F.floor(x.cast("double") * 64))).alias("vec"))
+    return table(spark, d, "embeddings").select("vec_id", "label", F.when(fine, F.transform(
+        "embedding", lambda x: F.floor(x.cast("double") * scale))).alias("vec"))
 
 
 @query("op7_top_products", """
@@ -145,3 +148,72 @@ def op1(spark, d):
 def op6(spark, d):
     docs = table(spark, d, "documents").select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "text")
     return score_texts(docs, train(docs.where(~F.col("held_out"))))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def _leaf_sql(text: str) -> str:
+    part = "coalesce(strlen({0}) || ':' || {0}, '-')"
+    return "sha256(" + " || ".join(part.format(text if c == "text" else f"{c}::VARCHAR") for c in _LEAF) + ")"
+
+
+@query("op13_merkle_manifest", f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('+' || source, '') AS tree, {_leaf_sql("text")} AS leaf, {_leaf_sql(f"translate(text, '{_UPPER}', '{_LOWER}')")} AS forged,
+    xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: xor(c >> 1, (c & 1) * 3988292384)))) % 5 = 0 AS bad FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS total FROM d),
+n AS (SELECT 0 AS lv, tree, pos, total, leaf AS h FROM l
+    UNION ALL SELECT lv + 1, tree, pos // 16, (total + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM n WHERE total > 1 GROUP BY lv, tree, pos // 16, total),
+s AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS total FROM n WHERE total = 1),
+m AS (SELECT 0 AS lv, pos, total, subroot AS h FROM s
+    UNION ALL SELECT lv + 1, pos // 16, (total + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM m WHERE total > 1 GROUP BY lv, pos // 16, total),
+a AS (SELECT lv, tree, pos, total, coalesce(string_agg(h, '') OVER (PARTITION BY lv, tree, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(h, '') OVER (PARTITION BY lv, tree, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM n),
+b AS (SELECT lv, pos, total, coalesce(string_agg(h, '') OVER (PARTITION BY lv, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(h, '') OVER (PARTITION BY lv, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM m),
+f AS (SELECT doc_id, leaf, tree, 0 AS lv, pos, total, CASE WHEN bad THEN forged ELSE leaf END AS acc, '' AS sibs FROM l
+    UNION ALL SELECT f.doc_id, f.leaf, f.tree, f.lv + 1, f.pos // 16, (f.total + 15) // 16, sha256(before || acc || after), sibs || before || after
+    FROM f JOIN a ON a.lv = f.lv AND a.tree = f.tree AND a.pos = f.pos WHERE f.total > 1),
+g AS (SELECT doc_id, leaf, subroot, 0 AS lv, s.pos, s.total, acc, sibs FROM f JOIN s USING (tree) WHERE f.total = 1
+    UNION ALL SELECT g.doc_id, g.leaf, g.subroot, g.lv + 1, g.pos // 16, (g.total + 15) // 16, sha256(before || acc || after), sibs || before || after
+    FROM g JOIN b ON b.lv = g.lv AND b.pos = g.pos WHERE g.total > 1)
+SELECT doc_id, leaf, subroot, h AS root, sha256(sibs) AS proof_sha256, acc AS folded_root, acc = h AS verified
+FROM g, (SELECT h FROM m WHERE total = 1) WHERE g.total = 1""")
+def op13(spark, d):
+    docs = table(spark, d, "documents")
+    forged = {"text": F.translate("text", _UPPER, _LOWER)}
+    proved = manifest(docs, _LEAF, "source", "doc_id", forged, F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0)
+    folded = proved.withColumn("folded_root", fold(F.col("claim"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", path_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def byte_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op11_best_fit_packing")
+def op11(spark, d):
+    pieces = cut(table(spark, d, "documents"), byte_tokenizer_path(), 1024, 2)
+    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), 1024)
+
+
+@query("op12_hard_negatives", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, list_dot_product(q.vec, c.vec)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5)
+SELECT anchor_id, positive_id, rank, vec_id AS negative_id, positive_score, score AS negative_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score) WHERE rank <= 3""")
+def op12(spark, d):
+    rows = _whole_vectors(spark, d, 256)
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, rows.where(F.col("vec_id") % 50 == 0))
