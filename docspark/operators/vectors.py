@@ -1,29 +1,51 @@
 """Exact cosine retrieval over vector tables.
 
-Vectors stay where they are: every task scores its own Arrow batches against the query
-block as one matrix product and passes on only the best k of a query. A query table above
-the checked bound is not shipped; both sides are then cut into hashed blocks of bounded
-size and each pair of blocks is scored in a task of its own. Both ways are exact.
+Vectors stay where they are: every task scores its own Arrow batches against a block of
+queries as one matrix product and passes on only the best k of a query. A query table of any
+size is taken block by block, each of bounded size; the vectors are scanned once a block and
+never exchanged, and what the tasks pass on is cut to k a query before it is moved.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import constants as K
 from ..functions.hooks import Encoder
+from ..session import discard, materialize
 
-# Rows of the small side that may be shipped to every task.
+# Rows of the small side that are shipped to every task at once.
 SHIP_ROWS = 4096
-BLOCK_ROWS = 4096
+
+
+def _finite(column: str) -> Column:
+    return F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
 
 
 def finite_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """Rows whose every component is a finite number."""
-    inf = F.lit(float("inf"))
-    return vectors.filter(F.forall(column, lambda x: ~F.isnan(x) & (F.abs(x) < inf)))
+    return vectors.filter(_finite(column))
+
+
+def usable_vectors(vectors: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
+    """Rows with a vector of `dim` finite components."""
+    return vectors.filter((F.size(column) == dim) & _finite(column))
+
+
+def rejected_vectors(vectors: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
+    """(reason, n): how many rows usable_vectors leaves out, and why."""
+    reason = (F.when(F.col(column).isNull(), "no vector").when(F.size(column) != dim, "other length")
+              .when(~_finite(column), "null or not finite"))
+    return vectors.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def dimension(vectors: DataFrame, column: str = "embedding") -> int | None:
+    """The length that most vectors have, the greater one of equals; None without vectors."""
+    sizes = vectors.where(F.col(column).isNotNull()).groupBy(F.size(column).alias("dim")).agg(F.count("*").alias("n"))
+    return sizes.agg(F.max_by("dim", F.struct("n", "dim"))).first()[0]
 
 
 def cosine(a, b):
@@ -93,19 +115,24 @@ def _scorer(k: int | None, floor: float | None, slice_rows: int = 512):
 
 
 def _pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str, k: int | None,
-           floor: float | None, ship_rows: int, block_rows: int, keep: tuple[str, ...] = ()) -> DataFrame:
+           floor: float | None, ship_rows: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """(left_id, right_id, similarity, *keep): partial results, k a right row from every task.
 
-    `keep` names further left columns to carry, which saves joining them back.
+    `keep` names further left columns to carry, which saves joining them back. Null vectors,
+    those of another length than most of the right side, and those with components that are
+    null or not finite match nothing.
     """
-    left = left.select(left_id, vector, *keep)
-    right = right.select(right_id, vector)
     out = T.StructType([
         T.StructField(left_id, left.schema[left_id].dataType),
         T.StructField(right_id, right.schema[right_id].dataType),
         T.StructField("similarity", T.DoubleType()),
         *[T.StructField(c, left.schema[c].dataType) for c in keep],
     ])
+    dim = dimension(right, vector)
+    if not dim:
+        return left.sparkSession.createDataFrame([], out)
+    left = usable_vectors(left, dim, vector).select(left_id, vector, *keep)
+    right = usable_vectors(right, dim, vector).select(right_id, vector)
     score, best = _scorer(k, floor)
 
     def carried(part):
@@ -122,9 +149,7 @@ def _pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vecto
         return pa.table({left_id: found.column("left_id"), right_id: ids, "similarity": found.column("similarity"),
                          **{c: found.column(c) for c in keep}})
 
-    # The bound is checked on at most ship_rows + 1 rows.
-    shipped = right.limit(ship_rows + 1).toArrow()
-    if shipped.num_rows <= ship_rows:
+    def scan_with(shipped):
         right_ids, right_vecs = shipped.column(right_id).combine_chunks(), shipped.column(vector).combine_chunks()
 
         def scan(batches):
@@ -142,26 +167,28 @@ def _pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vecto
             if held is not None:
                 yield from emit(held, right_ids).to_batches()
 
-        return left.mapInArrow(scan, out)
-
-    def blocks(df, key, n):
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-    n_left = max(1, -(-left.count() // block_rows))
-    n_right = max(1, -(-right.count() // block_rows))
-    lb = left.select("*", blocks(left, left_id, n_left).alias("lb"),
-                     F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("rb"))
-    rb = right.select("*", blocks(right, right_id, n_right).alias("rb"),
-                      F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("lb"))
-    out_schema = to_arrow_schema(out)
+        return scan
 
-    def pair(lt, rt):
-        if lt.num_rows == 0 or rt.num_rows == 0:
-            return out_schema.empty_table()
-        found = score(carried(lt), lt.column(vector), rt.column(vector))
-        return emit(found, rt.column(right_id).combine_chunks()).cast(out_schema)
-
-    return lb.groupBy("lb", "rb").cogroup(rb.groupBy("lb", "rb")).applyInArrow(pair, out)
+    # The bound is checked on at most ship_rows + 1 rows.
+    whole = right.limit(ship_rows + 1).toArrow()
+    if whole.num_rows <= ship_rows:
+        return left.mapInArrow(scan_with(whole), out)
+    right = materialize(right.distinct())
+    n_blocks = -(-2 * right.count() // ship_rows)
+    parts, block = [], 0
+    order = Window.partitionBy(right_id).orderBy(F.col("similarity").desc(), left_id)
+    while block < n_blocks:
+        part = right.where(F.pmod(F.xxhash64(right_id, vector), F.lit(n_blocks)) == block).limit(ship_rows + 1).toArrow()
+        if part.num_rows > ship_rows:  # uneven: begin again with smaller blocks
+            discard(*parts)
+            parts, block, n_blocks = [], 0, 2 * n_blocks
+            continue
+        rows = left.mapInArrow(scan_with(part), out)
+        if k is not None:
+            rows = rows.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).drop("_place")
+        parts.append(materialize(rows))
+        block += 1
+    return reduce(DataFrame.union, parts)
 
 
 def rank_semantic(sims: DataFrame, top: int = K.SEMANTIC_TOP) -> DataFrame:
@@ -176,16 +203,20 @@ def rank_semantic(sims: DataFrame, top: int = K.SEMANTIC_TOP) -> DataFrame:
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = K.SEMANTIC_TOP,
-                ship_rows: int = SHIP_ROWS, block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, chunk_id, similarity, sem_rank, *keep), the k nearest chunks of each query."""
-    pairs = _pairs(vectors, queries, "chunk_id", "query_id", "embedding", k, None, ship_rows, block_rows, keep)
+                ship_rows: int = SHIP_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, chunk_id, similarity, sem_rank, *keep), the k nearest chunks of each query.
+
+    Vectors that are null, of another length than most queries', or hold components that are null
+    or not finite are left out on both sides; see rejected_vectors for their number.
+    """
+    pairs = _pairs(vectors, queries, "chunk_id", "query_id", "embedding", k, None, ship_rows, keep)
     return rank_semantic(pairs, k)
 
 
 def similar_above(left: DataFrame, right: DataFrame, left_id: str, right_id: str, floor: float,
-                  vector: str = "embedding", ship_rows: int = SHIP_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                  vector: str = "embedding", ship_rows: int = SHIP_ROWS) -> DataFrame:
     """(left_id, right_id, similarity) with similarity above `floor`."""
-    return _pairs(left, right, left_id, right_id, vector, None, floor, ship_rows, block_rows)
+    return _pairs(left, right, left_id, right_id, vector, None, floor, ship_rows)
 
 
 def encode_distinct(texts: DataFrame, encoder: Encoder, text: str = "text") -> DataFrame:

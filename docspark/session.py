@@ -66,12 +66,15 @@ def reads(df: DataFrame) -> set[str]:
     return {p for p in written if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)}
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def remove(spark: SparkSession, paths: set[str]) -> None:
     """Deletes intermediate tables that nothing reads any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in set(paths) & written:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        remove_folder(spark, path)
         written.discard(path)
 
 

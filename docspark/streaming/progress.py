@@ -1,4 +1,4 @@
-"""Ingest progress as an event stream: latest record, silence limit, live counts."""
+"""Ingest progress as an event stream: latest record and silence limit."""
 from __future__ import annotations
 
 import pandas as pd
@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import constants as K
-from ..operators.catalog import document_counts, tag_counts
+from ..session import remove_folder
 
 DONE = ("completed", "failed")
 
@@ -75,22 +75,15 @@ def track_progress(stream: DataFrame, silence_hours: int = 2, delay: str = "2 ho
     )
 
 
-def live_counts(docs: DataFrame) -> DataFrame:
-    """Badge counts of a catalog stream, for complete mode."""
-    return document_counts(docs)
-
-
-def live_tags(docs: DataFrame) -> DataFrame:
-    """The tag cloud of a catalog stream, for complete mode."""
-    return tag_counts(docs)
-
-
 def write_latest(stream: DataFrame, out: str, checkpoint: str, mode: str = "complete",
                  trigger: dict | None = None) -> StreamingQuery:
     """Writes each batch to `out`/batch=<id>, every five seconds unless told otherwise. A
-    complete-mode stream's current answer is its newest batch: see read_latest."""
+    complete-mode stream's current answer is its newest batch: see read_latest; all but the last
+    three of these are removed."""
     def save(df, n):
         df.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        if mode == "complete" and n >= 3:
+            remove_folder(df.sparkSession, f"{out}/batch={n - 3}")
 
     return (
         stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
