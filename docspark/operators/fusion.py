@@ -46,7 +46,8 @@ def pool_size(limit: int, most: int = K.RERANK_MOST) -> int:
 def rerank_pool(fused: DataFrame, limit: int = 5, most: int = K.RERANK_MOST) -> DataFrame:
     """Best candidates of each query in score order, ties by semantic rank. A chunk
     occurs once: its best-placed row is kept."""
-    first = F.min_by(F.struct("doc_id", "similarity", "sem_rank", "kw_rank", "score"), F.col("sem_rank"))
+    shown = [c for c in ("page",) if c in fused.columns]
+    first = F.min_by(F.struct("doc_id", "similarity", "sem_rank", "kw_rank", "score", *shown), F.col("sem_rank"))
     unique = fused.groupBy("query_id", "chunk_id").agg(first.alias("f")).select("query_id", "chunk_id", "f.*")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "sem_rank")
     return unique.withColumn("fused_rank", F.row_number().over(w)).filter(F.col("fused_rank") <= pool_size(limit, most))

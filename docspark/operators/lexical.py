@@ -1,15 +1,18 @@
 """Keyword retrieval: index tokens, postings, query terms and BM25 over whole query tables.
 
-Nothing here is broadcast by hint. The query side of each join is small or large as the
-caller's table is; Spark broadcasts it below its size threshold and otherwise joins by
-sort-merge with skew handling. Ranking uses a bounded `row_number`, which Spark cuts to
-the top rows in every map task before the shuffle by query.
+A document's tokens are counted inside its row, so a text is never exchanged. A posting may
+carry the document's length; a stored index also keeps, for every term and bucket of
+documents, how many hold it and the best it can score there, so that a search reads neither
+texts nor lengths and skips buckets that cannot reach a query's top. Nothing is broadcast by
+hint: query sides are written out, and Spark broadcasts them below its size threshold and
+otherwise joins by sort-merge. Ranking uses a bounded `row_number`, which Spark cuts to the
+top rows in every map task before the shuffle by query.
 """
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -23,40 +26,62 @@ def document_tokens(doc_text: DataFrame) -> DataFrame:
     return doc_text.select("doc_id", F.posexplode(index_tokens("text")).alias("pos", "term"))
 
 
+def row_counts(tokens: Column, positions: bool = False) -> Column:
+    """array<struct<term, tf[, positions]>> of a token array, by term: sorted, then cut where the term changes."""
+    marked = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))) if positions else tokens)
+    term = (lambda m, i: F.get(m, i)["term"]) if positions else (lambda m, i: F.get(m, i))
+
+    def counted(m):
+        first = F.filter(F.sequence(F.lit(0), F.greatest(F.size(m) - 1, F.lit(0))), lambda i: (i < F.size(m)) & ((i == 0) | (term(m, i) != term(m, i - 1))))
+
+        def entry(starts, i, k):
+            tf = F.coalesce(F.get(starts, k + 1), F.size(m)) - i
+            more = [F.transform(F.slice(m, i + 1, tf), lambda x: x["pos"]).alias("positions")] if positions else []
+            return F.struct(term(m, i).alias("term"), tf.cast("bigint").alias("tf"), *more)
+
+        return let(first, lambda starts: F.transform(starts, lambda i, k: entry(starts, i, k)))
+
+    return let(marked, counted)
+
+
 def build_postings(doc_text: DataFrame, stemmer: Encoder | None = None, positions: bool = True,
-                   only: DataFrame | None = None) -> DataFrame:
-    """(doc_id, term, tf[, positions]).
+                   only: DataFrame | None = None, lengths: bool = False) -> DataFrame:
+    """(doc_id, term, tf[, positions][, dl]).
 
-    A whole index partitions the documents once and groups inside that partitioning. When
-    only some terms are wanted (`only`, one column `term`), tokens are filtered first and
-    just the matching ones are shuffled. With a stemmer each document's distinct terms are
-    stemmed where they are and grouped again by stem; a common term is never gathered.
+    Tokens are counted inside the row: a whole index is built without any exchange. When only
+    some terms are wanted (`only`, one column `term`), the others are dropped next. With a
+    stemmer the distinct terms of a document are stemmed and summed by stem; what is moved
+    then are counts. `lengths` adds the document's length over all indexed columns.
     """
-    if only is None or stemmer is not None:
-        doc_text = doc_text.select("doc_id", "text").repartition("doc_id")
-    tokens = document_tokens(doc_text)
-    if only is not None and stemmer is None:
-        tokens = tokens.join(only, "term", "left_semi")
-    aggs = [F.count("*").alias("tf")]
-    if positions:
-        aggs.append(F.sort_array(F.collect_list("pos")).alias("positions"))
-    postings = tokens.groupBy("doc_id", "term").agg(*aggs)
-    if stemmer is None:
-        return postings
-    stemmed = postings.withColumn("term", stemmer(F.col("term")))
+    more = ["dl"] if lengths else []
+    # the length is a column before the rows are exploded, else it would be computed for every term
+    texts = doc_text.select("doc_id", "text", *([_length(doc_text, INDEXED).alias("dl")] if lengths else []))
+    rows = texts.select("doc_id", F.explode(row_counts(index_tokens("text"), positions)).alias("e"), *more).select("doc_id", "e.*", *more)
+    if stemmer is not None:
+        rows = rows.withColumn("term", stemmer(F.col("term")))
     if only is not None:
-        stemmed = stemmed.join(only, "term", "left_semi")
+        rows = rows.join(only, "term", "left_semi")
+    if stemmer is None:
+        return rows
     aggs = [F.sum("tf").alias("tf")]
     if positions:
         aggs.append(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
-    return stemmed.groupBy("doc_id", "term").agg(*aggs)
+    if lengths:
+        aggs.append(F.max("dl").alias("dl"))
+    return rows.groupBy("doc_id", "term").agg(*aggs)
 
 
-def doc_stats(doc_text: DataFrame, columns: Iterable[str] = ("filename", "text", "tags", "summary")) -> DataFrame:
-    """(doc_id, dl): tokens over all indexed columns that the table has."""
+INDEXED = ("filename", "text", "tags", "summary")
+
+
+def _length(doc_text: DataFrame, columns: Iterable[str]) -> Column:
     present = [c for c in columns if c in doc_text.columns]
-    dl = sum((count_index_tokens(F.coalesce(c, F.lit(""))) for c in present), F.lit(0))
-    return doc_text.select("doc_id", dl.cast("bigint").alias("dl"))
+    return sum((count_index_tokens(F.coalesce(c, F.lit(""))) for c in present), F.lit(0)).cast("bigint")
+
+
+def doc_stats(doc_text: DataFrame, columns: Iterable[str] = INDEXED) -> DataFrame:
+    """(doc_id, dl): tokens over all indexed columns that the table has."""
+    return doc_text.select("doc_id", _length(doc_text, columns).alias("dl"))
 
 
 def corpus_stats(stats: DataFrame) -> DataFrame:
@@ -69,6 +94,23 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def term_headers(postings: DataFrame, bucket: str = "bucket") -> DataFrame:
+    """(bucket, term, df, most_tf, least_dl): a part of A7 for each bucket of documents, from postings with
+    lengths. Parts are summed over buckets; a changed bucket only needs its own anew."""
+    return postings.groupBy(bucket, "term").agg(F.count("*").alias("df"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"))
+
+
+def length_parts(stats: DataFrame, bucket: str = "bucket") -> DataFrame:
+    """(bucket, n_docs, length): a part of A7's totals for each bucket of documents."""
+    return stats.groupBy(bucket).agg(F.count("*").alias("n_docs"), F.sum("dl").alias("length"))
+
+
+def merged_stats(headers: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A7 from its parts: (term, df), and one row of n_docs and avgdl."""
+    return (headers.groupBy("term").agg(F.sum("df").alias("df")),
+            parts.agg(F.sum("n_docs").alias("n_docs"), (F.sum("length") / F.sum("n_docs")).alias("avgdl")))
+
+
 def query_terms(queries: DataFrame, stopwords: Iterable[str] = K.STOPWORDS) -> DataFrame:
     """R2: (query_id, terms), repeats kept; a query of stop words alone keeps them all."""
     stop = sorted(set(stopwords))
@@ -95,51 +137,105 @@ def match_items(terms: DataFrame, phrases: DataFrame | None = None, stemmer: Enc
     return parts if stemmer is None else parts.withColumn("term", stemmer(F.col("term")))
 
 
-def item_matches(items: DataFrame, postings: DataFrame) -> DataFrame:
-    """(item, doc_id, tf) for every item found in a document.
+def phrase_matches(items: DataFrame, postings: DataFrame) -> DataFrame:
+    """(item, doc_id, tf) for every item of several tokens found in a document.
 
-    Single tokens read tf from the postings. For longer items every token votes for the
-    position at which the item would start; starts with all votes are occurrences. Items
-    shared by several queries are matched once.
+    Every token votes for the position at which the item would start; starts with all votes
+    are occurrences. Items shared by several queries are matched once.
     """
-    parts = items.select("item", "i", "n", "term").distinct()
-    if "positions" not in postings.columns:
-        return postings.join(parts.select("item", "term"), "term").select("item", "doc_id", "tf")
-    hits = postings.join(parts, "term")
-    single = hits.filter(F.col("n") == 1).select("item", "doc_id", "tf")
-    starts = hits.filter(F.col("n") > 1).select(
+    parts = items.filter(F.col("n") > 1).select("item", "i", "n", "term").distinct()
+    starts = postings.join(parts, "term").select(
         "item", "doc_id", "n", F.explode(F.transform("positions", lambda p: p - F.col("i"))).alias("start"))
-    multi = (
+    return (
         starts.groupBy("item", "doc_id", "n", "start").agg(F.count("*").alias("votes"))
         .filter(F.col("votes") == F.col("n"))
         .groupBy("item", "doc_id").agg(F.count("*").alias("tf"))
     )
-    return single.unionByName(multi)
 
 
-def bm25(items: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
+def _gain(tf, dl, avgdl) -> Column:
+    """What tf occurrences in a document of length dl add, before the weight of the term."""
+    tf = F.col(tf).cast("double")
+    return tf * (K.BM25_K1 + 1) / (tf + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col(dl) / avgdl))
+
+
+def weigh(items: DataFrame, df: DataFrame, n_docs, key: str) -> DataFrame:
+    """(query_id, key, w): weight times idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6, of the keys that are
+    in the corpus; written out, one row a query and key."""
+    idf = F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(K.BM25_IDF_FLOOR))
+    return materialize(items.join(df, key).groupBy("query_id", key).agg(F.max("df").alias("df"), F.sum("weight").alias("weight")).select(
+        "query_id", key, (F.col("weight") * idf).alias("w"), "df"))
+
+
+HOT = 1_000_000  # postings of a term that are joined in one task, if the query side is not broadcast
+
+
+def _on_terms(postings: DataFrame, weighed: DataFrame) -> DataFrame:
+    """Postings beside the weights of their term. Terms of more than HOT postings are joined in that many parts."""
+    most = weighed.agg(F.max("df")).first()[0] or 0
+    salts = -(-most // HOT)
+    if salts <= 1:
+        return postings.join(weighed.drop("df"), "term")
+    salted = weighed.drop("df").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return postings.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, ["term", "_salt"]).drop("_salt")
+
+
+def bm25(items: DataFrame, postings: DataFrame, stats: DataFrame | None = None, df: DataFrame | None = None,
+         totals: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, bm25) for every document matching any item of a query.
 
-    idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6.
+    `stats` gives the lengths unless the postings carry them. A stored index also gives `df`
+    (term, df) and `totals` (n_docs, avgdl). Single tokens need one join, by term, and one sum
+    by query and document. Items of several tokens need positions; their matches are written.
     """
-    matches = item_matches(items, postings)
-    # One row an item, written out: joined by its known size, so that a common item's
-    # matches are not shuffled to one task just to learn its frequency.
-    df = materialize(matches.groupBy("item").agg(F.count("*").alias("df")))
-    totals = corpus_stats(stats)
+    totals = corpus_stats(stats) if totals is None else totals
     n_docs, avgdl = totals.select("n_docs").scalar(), totals.select("avgdl").scalar()
-    raw = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.select("item", F.greatest(raw, F.lit(K.BM25_IDF_FLOOR)).alias("idf"))
-    tf = F.col("tf").cast("double")
-    gain = F.col("idf") * tf * (K.BM25_K1 + 1) / (
-        tf + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / avgdl))
-    scored = matches.join(idf, "item").join(stats, "doc_id").select("item", "doc_id", gain.alias("gain"))
-    weights = items.filter(F.col("i") == 0).select("query_id", "item", "weight")
-    return (
-        scored.join(weights, "item")
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum(F.col("gain") * F.col("weight")).alias("bm25"))
-    )
+    singles, several = items.filter(F.col("n") == 1), items.filter(F.col("n") > 1)
+    known = df if df is not None else document_frequency(postings.join(singles.select("term").distinct(), "term", "left_semi"))
+    long = postings if "dl" in postings.columns else postings.join(stats, "doc_id")
+    scored = _on_terms(long, weigh(singles, known, n_docs, "term")).select(
+        "query_id", "doc_id", (F.col("w") * _gain("tf", "dl", avgdl)).alias("gain"))
+    if "positions" in postings.columns and not several.isEmpty():
+        found = materialize(phrase_matches(several, postings))
+        weights = weigh(several.filter(F.col("i") == 0), found.groupBy("item").agg(F.count("*").alias("df")), n_docs, "item")
+        lengths = stats if stats is not None else postings.select("doc_id", "dl").distinct()
+        scored = scored.unionByName(found.join(weights, "item").join(lengths, "doc_id").select(
+            "query_id", "doc_id", (F.col("w") * _gain("tf", "dl", avgdl)).alias("gain")))
+    return scored.groupBy("query_id", "doc_id").agg(F.sum("gain").alias("bm25"))
+
+
+def bm25_top(items: DataFrame, postings: DataFrame, headers: DataFrame, parts: DataFrame, top: int = K.KEYWORD_TOP,
+             bucket: str = "bucket") -> DataFrame:
+    """R4 for the first `top` documents of every query over a stored index; others may be missing.
+
+    A bucket can add to a query at most what its terms' headers allow. The most promising
+    bucket of each query is scored first; its `top`-th document is a bound, and buckets that
+    cannot reach it are skipped. For items of single tokens.
+    """
+    df, totals = merged_stats(headers, parts)
+    n_docs, avgdl = totals.select("n_docs").scalar(), totals.select("avgdl").scalar()
+    wanted = items.filter(F.col("n") == 1)
+    few = materialize(headers.join(wanted.select("term").distinct(), "term", "left_semi"))
+    weighed = weigh(wanted, few.groupBy("term").agg(F.sum("df").alias("df")), n_docs, "term")
+    bounds = few.drop("df").join(weighed, "term").groupBy("query_id", bucket).agg(
+        F.sum(F.col("w") * _gain("most_tf", "least_dl", avgdl)).alias("most"))
+    bounds = materialize(bounds)
+    n_buckets = parts.count()
+
+    def score(some):
+        rows = _on_terms(postings, weighed)
+        return rows.join(some, ["query_id", bucket]).groupBy("query_id", "doc_id").agg(
+            F.sum(F.col("w") * _gain("tf", "dl", avgdl)).alias("bm25"))
+
+    if n_buckets == 1:
+        return score(bounds.select("query_id", bucket))
+    first = bounds.groupBy("query_id").agg(F.max_by(bucket, F.struct("most", bucket)).alias(bucket))
+    heads = materialize(score(first))
+    order = Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), "doc_id")
+    best = heads.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == top).select("query_id", F.col("bm25").alias("least"))
+    open_ = bounds.join(best, "query_id", "left").where(F.col("most") >= F.coalesce("least", F.lit(0.0)) - 1e-6)
+    rest = materialize(open_.select("query_id", bucket).join(first, ["query_id", bucket], "left_anti"))
+    return heads if rest.isEmpty() else heads.union(score(rest))
 
 
 def rank_keyword(scores: DataFrame, top: int = K.KEYWORD_TOP) -> DataFrame:
@@ -160,20 +256,28 @@ def query_index(doc_text: DataFrame, items: DataFrame, stemmer: Encoder | None =
     kept when some item has more than one token.
     """
     phrases = not items.filter(F.col("n") > 1).isEmpty()
-    postings = build_postings(doc_text, stemmer, phrases, items.select("term").distinct())
-    return materialize(postings), materialize(doc_stats(doc_text))
+    postings = materialize(build_postings(doc_text, stemmer, phrases, items.select("term").distinct(), lengths=True))
+    return postings, materialize(doc_stats(doc_text))
 
 
 def keyword_ranks(queries: DataFrame, doc_text: DataFrame, stopwords: Iterable[str] = K.STOPWORDS,
                   stemmer: Encoder | None = None, phrases: DataFrame | None = None,
                   postings: DataFrame | None = None, stats: DataFrame | None = None,
-                  top: int = K.KEYWORD_TOP) -> DataFrame:
-    """R2 to W1; a stored index (postings and lengths) is used when given.
+                  top: int = K.KEYWORD_TOP, headers: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """R2 to W1. A stored index is used when given: postings with lengths, or with `stats`; postings by bucket
+    with `headers` and `parts` (term_headers, length_parts) allow to skip buckets.
 
     The items are written out first: their size is then known to Spark, which sends a small
     query table to the tokens and shuffles for a large one.
     """
     items = materialize(match_items(query_terms(queries, stopwords), phrases, stemmer))
-    if postings is None or stats is None:
+    if postings is not None and headers is not None and parts is not None:
+        if phrases is None and items.filter(F.col("n") > 1).isEmpty():
+            return rank_keyword(bm25_top(items, postings, headers, parts, top), top)
+        df, totals = merged_stats(headers, parts)
+        return rank_keyword(bm25(items, postings, stats, df, totals), top)
+    if postings is None or (stats is None and "dl" not in postings.columns):
         postings, stats = query_index(doc_text, items, stemmer)
+    elif stats is None:
+        raise ValueError("postings with lengths need stats, or headers and parts, for the corpus totals")
     return rank_keyword(bm25(items, postings, stats), top)

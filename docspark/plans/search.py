@@ -32,13 +32,15 @@ def hybrid_search(
     keyword_top: int = K.KEYWORD_TOP,
     semantic_top: int = K.SEMANTIC_TOP,
     rerank_most: int = K.RERANK_MOST,
+    headers: DataFrame | None = None,
+    parts: DataFrame | None = None,
 ) -> DataFrame:
     """The first `limit` hits of every query.
 
     `queries` has (query_id, text) and, unless an encoder is given, `embedding`; `vectors`
     has (chunk_id, doc_id, embedding) and optionally page and text. A blank query or an
     empty corpus gives no rows. `postings` and `stats` are a stored index (build_postings,
-    doc_stats); without them the texts are tokenised for this call. `keyword_top` and
+    doc_stats), or `postings`, `headers` and `parts` one that was written by bucket (read_index); without them the texts are tokenised for this call. `keyword_top` and
     `semantic_top` are the candidates a query on either side (the semantic side has at least
     the pool's number), `rerank_most` bounds the pool unless the limit is greater.
     """
@@ -47,16 +49,17 @@ def hybrid_search(
     if encoder is not None:
         queries = materialize(V.encode_distinct(queries, encoder))  # used three times
     phrases = expand_query(queries, stopwords) if expand else None
-    keyword = lexical.keyword_ranks(queries, doc_text, stopwords, stemmer, phrases, postings, stats, keyword_top)
-    semantic = V.vector_topk(queries, vectors, max(semantic_top, pool_rows), keep=("doc_id",))
+    keyword = lexical.keyword_ranks(queries, doc_text, stopwords, stemmer, phrases, postings, stats, keyword_top,
+                                    headers, parts)
+    shown = tuple(c for c in ("page",) if c in vectors.columns)
+    semantic = V.vector_topk(queries, vectors, max(semantic_top, pool_rows), keep=("doc_id", *shown))
     fused = fusion.rrf(keyword, semantic, kw_weight=kw_weight, sem_weight=sem_weight)
     # pool_rows a query at most; written out, so that Spark knows how small they are and
     # looks them up in the catalog and the chunks without shuffling either.
     pool = materialize(fusion.rerank_pool(fused, limit, rerank_most))
     hits = fusion.attach_metadata(pool, docs)
-    shown = [c for c in ("page", "text") if c in vectors.columns]
-    if shown:
-        hits = hits.join(vectors.select("chunk_id", *shown), "chunk_id")
+    if "text" in vectors.columns:
+        hits = hits.join(vectors.select("chunk_id", "text"), "chunk_id")
     if scorer is None:
         ranked = fusion.fused_order(hits)
     else:
