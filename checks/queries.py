@@ -16,7 +16,7 @@ from docspark.operators import lexical, maintain as U, paging, quality as Q, vec
 from docspark.plans import ingest as PI, search as PS
 from docspark.session import materialize, shared_dir, spread
 from docspark.sources import files as SF, tables as ST
-from docspark.streaming import ingest as SI, progress as SP
+from docspark.streaming import ingest as SI, live as LV, progress as SP
 
 from . import inputs as I
 from . import sql as S
@@ -134,7 +134,7 @@ def u1b(spark, d):
     ST.write_index(**parts(docs, "old", 0), path=path, buckets=256)
     ST.update_index(spark, path, docs.where("doc_id % 7 = 0 OR doc_id % 11 = 0"), parts(docs.where("doc_id % 7 = 0"), "new", 1), buckets=256)
     t = ST.read_index(spark, path)
-    return t["chunks"].join(t["vectors"], "doc_id", "full").join(t["postings"], "doc_id", "full")
+    return t["chunks"].join(t["vectors"], "doc_id", "full").join(t["postings"].drop("bucket"), "doc_id", "full")
 
 
 @query("s6_document_text", "SELECT item_id * 11 AS doc_id, coalesce(d.text, '') AS text, CASE WHEN d.text IS NULL THEN 'missing' ELSE 'found' END AS status "
@@ -748,7 +748,10 @@ def r2(spark, d):
     return lexical.query_terms(I.queries(spark, d)).select("query_id", joined("terms").alias("terms"))
 
 
-@query("r3_expand_query")
+@query("r3_expand_query", S.build("""
+    SELECT query_id, phrase FROM (SELECT e.doc_id AS query_id, phrase, row_number() OVER (PARTITION BY e.doc_id ORDER BY pos) AS r
+      FROM e JOIN qraw ON query_id = doc_id WHERE contains(phrase, ' ') OR NOT list_contains(raw, phrase)) WHERE r <= 3""", "qraw",
+    recursive=S.keyphrase_ctes("SELECT query_id AS doc_id, text FROM qs JOIN qraw USING (query_id) WHERE len(raw) >= 4", 4, "e")))
 def r3(spark, d):
     return KW.expand_query(I.queries(spark, d))
 
@@ -778,6 +781,35 @@ def r4b(spark, d):
     return s.withColumn("bm25", F.round("bm25", 6))
 
 
+@query("r4_bm25_stored_after_update", S.build("SELECT query_id, doc_id, kw_rank FROM kw", "kw"))
+def r4c(spark, d):
+    """Ranks of r4 from an index that first held other texts of a third of the documents and some foreign ones."""
+    docs = I.documents(spark, d).select("doc_id", "text")
+    post = lambda rows: lexical.build_postings(rows, positions=False, lengths=True)
+    old = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("the old words "), F.reverse("text"))).otherwise(F.col("text")).alias("text"))
+    old = old.where("doc_id % 9 <> 2").union(docs.where("doc_id % 50 = 0").select(-F.col("doc_id") - 1, "text"))
+    path, none = shared_dir(spark), I.vectors(spark, d).select("chunk_id", "doc_id").where("chunk_id < 5")
+    ST.write_index(none, none, post(old), path, buckets=32)
+    new = docs.where("doc_id % 3 = 1 OR doc_id % 9 = 2")
+    ST.update_index(spark, path, new.select("doc_id").union(old.where("doc_id < 0").select("doc_id")), {"postings": post(new)}, buckets=32)
+    t = ST.read_index(spark, path)
+    ranks = lexical.keyword_ranks(I.queries(spark, d), docs, postings=t["postings"], headers=t["headers"], parts=t["parts"])
+    return ranks.select("query_id", "doc_id", big("kw_rank"))
+
+
+@query("a7_stored_after_update", SQL["a7_corpus_term_stats"])
+def a7b(spark, d):
+    """A7 of an updated index, merged from its parts."""
+    docs = I.documents(spark, d).select("doc_id", "text")
+    post = lambda rows: lexical.build_postings(rows, positions=False, lengths=True)
+    path, none = shared_dir(spark), I.vectors(spark, d).select("chunk_id", "doc_id").where("chunk_id < 5")
+    ST.write_index(none, none, post(docs.where("doc_id % 4 > 0").withColumn("text", F.concat("text", F.lit(" tail")))), path, buckets=16)
+    ST.update_index(spark, path, docs.select("doc_id"), {"postings": post(docs)}, buckets=16)
+    t = ST.read_index(spark, path)
+    df, totals = lexical.merged_stats(t["headers"], t["parts"])
+    return df.withColumns({"n_docs": totals.select("n_docs").scalar(), "avgdl": F.round(totals.select("avgdl").scalar(), 6)})
+
+
 @query("w1_rank_keyword", S.build("SELECT query_id, doc_id, kw_rank FROM kw", "kw"))
 def w1(spark, d):
     return _keyword(spark, d).select("query_id", "doc_id", big("kw_rank"))
@@ -790,7 +822,31 @@ def r5(spark, d):
 
 @query("w2_rank_semantic_by_blocks", S.build("SELECT query_id, chunk_id, similarity, sem_rank FROM sem", "sem"))
 def w2(spark, d):
-    return V.vector_topk(I.queries(spark, d), I.vectors(spark, d), ship_rows=0, block_rows=200).withColumn("sem_rank", big("sem_rank"))
+    return V.vector_topk(I.queries(spark, d), I.vectors(spark, d), ship_rows=12).withColumn("sem_rank", big("sem_rank"))
+
+
+def _spoilt(rows, key):
+    """Some vectors are null, of another length, or hold NaN, an infinity or null."""
+    k, e, nan = F.col(key) % 11, F.col("embedding"), F.lit(float("nan")).cast("float")
+    odd = (F.when(k == 1, F.lit(None)).when(k == 2, F.slice(e, 1, 63)).when(k == 3, F.concat(F.slice(e, 1, 63), F.array(nan)))
+           .when(k == 4, F.concat(F.slice(e, 1, 63), F.array(F.lit(float("-inf")).cast("float"))))
+           .when(k == 5, F.concat(F.array(F.lit(None).cast("float")), F.slice(e, 1, 63))).otherwise(e))
+    return rows.withColumn("embedding", odd)
+
+
+@query("r5_vector_topk_spoilt", S.build(f"""
+    SELECT query_id, chunk_id, similarity, sem_rank FROM (SELECT query_id, chunk_id, round(greatest(0.0, s), 4) AS similarity,
+      row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS sem_rank FROM sim WHERE chunk_id % 11 NOT BETWEEN 1 AND 5 AND query_id % 11 NOT BETWEEN 1 AND 5)
+    WHERE sem_rank <= {K.SEMANTIC_TOP}""", "sim"))
+def r5b(spark, d):
+    return V.vector_topk(_spoilt(I.queries(spark, d), "query_id"), _spoilt(I.vectors(spark, d), "chunk_id")).withColumn("sem_rank", big("sem_rank"))
+
+
+@query("r5_rejected_vectors", """
+    SELECT CASE WHEN vec_id % 11 = 1 THEN 'no vector' WHEN vec_id % 11 = 2 THEN 'other length' ELSE 'null or not finite' END AS reason, count(*) AS n
+    FROM embeddings WHERE vec_id % 11 BETWEEN 1 AND 5 GROUP BY 1""")
+def r5c(spark, d):
+    return V.rejected_vectors(_spoilt(I.vectors(spark, d), "chunk_id"), 64)
 
 
 _HASH = """list_transform(range(0, 64), lambda b: CAST(len(list_filter(c, lambda x: x = b)) - len(list_filter(c, lambda x: x = b + 64)) AS DOUBLE))"""
@@ -868,12 +924,25 @@ def r8b(spark, d):
     return fusion.rerank(hits, score).select("query_id", "chunk_id", F.coalesce("ce_score", F.lit(99.0)).alias("ce_score"), big("rank"))
 
 
+def _stored(spark, d, docs):
+    """A written index of the documents; its path."""
+    path = shared_dir(spark)
+    vecs = I.vectors(spark, d)
+    ST.write_index(vecs.select("chunk_id", "doc_id", "page"), vecs.select("chunk_id", "doc_id", "page", "embedding"),
+                   lexical.build_postings(docs, positions=False, lengths=True), path, buckets=8)
+    return path
+
+
+def _read_stored(spark, path):
+    t = ST.read_index(spark, path)
+    return {"vectors": t["vectors"], "postings": t["postings"], "headers": t["headers"], "parts": t["parts"]}
+
+
 @query("r9_hybrid_search_stored", SQL["r9_hybrid_search"])
 def r9c(spark, d):
-    """The search of r9 over a stored index: postings and lengths are read, no text is tokenised."""
+    """The search of r9 over a stored index: no text is tokenised, buckets out of reach are skipped."""
     docs = I.documents(spark, d).select("doc_id", "text")
-    postings, stats = materialize(lexical.build_postings(docs)), materialize(lexical.doc_stats(docs))
-    hits = PS.hybrid_search(I.queries(spark, d), I.catalog(spark, d), docs, I.vectors(spark, d), postings=postings, stats=stats)
+    hits = PS.hybrid_search(I.queries(spark, d), I.catalog(spark, d), docs, **_read_stored(spark, _stored(spark, d, docs)))
     return hits.select("query_id", big("rank"), "chunk_id", "doc_id", big("page"), "score", "similarity", "filename", "summary", joined("tags").alias("tags"))
 
 
@@ -932,16 +1001,31 @@ def r9b(spark, d):
 
 # --- Keywords and classification ----------------------------------------------
 
-@query("k2_keyphrases")
+_DOCS = "SELECT doc_id, text FROM documents"
+
+
+@query("k2_keyphrases", S.build("SELECT doc_id, pos, phrase, round(score, 6) AS score FROM kp", recursive=S.keyphrase_ctes(_DOCS, 9)))
 def k2(spark, d):
-    return KW.keyphrases(I.documents(spark, d), 9).withColumn("score", F.round("score", 6))
+    return KW.keyphrases(I.documents(spark, d), 9).select("doc_id", big("pos"), "phrase", F.round("score", 6).alias("score"))
 
 
-@query("k3_semantic_candidates")
+_PLAIN = "regexp_full_match({0}, '[A-Za-z][a-z]{{3,}}')"
+
+
+@query("k3_semantic_candidates", f"""
+    WITH t AS (SELECT conv_id * 100 + turn AS doc_id, regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g') AS text FROM conversations),
+    w AS (SELECT doc_id, text, list_filter(regexp_extract_all(text, '{S.WORD}'), lambda x: {_PLAIN.format('x')}) AS w FROM t),
+    c AS (SELECT doc_id, phrase, min((kind, spot)) AS k FROM (
+      SELECT doc_id, 0 AS kind, phrase, row_number() OVER (PARTITION BY doc_id ORDER BY phrase) AS spot FROM (SELECT DISTINCT doc_id, unnest(list_filter(w, lambda x: lower(x) NOT IN {S.STOP})) AS phrase FROM w)
+      UNION ALL SELECT doc_id, 1, a || ' ' || b, spot FROM (SELECT doc_id, unnest(w) AS a, unnest(w[2:]) AS b, unnest(range(0, len(w))) AS spot FROM w)
+        WHERE b IS NOT NULL AND lower(a) NOT IN {S.STOP} AND lower(b) NOT IN {S.STOP}) GROUP BY ALL),
+    p AS (SELECT phrase, v FROM {S.hashed('phrase', 'SELECT DISTINCT phrase, phrase AS text FROM c')}),
+    s AS (SELECT c.doc_id, k, phrase, {S.hash_cosine('h.v', 'p.v')} AS score FROM c JOIN p USING (phrase) JOIN {S.hashed('doc_id', 'SELECT * FROM t')} h ON h.doc_id = c.doc_id)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k) - 1 AS pos, phrase, round(score, 6) AS score FROM s WHERE score > {KW.SEMANTIC_FLOOR}""")
 def k3(spark, d):
     """On conversation turns: one candidate list a turn."""
     turns = spread(I.table(spark, d, "conversations"), "conv_id").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "text")
-    return KW.semantic_candidates(turns, hooks.hash_encoder).withColumn("score", F.round("score", 6))
+    return KW.semantic_candidates(turns, hooks.hash_encoder).select("doc_id", big("pos"), "phrase", F.round("score", 6).alias("score"))
 
 
 @query("k4_tf_terms", f"""
@@ -958,18 +1042,20 @@ def k5(spark, d):
     return KW.frequent_words(I.documents(spark, d)).select("doc_id", big("pos"), "phrase", "tf")
 
 
-@query("k6_content_keywords")
+@query("k6_content_keywords", S.build("SELECT doc_id, pos, tag FROM ck", recursive=S.content_ctes(_DOCS, 5)))
 def k6(spark, d):
-    return KW.content_keywords(I.documents(spark, d), 5)
+    return KW.content_keywords(I.documents(spark, d), 5).select("doc_id", big("pos"), "tag")
 
 
-@query("k7_document_tags")
+@query("k7_document_tags", S.build("SELECT doc_id, tags FROM dt", "cats", recursive=S.tags_ctes(_DOCS)))
 def k7(spark, d):
     t = KW.document_tags(I.documents(spark, d), CL.label_union(I.categories(spark, d)))
     return t.select("doc_id", joined("tags").alias("tags"))
 
 
-@query("k7_rule_based_tags")
+@query("k7_rule_based_tags", S.build(f"""
+    SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(coalesce(t, []) || CASE WHEN contains(lower({S.FILENAME} || ' ' || text), 'syllabus') THEN ['Syllabus'] ELSE [] END)), '|'), '') AS tags
+    FROM documents LEFT JOIN (SELECT doc_id, list(tag) AS t FROM ck GROUP BY 1) USING (doc_id)""", recursive=S.content_ctes(_DOCS, 3)))
 def k7b(spark, d):
     return KW.rule_based_tags(I.named_text(spark, d)).select("doc_id", joined("tags").alias("tags"))
 
@@ -1003,11 +1089,24 @@ def c2(spark, d):
     return r.select("doc_id", F.explode("classifications").alias("dimension_id", "l")).select("doc_id", "dimension_id", joined("l").alias("labels"))
 
 
-@query("m7_document_metadata")
+def _classes_of(c):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), joined(e["value"]))), ";")
+
+
+@query("m7_document_metadata", S.build(f"""
+    SELECT doc_id, {S.fallback('text')} AS summary, coalesce(dt.tags, '') AS tags,
+      array_to_string(list_transform((CASE WHEN len(hit) > 0 THEN hit ELSE long END)[1:3], lambda s: {S.ellipsis('s', 120)}), '|') AS key_findings, coalesce(cl.l, '') AS classifications
+    FROM (SELECT *, {_F8.replace('(x)', '(text)').replace('(x,', '(text,')} AS hit, {S.sentences(S.collapse('text'), 40)} AS long FROM documents) LEFT JOIN dt USING (doc_id)
+    LEFT JOIN (SELECT doc_id, string_agg(dimension_id || '=' || labels, ';' ORDER BY dimension_id) AS l FROM (
+      SELECT doc_id, dimension_id, string_agg(name, '|' ORDER BY name) AS labels FROM hl WHERE is_multi_label AND s > {K.MULTI_LABEL_THRESHOLD} GROUP BY 1, 2
+      UNION ALL SELECT doc_id, dimension_id, name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, dimension_id ORDER BY s DESC, name) AS r FROM hl WHERE NOT is_multi_label AND s > {K.SINGLE_LABEL_THRESHOLD}) WHERE r = 1) GROUP BY 1) cl USING (doc_id)""",
+    "cats", "dims", recursive=S.tags_ctes(_DOCS) + f""",
+    hl AS (SELECT h.doc_id, dimension_id, name, is_multi_label, {S.hash_cosine('h.v', 'n.v')} AS s FROM {S.hashed('doc_id', _DOCS)} h,
+      (SELECT c.dimension_id, c.name, is_multi_label, v FROM cats c JOIN dims USING (dimension_id) JOIN {S.hashed('name', 'SELECT DISTINCT name, name AS text FROM cats')} USING (name)) n)"""))
 def m7(spark, d):
     m = PI.document_metadata(I.named_text(spark, d), I.dimensions(spark), I.categories(spark, d))
     return m.select("doc_id", "summary", joined("tags").alias("tags"), joined("key_findings").alias("key_findings"),
-                    F.to_json("classifications").alias("classifications"))
+                    _classes_of("classifications").alias("classifications"))
 
 
 # --- Maintenance --------------------------------------------------------------
@@ -1035,31 +1134,27 @@ def u3(spark, d):
     return one("catalog").union(one("vectors")).union(one("categories"))
 
 
-def _word_tags(docs, n, encoder=None):
-    f = KW.frequent_words(docs)
-    return f.filter(F.col("pos") < n).select("doc_id", "pos", T.title_case("phrase").alias("tag"))
-
-
 @query("u5_retag", S.build(f"""
     SELECT b.doc_id, CASE WHEN {_NEEDS.replace('summary', 'b.summary').replace('source', 'b.source')} THEN array_to_string(list_sort(list_distinct(coalesce(t.l, []))), '|')
         ELSE 'Kept|General' END AS tags, b.summary
-    FROM base b LEFT JOIN (SELECT doc_id, list({S.title_word('phrase')}) AS l FROM freq WHERE pos < 3 AND tf >= 2 GROUP BY 1) t USING (doc_id)""", "base", "freq"))
+    FROM base b LEFT JOIN (SELECT doc_id, list(tag) || max(CASE WHEN contains(lower(filename || ' ' || text), 'syllabus') THEN ['Syllabus'] ELSE []::VARCHAR[] END) AS l
+      FROM ck JOIN base USING (doc_id) GROUP BY 1) t USING (doc_id)""", "base", recursive=S.content_ctes(_DOCS, 3)))
 def u5(spark, d):
-    new, _ = U.retag(_untagged(spark, d), I.documents(spark, d).select("doc_id", "text"), keywords=_word_tags)
+    new, _ = U.retag(_untagged(spark, d), I.documents(spark, d).select("doc_id", "text"))
     return new.select("doc_id", joined("tags").alias("tags"), "summary")
 
 
 @query("u6_reclassify", S.build(f"""
-    SELECT b.doc_id, coalesce(c.l, '') AS classes, coalesce(array_to_string(t.l, '|'), '') AS tags, {S.short('b.text')} AS summary FROM base b
+    SELECT b.doc_id, coalesce(c.l, '') AS classes, coalesce(t.tags, '') AS tags, {S.short('b.text')} AS summary FROM base b
     LEFT JOIN (SELECT doc_id, string_agg(dimension_id || '=' || labels, ';' ORDER BY dimension_id) AS l FROM topic GROUP BY 1) c USING (doc_id)
-    LEFT JOIN (SELECT doc_id, list({S.title_word('phrase')} ORDER BY pos)[1:8] AS l FROM freq WHERE pos < 10 AND tf >= 2 AND phrase NOT IN (SELECT unnest({S.words('text')}) FROM benchmark) GROUP BY 1) t USING (doc_id)
-    WHERE b.status = 'completed' AND b.lang <> 'en' AND {S.strip('b.text')} <> ''""", "base", "topic", "freq"))
+    LEFT JOIN dt t USING (doc_id)
+    WHERE b.status = 'completed' AND b.lang <> 'en' AND {S.strip('b.text')} <> ''""", "base", "topic", recursive=S.tags_ctes(_DOCS, labels=f"SELECT unnest({S.words('text')}) AS label FROM benchmark")))
 def u6(spark, d):
     def by_vector(todo):
         return CL.classify(I.doc_vectors(spark, d).join(todo, "doc_id", "left_semi"), I.label_dims(spark), I.label_vectors(spark, d))
 
     _, changes = U.reclassify(_unclassified(spark, d).drop("text"), I.documents(spark, d).select("doc_id", "text"),
-                              _some_labels(spark, d), by_vector, keywords=_word_tags, signature="s2")
+                              _some_labels(spark, d), by_vector, signature="s2")
     classes = F.array_join(F.transform(F.map_entries("classifications"), lambda e: F.concat(e["key"], F.lit("="), joined(e["value"]))), ";")
     return changes.select("doc_id", classes.alias("classes"), joined("tags").alias("tags"), "summary")
 
@@ -1087,8 +1182,7 @@ def x1(spark, d):
         "doc_id", I.filename().alias("filename"), F.octet_length("text").cast("bigint").alias("file_size_bytes"),
         F.timestamp_seconds(F.col("doc_id")).alias("upload_date"), "text")
     out, cp = shared_dir(spark), shared_dir(spark)
-    opts = PI.IngestOptions(keywords=_word_tags)
-    _run(lambda: SI.ingest_stream(src, out, cp, I.dimensions(spark), I.categories(spark, d), opts))
+    _run(lambda: SI.ingest_stream(src, out, cp, I.dimensions(spark), I.categories(spark, d)))
     t = SI.read_tables(spark, out)
     n = t["chunks"].groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
     return t["catalog"].join(n, "doc_id", "left").select("doc_id", "status", big("page_count"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
@@ -1136,23 +1230,40 @@ def x3b(spark, d):
     return last.select("doc_id", _ts("r.ts"), F.col("r.step").alias("step"), F.col("r.pct").alias("pct"))
 
 
+def _live(spark, rounds):
+    """Runs the live tables over the given catalog rows, one run of the stream after the other."""
+    src, out, cp = shared_dir(spark), shared_dir(spark), shared_dir(spark)
+    for rows in rounds:
+        rows.select("doc_id", "updated", "status", "doc_type", "tags").write.mode("append").parquet(src)
+        stream = spark.readStream.schema("doc_id long, updated timestamp, status string, doc_type string, tags array<string>").parquet(src)
+        _run(lambda: LV.write_live(stream, out, cp, trigger={"availableNow": True}))
+    return out
+
+
 @query("x4_live_tags_stream", "SELECT event_type AS tag, count(*) AS n FROM events GROUP BY 1")
 def x4(spark, d):
-    docs = _stream(spark, d, "events").select(F.lit("completed").alias("status"), F.array("event_type").alias("tags"))
-    out, cp = shared_dir(spark), shared_dir(spark)
-    _run(lambda: SP.write_latest(SP.live_tags(docs), out, cp, trigger={"availableNow": True}))
-    return SP.read_latest(spark, out)
+    """Every event is a document that is first tagged otherwise, then as its type says; some come late."""
+    e = I.table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("updated"), F.lit("completed").alias("status"),
+                                           F.lit(None).cast("string").alias("doc_type"), F.array("event_type").alias("tags"))
+    before = e.withColumns({"updated": F.col("updated") - F.expr("interval 1 hour"), "tags": F.array(F.lit("old"), F.concat(F.lit("x"), F.col("tags")[0]))})
+    return LV.live_tags(spark, _live(spark, [before.where("doc_id % 3 > 0"), e, before.where("doc_id % 3 < 2")]))
 
 
 @query("x4_live_counts_stream", """SELECT count(*) FILTER (lang = 'en') AS "all", count(*) FILTER (lang = 'en' AND n_chars > 2000) AS syllabus, 0::BIGINT AS notes, 0::BIGINT AS assign,
-    count(*) FILTER (lang = 'en' AND n_chars <= 2000) AS other, count(*) FILTER (lang = 'fr') AS processing, count(*) FILTER (lang NOT IN ('en', 'fr')) AS failed FROM documents""")
+    count(*) FILTER (lang = 'en' AND n_chars <= 2000) AS other, count(*) FILTER (lang = 'fr') AS processing, count(*) FILTER (lang NOT IN ('en', 'fr')) AS failed
+    FROM documents WHERE doc_id % 11 <> 4""")
 def x4b(spark, d):
-    docs = _stream(spark, d, "documents").select(
-        F.when(F.col("lang") == "en", "completed").when(F.col("lang") == "fr", "processing").otherwise("failed").alias("status"),
-        F.when(F.col("n_chars") > 2000, "syllabus").alias("doc_type"))
-    out, cp = shared_dir(spark), shared_dir(spark)
-    _run(lambda: SP.write_latest(SP.live_counts(docs), out, cp, trigger={"availableNow": True}))
-    return SP.read_latest(spark, out)
+    """Documents arrive as processing, then with their outcome; some change their kind, some are deleted."""
+    docs = I.documents(spark, d).select(
+        "doc_id", F.timestamp_seconds(F.col("doc_id") + 1_700_000_000).alias("updated"), F.lit("processing").alias("status"),
+        F.lit(None).cast("string").alias("doc_type"), F.array(F.lit("t")).alias("tags"), "lang", "n_chars")
+    later = lambda rows, s: rows.withColumn("updated", F.col("updated") + F.expr(f"interval {s} seconds"))
+    done = later(docs, 5).withColumns({
+        "status": F.when(F.col("lang") == "en", "completed").when(F.col("lang") == "fr", "processing").otherwise("failed"),
+        "doc_type": F.when(F.col("n_chars") > 2000, "syllabus")})
+    first = later(docs, 3).where("doc_id % 5 = 1").withColumns({"status": F.lit("completed"), "doc_type": F.lit("notes")})
+    gone = later(docs, 9).where("doc_id % 11 = 4").withColumn("status", F.lit("deleted"))
+    return LV.live_counts(spark, _live(spark, [docs.where("doc_id % 2 = 0").union(first), done, gone.union(docs)]))
 
 
 @query("x5_drop_redelivered", "SELECT doc_id, count(*) AS n FROM documents GROUP BY doc_id")

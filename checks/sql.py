@@ -182,6 +182,85 @@ CTE: dict[str, tuple[list[str], str]] = {
 }
 
 
+#: Letters beyond ASCII in the test texts, each for one character that lower-case words don't hold: DuckDB's distance counts bytes.
+ACCENTS = ("éóèñüçêäößí", "ABCDEFGHIJK")
+
+
+def keyphrase_ctes(source: str, top: int, name: str = "kp", dedup: float = 0.7) -> str:
+    """Keyphrases of (doc_id, text) rows as `name` (doc_id, pos, phrase, score): features by word, candidates by score,
+    taken one by one unless too close to one taken before."""
+    n, plain = name, f"translate({{}}, {quote(ACCENTS[0])}, {quote(ACCENTS[1])})"
+    marked = f"replace(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(10), chr(1))"
+    return f"""
+    {n}s AS (SELECT doc_id, len(l) AS n_sents, unnest(l) AS s, unnest(range(0, len(l))) AS sent FROM (
+      SELECT doc_id, list_filter(string_split({marked}, chr(1)), lambda x: regexp_matches(x, '\\p{{L}}')) AS l FROM ({source}))),
+    {n}r AS (SELECT doc_id, n_sents, sent, unnest(l) AS s, unnest(range(0, len(l))) AS run FROM (
+      SELECT *, regexp_split_to_array(s, '[^\\p{{L}}\\p{{N}}_\\s\\x0b\\p{{Z}}]+') AS l FROM {n}s)),
+    {n}w AS (SELECT doc_id, n_sents, sent, run, unnest(l) AS tok, unnest(range(0, len(l))) AS spot, unnest([NULL] || l[1:len(l) - 1]) AS before, unnest(l[2:] || [NULL]) AS after FROM (
+      SELECT *, list_filter(regexp_split_to_array(s, '{WS}+'), lambda x: x <> '') AS l FROM {n}r) WHERE len(l) > 0),
+    {n}t AS (SELECT doc_id, n_sents, sent, run, spot, lower(tok) AS term, lower(before) AS before, lower(after) AS after, regexp_matches(tok, '^\\p{{Lu}}{{2,}}$') AS up,
+        regexp_matches(tok, '^\\p{{Lu}}') AND run + spot > 0 AND NOT regexp_matches(tok, '^\\p{{Lu}}{{2,}}$') AS proper FROM {n}w
+      WHERE length(tok) >= 3 AND lower(tok) NOT IN {STOP} AND NOT regexp_matches(tok, '\\p{{N}}|_')),
+    {n}f AS (SELECT *, max(tf) OVER (PARTITION BY doc_id) AS most, avg(tf) OVER (PARTITION BY doc_id) + stddev_pop(tf) OVER (PARTITION BY doc_id) AS usual FROM (
+      SELECT doc_id, term, n_sents, count(*) AS tf, greatest(count(*) FILTER (up), count(*) FILTER (proper)) AS cased, median(sent) AS mid, count(DISTINCT sent) AS spread,
+        coalesce(count(DISTINCT before) / nullif(count(before), 0), 0) + coalesce(count(DISTINCT after) / nullif(count(after), 0), 0) AS vary FROM {n}t GROUP BY ALL)),
+    {n}h AS (SELECT doc_id, term, (rel * ln(ln(mid + 3))) / (cased / (1 + ln(tf)) + (tf / usual) / rel + (spread / n_sents) / rel) AS h FROM (SELECT *, 1 + vary * tf / most AS rel FROM {n}f)),
+    {n}l AS (SELECT doc_id, term, h, lead(term) OVER o AS term2, lead(h) OVER o AS h2, lead(sent) OVER o = sent AND lead(run) OVER o = run AND lead(spot) OVER o = spot + 1 AS near
+      FROM {n}t JOIN {n}h USING (doc_id, term) WINDOW o AS (PARTITION BY doc_id ORDER BY sent, run, spot)),
+    {n}c AS (SELECT doc_id, phrase, round(max(prod) / (count(*) * (1 + max(total))), 12) AS score FROM (
+      SELECT doc_id, term AS phrase, h AS prod, h AS total FROM {n}l UNION ALL SELECT doc_id, term || ' ' || term2, h * h2, h + h2 FROM {n}l WHERE near) GROUP BY ALL),
+    {n}o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score, phrase) AS r FROM {n}c),
+    {n}g AS (
+      SELECT doc_id, 0::BIGINT AS r, []::VARCHAR[] AS kept, NULL::VARCHAR AS phrase, NULL::DOUBLE AS score, 0::BIGINT AS k FROM {n}o WHERE r = 1
+      UNION ALL
+      SELECT doc_id, r, CASE WHEN ok THEN list_append(kept, phrase) ELSE kept END, CASE WHEN ok THEN phrase END, CASE WHEN ok THEN score END, CASE WHEN ok THEN k + 1 ELSE k END FROM (
+        SELECT g.doc_id, o.r, kept, o.phrase, o.score, k, len(list_filter(kept, lambda a: 1 - levenshtein({plain.format('a')}, {plain.format('o.phrase')}) / greatest(length(a), length(o.phrase)) > {dedup})) = 0 AS ok
+        FROM {n}g g JOIN {n}o o ON o.doc_id = g.doc_id AND o.r = g.r + 1 WHERE k < {top})),
+    {n} AS (SELECT doc_id, k - 1 AS pos, phrase, score FROM {n}g WHERE phrase IS NOT NULL)"""
+
+
+def hashed(key: str, source: str) -> str:
+    """(key, v): the default encoder's sums of (key, text) rows, before they are scaled to unit length."""
+    return f"""(SELECT {key}, list_transform(range(0, 64), lambda b: CAST(len(list_filter(c, lambda x: x = b)) - len(list_filter(c, lambda x: x = b + 64)) AS DOUBLE)) AS v FROM (
+      SELECT {key}, list_transform({words('text')}, lambda t: CAST('0x' || substring(md5(t), 1, 2) AS INT) % 128) AS c FROM ({source})))"""
+
+
+def hash_cosine(a: str, b: str) -> str:
+    dot = "list_dot_product({0}, {1})"
+    return f"round(coalesce({dot.format(a, b)} / nullif(sqrt({dot.format(a, a)} * {dot.format(b, b)}), 0), 0), 12)"
+
+
+def title(x):
+    """Title case of every run of letters."""
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '\\p{{L}}+|\\P{{L}}+'), lambda r: CASE WHEN substring(r, 1, 1) = 'ß' THEN 'Ss' ELSE upper(substring(r, 1, 1)) END || lower(substring(r, 2))), '')"
+
+
+def content_ctes(source: str, n: int, name: str = "ck") -> str:
+    """The first n acceptable phrases of keyphrases, frequent words and pairs, and repeated words as `name` (doc_id, pos, tag)."""
+    return keyphrase_ctes(source, 3 * n, f"{name}kp") + f""",
+    {name}w AS (SELECT doc_id, list_filter({words('text')}, lambda t: length(t) > 1 AND t NOT IN {STOP}) AS w, {words('text')} AS every FROM (
+      SELECT doc_id, regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g') AS text FROM ({source}))),
+    {name}p AS (SELECT doc_id, unnest(w) AS phrase FROM {name}w UNION ALL
+      SELECT doc_id, a || ' ' || b FROM (SELECT doc_id, unnest(w) AS a, unnest(w[2:]) AS b FROM {name}w) WHERE b IS NOT NULL),
+    {name}a AS (SELECT doc_id, 1 AS stage, pos, phrase FROM {name}kp
+      UNION ALL SELECT doc_id, 3, r - 1, phrase FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, phrase) AS r FROM (SELECT doc_id, phrase, count(*) AS tf FROM {name}p GROUP BY ALL)) WHERE r <= 50
+      UNION ALL SELECT doc_id, 4, r - 1, phrase FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, phrase) AS r FROM (
+        SELECT doc_id, phrase, count(*) AS tf FROM (SELECT doc_id, unnest(every) AS phrase FROM {name}w) WHERE regexp_full_match(phrase, '[a-z]{{5,}}') AND phrase NOT IN {STOP} GROUP BY ALL)) WHERE r <= 30 AND tf >= 2),
+    {name}b AS (SELECT doc_id, lower(trim(phrase)) AS key, min((stage, pos, phrase)) AS b FROM {name}a WHERE length(trim(phrase)) >= 4 AND NOT regexp_matches(trim(phrase), '^[0-9]') GROUP BY ALL),
+    {name} AS (SELECT doc_id, place - 1 AS pos, {title('b[3]')} AS tag FROM (
+      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b[1], b[2]) AS place FROM {name}b) WHERE place <= {n})"""
+
+
+LABELS = f"SELECT name AS label FROM cats UNION SELECT unnest({str_list(K.FIXED_LABELS)})"
+
+
+def tags_ctes(source: str, n: int = 10, keep: int = 8, name: str = "dt", labels: str = LABELS) -> str:
+    """Tags at ingest as `name` (doc_id, tags): content keywords that are no taxonomy label, joined."""
+    return content_ctes(source, n, f"{name}ck") + f""",
+    {name} AS (SELECT doc_id, string_agg(tag, '|' ORDER BY place) AS tags FROM (
+      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place FROM {name}ck WHERE lower(tag) NOT IN (SELECT lower(label) FROM ({labels}))) WHERE place <= {keep} GROUP BY 1)"""
+
+
 def chunk_ctes(pages: str) -> str:
     """Sentence chunks of (doc_id, page, text) rows by stepping through the sentences."""
     return f"""

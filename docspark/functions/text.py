@@ -243,11 +243,13 @@ def is_tabular(lines) -> Column:
 
 
 def title_case(c) -> Column:
-    """Capital after every non-letter, lower case elsewhere."""
+    """Capital after every non-letter, lower case elsewhere; a leading ß becomes Ss."""
     runs = F.regexp_extract_all(col(c), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
-    return F.array_join(
-        F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 30)))), ""
-    )
+
+    def first(r):
+        return F.when(F.substring(r, 1, 1) == "ß", "Ss").otherwise(F.upper(F.substring(r, 1, 1)))
+
+    return F.array_join(F.transform(runs, lambda r: F.concat(first(r), F.lower(F.substring(r, 2, 1 << 30)))), "")
 
 
 def file_extension(c) -> Column:

@@ -1,8 +1,9 @@
 """Keyword extraction: statistical keyphrases, semantic candidates, term counts, tags.
 
-Documents are partitioned by id once; every later grouping and window is by document, so
-it reuses that partitioning and no token crosses the network. A group is one document,
-which the intake limit bounds.
+Words are counted inside a document's row. Keyphrases, whose features need more, partition
+the documents by id once; every later grouping and window is by document, so it reuses that
+partitioning and no token crosses the network. A group is one document, which the intake
+limit bounds.
 """
 from __future__ import annotations
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.hooks import Encoder
 from ..functions.text import SPACE, head, let, mentions_syllabus, strip_tags, title_case, words
+from ..session import materialize
+from .lexical import row_counts
 from .vectors import cosine
 
 SEMANTIC_FLOOR = 0.45
@@ -23,8 +26,7 @@ FREQUENT_WORDS = 30
 
 
 def _body(docs: DataFrame, head_chars: int | None) -> DataFrame:
-    text = head(strip_tags(F.coalesce("text", F.lit(""))), head_chars)
-    return docs.select("doc_id", text.alias("text")).repartition("doc_id")
+    return _plain_text(docs, head_chars).repartition("doc_id")
 
 
 def _is_stop(c: Column, stopwords: Iterable[str]) -> Column:
@@ -109,7 +111,7 @@ def semantic_candidates(docs: DataFrame, encoder: Encoder, floor: float = SEMANT
                         stopwords: Iterable[str] = K.STOPWORDS, max_candidates: int | None = None,
                         head_chars: int | None = None, doc_chars: int | None = None) -> DataFrame:
     """K3: (doc_id, pos, phrase, score), words and word pairs near the document's vector."""
-    body = _body(docs, head_chars)
+    body = _plain_text(docs, head_chars)
     tokens = F.filter(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)),
                       lambda w: w.rlike("^[A-Za-z][a-z]{3,}$"))
     body = body.withColumn("w", tokens)
@@ -125,44 +127,43 @@ def semantic_candidates(docs: DataFrame, encoder: Encoder, floor: float = SEMANT
         cands = F.slice(cands, 1, max_candidates)
     body = body.withColumn("v", encoder(head("text", doc_chars)))
     cand = body.select("doc_id", "v", F.posexplode(cands).alias("no", "phrase"))
-    scored = cand.select("doc_id", "no", "phrase", cosine(F.col("v"), encoder(F.col("phrase"))).alias("score"))
+    # rounded, so that the order of summation cannot swap equal candidates
+    scored = cand.select("doc_id", "no", "phrase", F.round(cosine(F.col("v"), encoder(F.col("phrase"))), 12).alias("score"))
     w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "no")
     return scored.filter(F.col("score") > floor).select(
         "doc_id", (F.row_number().over(w) - 1).alias("pos"), "phrase", "score")
 
 
+def _most_frequent(tokens: Column, top: int) -> Column:
+    """array<struct<phrase, tf>> of the `top` most frequent tokens, ties by token; counted inside the row."""
+    counted = F.transform(row_counts(tokens), lambda e: F.struct((-e["tf"]).alias("k"), e["term"].alias("phrase")))
+    return F.transform(F.slice(F.array_sort(counted), 1, top), lambda e: F.struct(e["phrase"].alias("phrase"), (-e["k"]).alias("tf")))
+
+
+def _plain_text(docs: DataFrame, head_chars: int | None) -> DataFrame:
+    return docs.select("doc_id", head(strip_tags(F.coalesce("text", F.lit(""))), head_chars).alias("text"))
+
+
 def tf_terms(docs: DataFrame, top: int = TF_TERMS, stopwords: Iterable[str] = K.STOPWORDS,
              head_chars: int | None = None) -> DataFrame:
     """K4: (doc_id, pos, phrase, tf, weight), the most frequent words and word pairs left
-    after stop words are removed; weight is 1 + ln(tf)."""
+    after stop words are removed; weight is 1 + ln(tf). No row leaves its task."""
     stop = sorted(set(stopwords))
-    body = _body(docs, head_chars).select(
+    body = _plain_text(docs, head_chars).select(
         "doc_id", F.filter(words("text"), lambda t: (F.length(t) > 1) & ~t.isin(stop)).alias("w"))
     pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")),
                        lambda a, b: F.concat_ws(" ", a, b))
-    counts = (
-        body.select("doc_id", F.explode(F.concat("w", pairs)).alias("phrase"))
-        .groupBy("doc_id", "phrase").agg(F.count("*").alias("tf"))
-    )
-    w = Window.partitionBy("doc_id").orderBy(F.col("tf").desc(), "phrase")
-    return (
-        counts.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
-        .select("doc_id", (F.col("place") - 1).alias("pos"), "phrase", "tf", (1 + F.log("tf")).alias("weight"))
-    )
+    best = body.select("doc_id", F.posexplode(_most_frequent(F.concat("w", pairs), top)).alias("pos", "e"))
+    return best.select("doc_id", "pos", "e.phrase", "e.tf", (1 + F.log("e.tf")).alias("weight"))
 
 
 def frequent_words(docs: DataFrame, top: int = FREQUENT_WORDS, min_count: int = 2,
                    stopwords: Iterable[str] = K.STOPWORDS, head_chars: int | None = None) -> DataFrame:
-    """K5: (doc_id, pos, phrase, tf), plain words of five letters or more, used repeatedly."""
-    body = _body(docs, head_chars).select("doc_id", F.explode(words("text")).alias("phrase"))
-    plain = body.filter(F.col("phrase").rlike("^[a-z]{5,}$") & ~_is_stop(F.col("phrase"), stopwords))
-    counts = plain.groupBy("doc_id", "phrase").agg(F.count("*").alias("tf"))
-    w = Window.partitionBy("doc_id").orderBy(F.col("tf").desc(), "phrase")
-    return (
-        counts.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
-        .filter(F.col("tf") >= min_count)
-        .select("doc_id", (F.col("place") - 1).alias("pos"), "phrase", "tf")
-    )
+    """K5: (doc_id, pos, phrase, tf), plain words of five letters or more, used repeatedly. No row leaves its task."""
+    stop = sorted(set(stopwords))
+    plain = F.filter(words("text"), lambda t: t.rlike("^[a-z]{5,}$") & ~t.isin(stop))
+    best = _plain_text(docs, head_chars).select("doc_id", F.posexplode(_most_frequent(plain, top)).alias("pos", "e"))
+    return best.select("doc_id", "pos", "e.phrase", "e.tf").filter(F.col("tf") >= min_count)
 
 
 def content_keywords(docs: DataFrame, n: int, encoder: Encoder | None = None,
@@ -170,18 +171,19 @@ def content_keywords(docs: DataFrame, n: int, encoder: Encoder | None = None,
     """K6: (doc_id, pos, tag), the first n acceptable phrases of the stages K2 to K5.
 
     A later stage only fills what the earlier ones leave open, so the first n of all stages
-    in order are the same as running them one after the other. The semantic stage, whose
-    model calls cost most, sees only documents still short of n.
+    in order are the same as running them one after the other. The keyphrases are written; only
+    the texts of documents that they leave short of n are written too and go through the other
+    stages.
     """
-    first = _acceptable(keyphrases(docs, 3 * n, stopwords=stopwords, head_chars=head_chars), 1)
+    first = materialize(_acceptable(keyphrases(docs, 3 * n, stopwords=stopwords, head_chars=head_chars), 1))
+    done = first.select("doc_id", "key").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") >= n)
+    short = materialize(docs.select("doc_id", "text").join(done, "doc_id", "left_anti"))
     stages = [first]
     if encoder is not None:
-        done = first.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") >= n)
-        short = docs.join(done, "doc_id", "left_anti")
         stages.append(_acceptable(
             semantic_candidates(short, encoder, stopwords=stopwords, head_chars=head_chars), 2))
-    stages.append(_acceptable(tf_terms(docs, stopwords=stopwords, head_chars=head_chars), 3))
-    stages.append(_acceptable(frequent_words(docs, stopwords=stopwords, head_chars=head_chars), 4))
+    stages.append(_acceptable(tf_terms(short, stopwords=stopwords, head_chars=head_chars), 3))
+    stages.append(_acceptable(frequent_words(short, stopwords=stopwords, head_chars=head_chars), 4))
     best = (
         reduce(DataFrame.unionByName, stages)
         .groupBy("doc_id", "key")
