@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.session import discard, materialize
@@ -92,11 +92,11 @@ def fragment_keys(values: np.ndarray, c: int, t: float) -> np.ndarray:
     return mix(sums[keep] + mix(which + np.uint64((c + 1) << 24))) & ~np.uint64(63) | np.uint64(c)
 
 
-_SETS = [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64()))]
+_SETS = [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())]
 
 
-def signatures(docs: DataFrame, n: int, t: float) -> DataFrame:
-    """Per document: the size of its set, 128 bits of its content, and its fragment keys."""
+def signatures(docs: DataFrame, n: int) -> DataFrame:
+    """Per document: the size of its set and 128 bits of its content."""
     def run(batches):
         for batch in batches:
             for i, j, data, offsets in chunks(text_column(batch)):
@@ -106,17 +106,53 @@ def signatures(docs: DataFrame, n: int, t: float) -> DataFrame:
                 zero = np.zeros(1, np.uint64)
                 total = [np.concatenate([zero, np.cumsum(mix(values ^ np.uint64(k)))]) for k in (0x1234567, 0x89ABCDEF01)]
                 s1, s2 = (np.ascontiguousarray(x[cuts[1:]] - x[cuts[:-1]]).view(np.int64) for x in total)
-                keys = []
+                yield record(_SETS, [batch.column(0).slice(i, j - i), pa.array(size), pa.array(s1), pa.array(s2)])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+
+
+HELD = 1 << 21  # fragment keys held at once by a task
+_KEYS = [("node", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("a", pa.int64()), ("behind", pa.int64())]
+
+
+def fragment_rows(texts: DataFrame, n: int, t: float) -> DataFrame:
+    """(node, n, key, a, behind) for the fragment keys of each text (node, text).
+
+    Keys that meet in one stretch of a task's rows are settled there: the smallest node of the
+    stretch is `a` for all, and only its row, with the number `behind` it, has to be moved to
+    meet the rest. So a key that a third of all documents hold is one row a stretch.
+    """
+    def settle(held):
+        node, size, key = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((node, key))
+        node, size, key = node[order], size[order], key[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        many = np.diff(np.r_[starts, len(key)])
+        behind = np.zeros(len(key), np.int64)
+        behind[starts] = many - 1
+        return record(_KEYS, [node, size, key.view(np.int64), np.repeat(node[starts], many), behind])
+
+    def run(batches):
+        held, count = [], 0
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            for i, j, data, offsets in chunks(batch.column(1)):
+                rows, values = shingles(data, offsets, n)
+                cuts = np.searchsorted(rows, np.arange(j - i + 1))
+                size = np.diff(cuts)
                 own, lower = _classes(size, t), _classes(np.ceil(size * t - 1e-9), t)
-                for r in range(j - i):
+                for r in np.flatnonzero(size):
                     v = values[cuts[r]:cuts[r + 1]]
-                    keys.append(np.concatenate([fragment_keys(v, c, t) for c in range(lower[r], own[r] + 1)]) if len(v) else np.zeros(0, np.uint64))
-                at = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-                flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
-                yield record(_SETS, [batch.column(0).slice(i, j - i), pa.array(size), pa.array(s1), pa.array(s2), lists])
+                    keys = np.concatenate([fragment_keys(v, c, t) for c in range(lower[r], own[r] + 1)])
+                    held.append((np.full(len(keys), nodes[i + r]), np.full(len(keys), size[r]), keys))
+                    count += len(keys)
+                    if count >= HELD:
+                        yield settle(held)
+                        held, count = [], 0
+        if held:
+            yield settle(held)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, key long, a long, behind long")
 
 
 _GRAMS = [("node", pa.int64()), ("grams", pa.list_(pa.int64()))]
@@ -242,6 +278,15 @@ def _met(keyed: DataFrame) -> DataFrame:
     return keyed.select("node", "n", "key").join(first, "key").select("node", "n", "key", "a")
 
 
+def first_met(keyed: DataFrame) -> DataFrame:
+    """The same for fragment_rows as written: only the heads of stretches move, and once. Those behind
+    a head keep it as their `a`."""
+    key = Window.partitionBy("key")
+    heads = keyed.where("node = a").withColumns({"lo": F.min("node").over(key), "hi": F.max("node").over(key)})
+    heads = heads.where("lo <> hi OR behind > 0").select("node", "n", "key", F.col("lo").alias("a"))
+    return heads.union(keyed.where("node <> a").select("node", "n", "key", "a"))
+
+
 def _enough(rows: DataFrame, t: float) -> DataFrame:
     """Rows (node, n, key) of nodes with as many shared keys in a size class as any link of theirs needs.
 
@@ -270,21 +315,21 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[D
     table gives empty results.
     """
     t = percent / 100
-    sets = materialize(signatures(docs, n, t))
+    sets = materialize(signatures(docs, n))
     reps = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
     reps = materialize(reps)
-    mine = sets.select("doc_id", "n", "keys").join(reps.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keyed = mine.select(F.col("doc_id").alias("node"), "n", F.explode("keys").alias("key")).repartition("key")  # read twice, moved once
-    stars = materialize(_met(keyed))
+    own = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node IS NOT NULL")
+    heads = own.join(reps.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    keyed = materialize(fragment_rows(heads, n, t))
+    stars = materialize(first_met(keyed))
+    discard(keyed)
     for _ in range(2):
         before, stars = stars, materialize(_met(_enough(stars, t)))
         discard(before)
-    sizes = materialize(sets.drop("keys"))
-    discard(sets)
     near = stars.where("node <> a").groupBy("node", "a").agg(F.count("*").alias("k")).groupBy(F.col("node").alias("b")).agg(
         F.max_by("a", F.struct("k", -F.col("a"))).alias("a")).select("a", "b")
     touched = stars.select("node").distinct()
-    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(touched, "node", "left_semi").dropDuplicates(["node"]))
+    texts = materialize(own.join(touched, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
     links = materialize(verify(near, texts, n, percent))
     parts = materialize(components(links))
     known = materialize(stars.join(parts, "node", "left").select("node", "n", "key", F.coalesce("component", "node").alias("component")))
@@ -296,6 +341,6 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[D
             links = materialize(links.union(more))
             parts = materialize(components(links))
     classes = reps.join(parts, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component"))
-    ok = sizes.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    bare = sizes.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    ok = sets.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    bare = sets.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return ok.union(bare), links
