@@ -111,7 +111,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
 
 
-HELD = 1 << 21  # fragment keys held at once by a task
+HELD = 1 << 18  # fragment keys held at once by a task
 _KEYS = [("node", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("a", pa.int64()), ("behind", pa.int64())]
 
 
