@@ -79,10 +79,10 @@ def categories(spark, d) -> DataFrame:
 
 
 def queries(spark, d) -> DataFrame:
-    """Benchmark texts with the vector of the same number."""
+    """Benchmark texts with the vector of the same number, if there is one."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return b.join(e, "query_id")
+    return b.join(e, "query_id", "left")
 
 
 def vectors(spark, d) -> DataFrame:

@@ -470,10 +470,8 @@ def t4(spark, d):
 
 @query("t3_newest_first", S.build("SELECT doc_id, CAST(row_number() OVER (ORDER BY upload_date DESC, doc_id) AS BIGINT) AS place, status FROM base", "base"))
 def t3(spark, d):
-    docs = C.newest_first(I.catalog(spark, d, tags=False).select("doc_id", "status", "upload_date"))
-    # The place is that of the row in the sorted output.
-    placed = materialize(docs.withColumn("o", F.monotonically_increasing_id()))
-    return placed.select("doc_id", F.row_number().over(Window.orderBy("o")).cast("bigint").alias("place"), "status")
+    docs = I.catalog(spark, d, tags=False).select("doc_id", "status", "upload_date")
+    return C.newest_places(docs).select("doc_id", big("place"), "status")
 
 
 # --- Scalar functions ---------------------------------------------------------
@@ -494,6 +492,14 @@ def f1(spark, d):
     return I.documents(spark, d).select("doc_id", T.normalize_text(src, hooks.nfkc()).alias("value"))
 
 
+@query("m6_nfkc", f"SELECT doc_id, {S.strip(_F1)} AS value FROM (SELECT doc_id, regexp_replace(text || ' 1 ffi', '-\\n([a-z])', '\\1', 'g') AS x FROM documents)")
+def m6(spark, d):
+    """Full-width letters, a ligature and a circled digit in every text that has them or not."""
+    wide = F.translate("text", "aeT", "\uff41\uff45\uff34")
+    src = F.concat(F.when(F.col("doc_id") % 2 == 0, wide).otherwise(F.col("text")), F.lit(" \u2460 \ufb03"))
+    return I.documents(spark, d).select("doc_id", T.normalize_text(src, hooks.nfkc()).alias("value"))
+
+
 @query("f2_strip_tags", "SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS value FROM pages")
 def f2(spark, d):
     return I.table(spark, d, "pages").select("page_id", T.strip_tags("html").alias("value"))
@@ -557,6 +563,13 @@ def t5(spark, d):
     return I.documents(spark, d).select("doc_id", F.posexplode(T.key_insights(signal, 4)).alias("place", "sentence")).select("doc_id", big("place"), "sentence")
 
 
+@query("f7_document_insights", SQL["f7_key_insights"].replace("SELECT doc_id, place,", "SELECT doc_id, 'extracted' AS source, place,").replace(
+    "WHERE place < 5", "WHERE place < 5 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 OR toxic = 1)"))
+def f7b(spark, d):
+    r = C.document_insights(I.catalog(spark, d, tags=False), I.documents(spark, d).select("doc_id", "text"))
+    return r.select("doc_id", "source", F.posexplode("insights").alias("place", "sentence")).select("doc_id", "source", big("place"), "sentence")
+
+
 _F8 = f"list_filter({S.sentences(S.collapse('x'), 30)}, lambda s: regexp_matches(s, '(?i){K.FINDING_SIGNAL}'))"
 
 
@@ -1188,6 +1201,26 @@ def x1(spark, d):
     return t["catalog"].join(n, "doc_id", "left").select("doc_id", "status", big("page_count"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
 
 
+@query("x1_failing_hook", """
+    SELECT doc_id, CASE WHEN bad THEN 'failed' ELSE 'completed' END AS status, CASE WHEN bad THEN 'ValueError: cannot encode' ELSE '' END AS error_message FROM (
+      SELECT doc_id, text, doc_id % 7 = 3 AS bad FROM documents) WHERE length(text) >= 60 AND regexp_matches(text, '[.!?]')""")
+def x1b(spark, d):
+    """An encoder that raises on some texts: their documents fail, with its message, and are in no other table."""
+    def vector(text):
+        if "☃" in text:
+            raise ValueError("cannot encode")
+        return [1.0, float(len(text))]
+
+    docs = I.documents(spark, d).where((F.length("text") >= 60) & F.col("text").rlike("[.!?]")).select(
+        "doc_id", I.filename().alias("filename"), F.octet_length("text").cast("bigint").alias("file_size_bytes"), F.timestamp_seconds(F.col("doc_id")).alias("upload_date"),
+        F.when(F.col("doc_id") % 7 == 3, F.concat("text", F.lit(" ☃ here, ☃ there and ☃ once more in one of the last sentences, ☃."))).otherwise(F.col("text")).alias("text"))
+    t = PI.ingest(docs, I.dimensions(spark), I.categories(spark, d), PI.IngestOptions(encoder=hooks.guarded(vector, "array<double>")))
+    gone = t["catalog"].where("status = 'failed'").select("doc_id")
+    left = [t[n].join(gone, "doc_id", "left_semi").select("doc_id") for n in ("doc_text", "pages", "chunks", "vectors", "postings")]
+    none = left[0].union(left[1]).union(left[2]).union(left[3]).union(left[4]).select("doc_id", F.lit("still there").alias("status"), F.lit("").alias("error_message"))
+    return t["catalog"].select("doc_id", "status", F.coalesce("error_message", F.lit("")).alias("error_message")).union(none)
+
+
 _LASTP = S.build("SELECT doc_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, step, pct FROM lastp", "lastp")
 
 
@@ -1195,6 +1228,13 @@ def _ts(c="ts"):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts")
 
 
+@query("x2_step_percent", """
+    SELECT event_id, CASE event_id % 6 WHEN 0 THEN 5 + CAST(floor((event_id % 40) / greatest(event_id % 41, 1) * 60) AS INT) WHEN 1 THEN 65 WHEN 2 THEN 70 WHEN 3 THEN 76 WHEN 4 THEN 93 ELSE 0 END AS pct FROM events""")
+def x2c(spark, d):
+    step = F.element_at(F.array(*[F.lit(x) for x in ("parsing", "ai_tagging", "chunking", "embedding", "saving", "queued")]), (F.col("event_id") % 6 + 1).cast("int"))
+    return I.table(spark, d, "events").select("event_id", SP.step_percent(step, F.col("event_id") % 40, F.col("event_id") % 41).alias("pct"))
+
+
 @query("x2_latest_progress", _LASTP)
 def x2(spark, d):
     return SP.latest_progress(I.progress(spark, d)).select("doc_id", _ts(), "step", "pct")
@@ -1221,13 +1261,24 @@ def x3(spark, d):
     return SP.silent_documents(p, p.agg(F.max("ts")).scalar()).select("doc_id", "status")
 
 
-@query("x3_track_progress_stream", S.build("SELECT doc_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, step, pct FROM lastp", "lastp"))
+@query("x3_track_progress_stream", """
+    WITH m AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events),
+    l AS (SELECT doc_id, ts, step, pct FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, step DESC, pct DESC) AS r FROM (
+      SELECT user_id AS doc_id, ts, CASE WHEN event_id % 9 = 0 THEN 'completed' ELSE event_type END AS step, CAST(floor(value) AS INT) AS pct FROM events, m
+      WHERE user_id % 3 <> 0 OR ts <= lo + (hi - lo) / 2)) WHERE r = 1)
+    SELECT doc_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, step, pct, CASE WHEN step IN ('completed', 'failed') THEN step
+      WHEN ts + INTERVAL 4 HOUR < (SELECT max(ts) FROM l) THEN 'failed' ELSE 'processing' END AS status FROM l""")
 def x3b(spark, d):
+    """A third of the documents falls silent half-way; every ninth record says that its document is done."""
+    lo, hi = I.table(spark, d, "events").agg(F.min("ts"), F.max("ts")).first()
+    src = _stream(spark, d, "events").where((F.col("user_id") % 3 != 0) | (F.col("ts") <= F.lit(lo + (hi - lo) / 2))).select(
+        F.col("user_id").alias("doc_id"), "ts", F.when(F.col("event_id") % 9 == 0, "completed").otherwise(F.col("event_type")).alias("step"),
+        F.floor("value").cast("int").alias("pct"))
     out, cp = shared_dir(spark), shared_dir(spark)
-    _run(lambda: SP.write_latest(SP.track_progress(_progress_stream(spark, d)), out, cp, mode="update", trigger={"availableNow": True}))
+    _run(lambda: SP.write_latest(SP.track_progress(src), out, cp, mode="update", trigger={"availableNow": True}))
     seen = spark.read.parquet(out)
-    last = seen.groupBy("doc_id").agg(F.max_by(F.struct("ts", "step", "pct"), F.struct("ts", "batch")).alias("r"))
-    return last.select("doc_id", _ts("r.ts"), F.col("r.step").alias("step"), F.col("r.pct").alias("pct"))
+    last = seen.groupBy("doc_id").agg(F.max_by(F.struct("ts", "step", "pct", "status"), F.struct("ts", "batch")).alias("r"))
+    return last.select("doc_id", _ts("r.ts"), F.col("r.step").alias("step"), F.col("r.pct").alias("pct"), F.col("r.status").alias("status"))
 
 
 def _live(spark, rounds):

@@ -127,7 +127,7 @@ CTE: dict[str, tuple[list[str], str]] = {
     "vecs": ([], """
         SELECT vec_id AS chunk_id, (vec_id // 3) * 7 AS doc_id, vec_id % 3 + 1 AS page, embedding, label,
           CASE WHEN label = 0 THEN 'v0' WHEN label > 1 THEN 'v1' END AS model_version FROM embeddings"""),
-    "qs": ([], "SELECT item_id AS query_id, b.text, e.embedding FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id"),
+    "qs": ([], "SELECT item_id AS query_id, b.text, e.embedding FROM benchmark b LEFT JOIN embeddings e ON b.item_id = e.vec_id"),
     "qraw": (["qs"], f"SELECT query_id, list_filter({words('text')}, lambda t: length(t) > 1) AS raw FROM qs"),
     "qterms": (["qraw"], f"""
         SELECT query_id, CASE WHEN len(list_filter(raw, lambda t: t NOT IN {STOP})) > 0
@@ -146,7 +146,7 @@ CTE: dict[str, tuple[list[str], str]] = {
     "kw": (["bm"], f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id) AS kw_rank FROM bm) "
                    f"WHERE kw_rank <= {K.KEYWORD_TOP}"),
     "sim": (["qs", "vecs"], f"""
-        SELECT query_id, chunk_id, doc_id, round({cosine('qs.embedding', 'vecs.embedding')}, 12) AS s FROM qs, vecs"""),
+        SELECT query_id, chunk_id, doc_id, round({cosine('qs.embedding', 'vecs.embedding')}, 12) AS s FROM qs, vecs WHERE qs.embedding IS NOT NULL"""),
     "sem": (["sim"], f"""
         SELECT query_id, chunk_id, doc_id, sem_rank, round(greatest(0.0, s), 4) AS similarity FROM (
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS sem_rank FROM sim) WHERE sem_rank <= {K.SEMANTIC_TOP}"""),

@@ -51,6 +51,39 @@ def _sum_codes() -> Encoder:
     return sums
 
 
+def guarded(fn: Callable, kind: T.DataType | str) -> Encoder:
+    """A hook from a function of one value that may raise: it gives (value, error), so that one text that a
+    model cannot take fails its own document and not the batch. Nulls are passed over."""
+    kind = T._parse_datatype_string(kind) if isinstance(kind, str) else kind
+    out = T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType())])
+
+    @F.pandas_udf(out)
+    def run(s: pd.Series) -> pd.DataFrame:
+        values, errors = [], []
+        for x in s:
+            value = error = None
+            try:
+                value = None if x is None else fn(x)
+            except Exception as e:  # whatever a model raises becomes the document's message
+                error = f"{type(e).__name__}: {e}"
+            values.append(value)
+            errors.append(error)
+        return pd.DataFrame({"value": pd.Series(values, dtype=object), "error": pd.Series(errors, dtype=object)})
+
+    def hook(c):
+        return run(c)
+
+    hook.guarded = True
+    return hook
+
+
+def outcome(hook: Encoder, c) -> Column:
+    """struct<value, error> of any hook; one that is not guarded has no errors."""
+    if getattr(hook, "guarded", False):
+        return hook(c)
+    return F.struct(hook(c).alias("value"), F.lit(None).cast("string").alias("error"))
+
+
 def overlap_scorer(query, text) -> Column:
     """M2: share of the query's distinct words found in the text."""
     return let(F.array_distinct(words(query)), lambda q: F.when(

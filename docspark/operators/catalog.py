@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.tags import categorise_tags, doc_type_of
 from ..functions.text import collapse, ellipsis, is_blank, key_insights, title_case
+from ..session import materialize
 
 
 def newest_first(docs: DataFrame) -> DataFrame:
@@ -16,6 +17,19 @@ def newest_first(docs: DataFrame) -> DataFrame:
     return docs.orderBy(F.col("upload_date").desc(), "doc_id")
 
 
+def newest_places(docs: DataFrame) -> DataFrame:
+    """T3 with `place`, from 1. Rows are sorted in ranges; a row's place is its number in its task after
+    the rows of the tasks before it, so no task sees more than its range."""
+    placed = materialize(newest_first(docs).withColumn("_at", F.monotonically_increasing_id()))
+    task = F.shiftright("_at", 33)
+    sizes = placed.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))  # a row a task
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = materialize(sizes.select("_task", before.alias("_before")))
+    numbered = placed.withColumn("_task", task).join(starts, "_task")
+    place = F.col("_at") - F.shiftleft("_task", 33) + F.col("_before") + 1
+    return numbered.withColumn("place", place).drop("_at", "_task", "_before")
+
+
 def list_documents(docs: DataFrame, doc_type: str | None = None, tag: str | None = None,
                    dimension: str | None = None, value: str | None = None) -> DataFrame:
     """The listing, newest first. Empty filters are off; a dimension needs its value. A stored

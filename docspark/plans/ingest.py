@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.hooks import Encoder, hash_encoder, summarize
+from ..functions.hooks import Encoder, hash_encoder, outcome, summarize
 from ..functions.tags import doc_type
 from ..functions.text import empty_entities, head, key_findings, normalize_text
 from ..operators.chunking import cap_chunks, chunk_pages, number_chunks
@@ -41,9 +41,10 @@ class IngestOptions:
 
 def classify_text(docs: DataFrame, dims: DataFrame, cats: DataFrame, encoder: Encoder,
                   head_chars: int | None = None) -> DataFrame:
-    """C1 with the text and the label names encoded by the same hook."""
-    doc_vecs = docs.select("doc_id", encoder(head("text", head_chars)).alias("embedding"))
-    labels = cats.select("dimension_id", F.col("name").alias("label"), encoder(F.col("name")).alias("embedding"))
+    """C1 with the text and the label names encoded by the same hook. A text that a guarded hook fails
+    on has no classes; a label name that it fails on is no label."""
+    doc_vecs = docs.select("doc_id", outcome(encoder, head("text", head_chars))["value"].alias("embedding"))
+    labels = cats.select("dimension_id", F.col("name").alias("label"), outcome(encoder, F.col("name"))["value"].alias("embedding"))
     return classify(doc_vecs, dims, labels)
 
 
@@ -67,7 +68,7 @@ def ingest(files: DataFrame, dims: DataFrame, cats: DataFrame, options: IngestOp
 
     A document without text becomes a failed catalog row and appears in no other table; it
     does not disturb the others. So does one with a `reason` (an optional column), which then
-    is its message.
+    is its message, and one whose chunks a guarded encoder (functions.hooks.guarded) fails on.
     """
     o = options or IngestOptions()
     reason = F.col("reason") if "reason" in files.columns else F.lit(None).cast("string")
@@ -79,6 +80,15 @@ def ingest(files: DataFrame, dims: DataFrame, cats: DataFrame, options: IngestOp
     body = whole.join(files.select("doc_id", "filename"), "doc_id").select(
         "doc_id", "filename", F.col("sample" if o.sample_pages else "text").alias("text"))
     meta = materialize(document_metadata(body, dims, cats, o))
+    chunks = chunk_pages(pages)
+    if o.max_chunks is not None:
+        chunks = cap_chunks(chunks, o.max_chunks)
+    tried = chunks.withColumn("_r", outcome(o.encoder, F.col("text")))
+    if getattr(o.encoder, "guarded", False):
+        tried = materialize(tried)
+        errors = materialize(tried.groupBy("doc_id").agg(F.min("_r.error").alias("_error")).where("_error IS NOT NULL"))
+        pages, meta, whole, tried = (df.join(errors, "doc_id", "left_anti") for df in (pages, meta, whole, tried))
+        files = files.join(errors, "doc_id", "left").withColumn("reason", F.coalesce("reason", "_error")).drop("_error")
     failed = F.col("page_count").isNull()
     catalog = (
         files.select("doc_id", "filename", "file_size_bytes", "upload_date", "reason")
@@ -96,10 +106,8 @@ def ingest(files: DataFrame, dims: DataFrame, cats: DataFrame, options: IngestOp
         whole.select("doc_id", "text").join(files.select("doc_id", "filename"), "doc_id")
         .join(meta.select("doc_id", F.array_join("tags", " ").alias("tags"), "summary"), "doc_id")
     )
-    chunks = chunk_pages(pages)
-    if o.max_chunks is not None:
-        chunks = cap_chunks(chunks, o.max_chunks)
-    encoded = materialize(number_chunks(finite_vectors(chunks.withColumn("embedding", o.encoder(F.col("text")))), None))
+    tried = tried.withColumn("embedding", F.col("_r.value")).drop("_r")
+    encoded = materialize(number_chunks(finite_vectors(tried), None))
     return {
         "catalog": catalog,
         "doc_text": doc_text,
