@@ -1,9 +1,10 @@
 """Streaming ingest: new documents to corpus tables, one idempotent folder a batch.
 
-Every micro-batch writes its tables to `<table>/batch=<id>` with overwrite, so a batch
-that is run again after a failure replaces its own output and nothing else. A document
-delivered again gets rows in a later batch; readers take the latest batch of each
-document, by the catalog. No table is rewritten as the corpus grows.
+Every micro-batch writes its tables to folders of its own, which become valid all at once when
+the manifest is switched; a batch that is run again before that replaces its own output and
+nothing else. A document delivered again gets rows in a later batch; readers take the latest
+batch of each document, by the catalog. `compact` folds the current rows of many batches into
+one, so that neither the history nor the number of folders grows with time.
 """
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.text import file_extension
 from ..plans.ingest import IngestOptions, ingest
 from ..sources.files import decode_text
+from ..sources.snapshots import Snapshots
 from ..functions import constants as K
 
 TABLES = ("catalog", "doc_text", "pages", "chunks", "vectors", "postings")
@@ -59,13 +61,39 @@ def drop_redelivered(stream: DataFrame, delay: str = "2 hours") -> DataFrame:
 
 def ingest_batch(files: DataFrame, batch_id: int, out: str, dims: DataFrame, cats: DataFrame,
                  options: IngestOptions | None = None) -> None:
+    """Adds one batch to the tables under `out`; a batch that is valid already is left alone."""
+    shots = Snapshots(files.sparkSession, out)
+    if batch_id in shots.read().get("batches", []):
+        return
     files = latest_delivery(files).persist()
     try:
         tables = ingest(files, dims, cats, options)
-        for name in sorted(tables, key=lambda n: n == "catalog"):  # last: by it readers find a batch
-            tables[name].write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{shots.root}/{_folder(name, batch_id)}")
     finally:
         files.unpersist()
+    now = shots.read()
+    shots.commit({"tables": {n: [*now["tables"].get(n, []), _folder(n, batch_id)] for n in TABLES},
+                  "batches": [*now.get("batches", []), batch_id]})
+    shots.vacuum()
+
+
+def _folder(name: str, batch_id: int, kind: str = "b") -> str:
+    return f"{name}/part={kind}{batch_id}/batch={batch_id}"
+
+
+def compact(spark: SparkSession, out: str) -> None:
+    """Writes the current rows of all batches as one and switches to it; the folders before go with the next
+    versions. A reader that began before keeps its version. Not while a batch is being added."""
+    shots = Snapshots(spark, out)
+    now = shots.read()
+    if len(now.get("batches", [])) < 2:
+        return
+    last = max(now["batches"])
+    for name, df in read_tables(spark, out).items():
+        df.write.mode("overwrite").parquet(f"{shots.root}/{_folder(name, last, 'c')}")
+    shots.commit({"tables": {n: [_folder(n, last, "c")] for n in TABLES}, "batches": now["batches"]})
+    shots.vacuum()
 
 
 def ingest_stream(stream: DataFrame, out: str, checkpoint: str, dims: DataFrame, cats: DataFrame,
@@ -80,7 +108,9 @@ def ingest_stream(stream: DataFrame, out: str, checkpoint: str, dims: DataFrame,
 
 
 def read_tables(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    """Current rows of every table: those of each document's latest batch."""
-    raw = {n: spark.read.parquet(f"{out}/{n}") for n in TABLES}
+    """Current rows of every table, as of one version: those of each document's latest batch."""
+    shots = Snapshots(spark, out)
+    now = shots.read()
+    raw = {n: shots.table(n, now).drop("part") for n in TABLES}
     latest = raw["catalog"].groupBy("doc_id").agg(F.max("batch").alias("batch"))
     return {n: df.join(latest, ["doc_id", "batch"], "left_semi").drop("batch") for n, df in raw.items()}

@@ -147,7 +147,7 @@ def test_a_half_written_batch_is_not_seen(spark, dims):
     SI.ingest_batch(spark.createDataFrame(rows, schema), 0, out, dims, cats, IngestOptions())
     before = {n: sorted(map(str, df.collect())) for n, df in SI.read_tables(spark, out).items()}
     assert {r.doc_id: r.error_message for r in SI.read_tables(spark, out)["catalog"].collect()} == {"d": None, "r": "unsupported format"}
-    spark.read.parquet(f"{out}/chunks/batch=0").write.parquet(f"{out}/chunks/batch=1")  # a batch that ended before its catalog
+    spark.read.parquet(f"{out}/chunks/part=b0/batch=0").write.parquet(f"{out}/chunks/part=b1/batch=1")  # a batch that ended before its commit
     assert {n: sorted(map(str, df.collect())) for n, df in SI.read_tables(spark, out).items()} == before
 
 

@@ -83,3 +83,55 @@ def test_bad_vectors_are_left_out(spark, ship):
     assert {r.reason: r.n for r in V.rejected_vectors(vectors, 2).collect()} == {"no vector": 1, "other length": 2, "null or not finite": 3}
     assert V.vector_topk(queries.where("query_id = 12"), vectors, 2).count() == 0
     assert "Exchange" not in V._pairs(vectors, queries, "chunk_id", "query_id", "embedding", 2, None, 4096)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_verbatim_documents(spark):
+    from docspark.operators.quality import verbatim_documents
+
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "quick brown foxes jump"), (3, None), (4, ""), (5, "a b"), (6, "xa by the quick brown fox")], "doc_id long, text string")
+    asked = spark.createDataFrame([(10, "quick brown fox"), (11, "he quick brown f"), (12, "a b"), (13, ""), (14, None), (15, "quick red fox"), (16, "fox"), (17, "a  b"), (10, "quick brown fox")],
+                                  "query_id long, text string")
+    got = sorted((r.query_id, r.doc_id) for r in verbatim_documents(asked, docs).collect())
+    assert got == [(10, 1), (10, 2), (10, 6), (11, 1), (11, 6), (12, 5), (12, 6), (16, 1), (16, 2), (16, 6)]
+
+
+def test_places_and_failing_encoder(spark):
+    from docspark.functions import hooks
+    from docspark.operators.catalog import newest_places
+    from docspark.plans.ingest import IngestOptions, ingest
+
+    docs = spark.createDataFrame([(i, T0 + dt.timedelta(minutes=i % 7)) for i in range(50)], "doc_id long, upload_date timestamp").repartition(5)
+    want = [i for i in sorted(range(50), key=lambda i: (-(i % 7), i))]
+    assert [r.doc_id for r in newest_places(docs).orderBy("place").collect()] == want
+    assert [r.place for r in newest_places(docs).orderBy("place").collect()] == list(range(1, 51))
+
+    def vector(text):
+        if "poison" in text:
+            raise RuntimeError("too hot")
+        return [1.0, 2.0]
+
+    text = "A sentence that is long enough to be a chunk of its own. "
+    files = spark.createDataFrame([("a", "a.txt", 1, T0, text * 3), ("b", "b.txt", 1, T0, text + "Here is some poison in it."), ("c", "c.txt", 1, T0, None)],
+                                  "doc_id string, filename string, file_size_bytes long, upload_date timestamp, text string")
+    dims = spark.createDataFrame([("language", "Language", True, 1)], "dimension_id string, display_name string, is_multi_label boolean, dim_order int")
+    cats = spark.createDataFrame([("language", "en")], "dimension_id string, name string")
+    t = ingest(files, dims, cats, IngestOptions(encoder=hooks.guarded(vector, "array<double>")))
+    rows = {r.doc_id: (r.status, r.error_message) for r in t["catalog"].collect()}
+    assert rows["a"] == ("completed", None) and rows["b"] == ("failed", "RuntimeError: too hot") and rows["c"][0] == "failed"
+    assert all({r.doc_id for r in t[n].select("doc_id").collect()} == {"a"} for n in ("doc_text", "pages", "chunks", "vectors", "postings"))
+
+
+def test_compaction_of_ingested_batches(spark, tmp_path):
+    from docspark.streaming import ingest as SI
+
+    kind = "doc_id string, filename string, file_size_bytes long, upload_date timestamp, text string"
+    dims = spark.createDataFrame([("language", "Language", True, 1)], "dimension_id string, display_name string, is_multi_label boolean, dim_order int")
+    cats, out = spark.createDataFrame([("language", "en")], "dimension_id string, name string"), str(tmp_path / "corpus")
+    for n, rows in enumerate([[("a", "The first text of a is here now."), ("b", "The only text of b is here now.")], [("a", "The second text of a, which is another.")]]):
+        SI.ingest_batch(spark.createDataFrame([(i, f"{i}.txt", 1, at(n), t) for i, t in rows], kind), n, out, dims, cats)
+    before = {n: sorted(map(str, df.collect())) for n, df in SI.read_tables(spark, out).items()}
+    SI.compact(spark, out)
+    SI.ingest_batch(spark.createDataFrame([("b", "b.txt", 9, at(9), "not taken twice")], kind), 1, out, dims, cats)
+    assert {n: sorted(map(str, df.collect())) for n, df in SI.read_tables(spark, out).items()} == before
+    assert Snapshots(spark, out).read()["tables"]["chunks"] == ["chunks/part=c1/batch=1"]
+    assert [r.text for r in SI.read_tables(spark, out)["doc_text"].where("doc_id = 'a'").collect()] == ["The second text of a, which is another."]
