@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bytetext import chunks
+from .common import trimmed
 
 WORDS = 400_000  # words, and transitions times 8, that a worker remembers before it starts afresh
 
@@ -298,3 +299,24 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
     included, as the file has no decoder step. Null ids decode to an empty text."""
     get = _shared(df, path)
     return _mapped(df, ids, text, "string", pa.string(), lambda: get().decode, "")
+
+
+def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Both: replaces `text` by `ids`, as bpe_encode gives them, and `decoded`, what bpe_decode makes of these ids.
+    Each row is encoded and decoded by one worker, so that a task holds one automaton."""
+    get = _shared(df, path)
+    columns = [c for c in df.columns if c not in (text, ids, decoded)]
+    taken = df.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(text))
+    schema = ", ".join(f"`{c}` {t}" for c, t in taken.dtypes[:-1]) + f", `{ids}` binary, `{decoded}` string"
+
+    def run(batches):
+        codec = get()
+        for batch in batches:
+            last = batch.num_columns - 1
+            for i, j, *_ in chunks(batch.column(last)):
+                part = batch.slice(i, j - i)
+                done = [codec.encode(x) for x in part.column(last).to_pylist()]
+                back = pa.array([codec.decode(x) for x in done], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(done, pa.binary()), back], names=[*columns, ids, decoded])
+
+    return taken.mapInArrow(trimmed(run), schema)

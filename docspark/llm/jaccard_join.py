@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from docspark.session import discard, materialize
 
 from .bytetext import chunks, mix, text_column, words
-from .common import components, record
+from .common import components, record, trimmed
 
 CLASS_RATIO = 1.4   # greatest over least size in a size class
 BLOCK = 256         # nodes an element is joined from in one block
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 s1, s2 = (np.ascontiguousarray(x[cuts[1:]] - x[cuts[:-1]]).view(np.int64) for x in total)
                 yield record(_SETS, [batch.column(0).slice(i, j - i), pa.array(size), pa.array(s1), pa.array(s2)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, n long, s1 long, s2 long")
 
 
 HELD = 1 << 18  # fragment keys held at once by a task
@@ -152,7 +152,7 @@ def fragment_rows(texts: DataFrame, n: int, t: float) -> DataFrame:
         if held:
             yield settle(held)
 
-    return texts.select("node", "text").mapInArrow(run, "node long, n long, key long, a long, behind long")
+    return texts.select("node", "text").mapInArrow(trimmed(run), "node long, n long, key long, a long, behind long")
 
 
 _GRAMS = [("node", pa.int64()), ("grams", pa.list_(pa.int64()))]
@@ -168,7 +168,7 @@ def sets_of(texts: DataFrame, n: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values.view(np.int64), pa.int64()))
                 yield record(_GRAMS, [batch.column(0).slice(i, j - i), lists])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, grams array<long>")
+    return texts.select("node", "text").mapInArrow(trimmed(run), "node long, grams array<long>")
 
 
 _LINKS = [("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())]
@@ -216,7 +216,7 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, fragments:
                 if found:
                     yield record(_LINKS, list(zip(*found)))
 
-    return rows.mapInArrow(run, _LINKS_DDL)
+    return rows.mapInArrow(trimmed(run), _LINKS_DDL)
 
 
 def _between(texts: DataFrame, where: DataFrame, n: int, t: float) -> DataFrame:
