@@ -10,7 +10,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.bpe import bpe_decode, bpe_encode
+from docspark.llm.bpe import bpe_round_trip
 from docspark.llm.common import table
 from docspark.llm.jaccard_join import similar_documents
 from docspark.llm.mixing import copies, mixing_rates
@@ -78,8 +78,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text that they decode to."""
     path = tokenizer_path()
-    ids = bpe_encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
-    done = bpe_decode(ids, path)
+    done = bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), path)
     return done.select("doc_id", "lang", "source", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
                        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
