@@ -44,14 +44,25 @@ def stage(fn):
 
 @stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored toxic go."""
+    """Documents scored toxic go.
+
+    A null or empty text has a score of its own (that of no words); rows that repeat an id are scored
+    each by its text; rows without an id stay unless their text is toxic. Without any labelled text all stay.
+    Whole texts of any length are read; all columns are handed on as they are.
+    """
     model = fit(docs, table(spark, sf_dir, "labels"))
+    if not len(model[0]) and not model[2]:  # nothing was learned, so every score is one half
+        return docs
     return score_texts(docs, model, docs.columns).where(F.col("score") < TOXIC).select(*docs.columns)
 
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more, the document with the smallest id stays."""
+    """Of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more, the document with the smallest id stays.
+
+    Null, empty and blank texts link with nothing and stay, and so do rows without an id. Rows that
+    repeat an id go or stay together. Equal texts are one group. An empty table stays empty.
+    """
     members, _ = similar_documents(docs.select("doc_id", "text"), n=5, percent=80)
     gone = members.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -59,13 +70,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut; every document stays with what is its own."""
+    """Passages that an earlier document has are cut; every document stays with what is its own.
+
+    Null texts are empty afterwards; a text that is repeated as a whole becomes empty and stays. Rows
+    with the same id don't cut each other, and rows without one come after all others. n_chars is counted anew.
+    """
     return remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 @stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated at fitted rates, so that expected tokens by quality meet their shares."""
+    """Documents are repeated at fitted rates, so that expected tokens by quality meet their shares.
+
+    No rate is below 1, so no document is lost. Null and empty texts have no tokens and come as often as
+    their rate says; rows that repeat an id get the greatest of their rates; rows without an id come once.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("domain"))
     rates, _ = mixing_rates(docs.select("doc_id", "text"), labels, QUALITY, least=1.0)
     rates = rates.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("rate").alias("_rate"))
@@ -76,7 +95,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the text that they decode to."""
+    """Token ids of every document, and the digest of the text that they decode to.
+
+    Null and empty texts have no ids. Every row, repeated or without an id, is encoded for itself.
+    """
     path = tokenizer_path()
     done = bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), path)
     return done.select("doc_id", "lang", "source", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
