@@ -76,3 +76,9 @@ def test_run_on_empty_documents(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).where(F.lit(True)).count() == 0
+
+
+def test_nothing_is_rejected_without_labels(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    assert P.toxicity(spark, docs, str(tmp_path)).count() == docs.count()
