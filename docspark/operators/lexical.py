@@ -54,9 +54,12 @@ def build_postings(doc_text: DataFrame, stemmer: Encoder | None = None, position
     then are counts. `lengths` adds the document's length over all indexed columns.
     """
     more = ["dl"] if lengths else []
-    # the length is a column before the rows are exploded, else it would be computed for every term
-    texts = doc_text.select("doc_id", "text", *([_length(doc_text, INDEXED).alias("dl")] if lengths else []))
-    rows = texts.select("doc_id", F.explode(row_counts(index_tokens("text"), positions)).alias("e"), *more).select("doc_id", "e.*", *more)
+    texts = doc_text.select("doc_id", index_tokens("text").alias("tokens"), *[c for c in INDEXED if c != "text" and c in doc_text.columns])
+    if lengths:
+        # a column before the rows are exploded, else it would be computed for every term
+        rest = _length(texts, [c for c in INDEXED if c != "text"])
+        texts = texts.withColumn("dl", rest + F.when(F.col("tokens").isNotNull(), F.size("tokens")).otherwise(0).cast("bigint"))
+    rows = texts.select("doc_id", F.explode(row_counts(F.col("tokens"), positions)).alias("e"), *more).select("doc_id", "e.*", *more)
     if stemmer is not None:
         rows = rows.withColumn("term", stemmer(F.col("term")))
     if only is not None:
