@@ -4,8 +4,13 @@ A sparse logistic model over the distinct words of a text, and over word beginni
 eight bytes by how dense they are in it (inflected languages have no list of words). It is fitted to minimise the
 log-loss on labelled texts, an L1 penalty, and a counterfactual penalty: in every labelled
 sentence that names a group, the identity term is swapped for the others of its kind and for
-a neutral word, and the squared change of the sentence's score is charged. So a model can't
-lean on the mention of a group, which keeps neutral mentions from being rejected.
+a neutral word, and the squared change of the sentence's score is charged, over all features
+that the swap changes: words and the word beginnings that grow or cease to be dense. So a model
+can't lean on the mention of a group, which keeps neutral mentions from being rejected.
+
+The sum of squared changes is a quadratic form of the weights. Its matrix has a row and a column
+for each feature made of an identity term, so it is bounded by the list of terms; tasks sum
+their share of it over the sentences they hold, and only these sums are moved.
 
 Fitting takes a bounded sample of the labelled texts (`sample` rows, by a hash of the id);
 the sample is small enough to be sent to the tasks that scan the texts. Candidate words come
@@ -102,7 +107,7 @@ def features(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = N
 
 def term_hashes(terms: list[str]) -> np.ndarray:
     out = np.zeros(len(terms), np.uint64)
-    for i, j, data, offsets in chunks(pa.array(terms)):
+    for i, j, data, offsets in chunks(pa.array(terms, pa.string())):
         out[i:j] = word_hashes(data, offsets)[0]
     return out
 
@@ -111,17 +116,98 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(h).view(np.int64)
 
 
-_WORDS = [("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.list_(pa.int64())), ("named", pa.list_(pa.int64()))]
+def _places(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where in `known` (any order) each hash lies, -1 if nowhere."""
+    order = np.argsort(known)
+    at = order[np.minimum(np.searchsorted(known, h, sorter=order), len(known) - 1)]
+    return np.where(known[at] == h, at, -1)
+
+
+class Kind:
+    """The features made of one kind of identity terms: their words, and their word beginnings a density."""
+
+    def __init__(self, terms: list[str]):
+        self.terms = term_hashes(terms)
+        begins = [term_hashes([t[:size] for size in PREFIXES if len(t) >= size]) for t in terms]
+        self.begins = np.unique(np.concatenate(begins))
+        self.has = np.array([np.isin(self.begins, b) for b in begins])
+        self.features = np.concatenate([self.terms, *[self.begins | np.uint64(k) for k in range(1, len(DENSITIES) + 1)]])
+
+    def present(self, words: np.ndarray, begins: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which features sentences of n words have, from their counts of terms and of beginnings."""
+        dense = [(begins >= 2) & (begins >= least * n[:, None]) for least in DENSITIES]
+        return np.concatenate([words >= 1, *dense], axis=1).astype(np.float32)
+
+    def products(self, hashed, unit: np.ndarray) -> np.ndarray:
+        """Sum of the outer products of feature changes, over all swaps of all sentences (`unit`: a word's sentence)."""
+        h, _, starts, ends, sums = hashed
+        m, p = self.has.shape
+        total = np.zeros((len(self.features),) * 2)
+        term = _places(h, self.terms)
+        mention, times = np.unique(unit[term > 0] * m + term[term > 0], return_counts=True)
+        if not len(mention):
+            return total
+        units, at = np.unique(mention // m, return_inverse=True)  # sentences that name a group
+        inside = np.flatnonzero(np.isin(unit, units))
+        own, n = np.searchsorted(units, unit[inside]), np.bincount(unit)[units]
+        hit = term[inside] >= 0
+        words = np.bincount(own[hit] * m + term[inside][hit], minlength=len(units) * m).reshape(-1, m)
+        begins = np.zeros(len(units) * p, np.int64)
+        for size in PREFIXES:
+            long = ends[inside] - starts[inside] >= size
+            first = starts[inside][long]
+            place = _places(_base(span_hash(sums, first, first + size)), self.begins)
+            begins += np.bincount(own[long][place >= 0] * p + place[place >= 0], minlength=len(units) * p)
+        begins = begins.reshape(-1, p)
+        has = self.has.astype(np.int64)
+        for i in range(0, len(mention), 2048):
+            x, u, k = mention[i:i + 2048] % m, at[i:i + 2048], times[i:i + 2048, None]
+            before = self.present(words[u], begins[u], n[u])
+            for y in range(m):
+                rows = np.flatnonzero(x != y)
+                swapped = words[u[rows]]
+                swapped[np.arange(len(rows)), x[rows]] = 0
+                swapped[:, y] += k[rows, 0]
+                after = self.present(swapped, begins[u[rows]] + k[rows] * (has[y] - has[x[rows]]), n[u[rows]])
+                change = after - before[rows]
+                total += change.T @ change
+        return total
+
+
+_SWAP = pa.struct([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+
+def _swaps(data: np.ndarray, hashed, kinds: list[Kind]) -> pa.StructArray:
+    """Non-zero products of feature changes of a chunk's swaps, a row for each kind and two features."""
+    _, row, starts, *_ = hashed
+    parts = [np.zeros((4, 0), np.int64)]
+    if len(row):
+        sentence = np.cumsum(_STOP[data])[starts]
+        unit = np.cumsum(np.append(0, (row[1:] != row[:-1]) | (sentence[1:] != sentence[:-1])))
+        for k, kind in enumerate(kinds):
+            sums = kind.products(hashed, unit)
+            a, b = np.nonzero(sums)
+            f = _signed(kind.features)
+            parts.append(np.stack([np.full(len(a), k), f[a], f[b], sums[a, b].astype(np.int64)]))
+    kind, a, b, n = np.concatenate(parts, axis=1)
+    return pa.StructArray.from_arrays([pa.array(kind, pa.int32()), *map(pa.array, (a, b, n))], fields=list(_SWAP))
+
+
+_WORDS = [("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.list_(pa.int64())), ("named", pa.list_(pa.int64())), ("swaps", pa.list_(_SWAP))]
 
 
 def _sample_words(rows: DataFrame) -> DataFrame:
-    """Per text: its distinct features (words), and the identity terms of its sentences (once a sentence)."""
+    """Per text: its distinct features (words), and the identity terms of its sentences (once a sentence);
+    the first text of a chunk also carries what the swaps in the chunk's sentences change (swaps)."""
     identity = np.sort(term_hashes([t for kind in IDENTITY for t in kind[1:]]))
 
     def run(batches):
+        kinds = [Kind(terms) for terms in IDENTITY]
         for batch in batches:
             for i, j, data, offsets in chunks(text_column(batch)):
-                h, row, start, *_ = word_hashes(data, offsets)
+                hashed = word_hashes(data, offsets)
+                h, row, start, *_ = hashed
+                swaps = _swaps(data, hashed, kinds)
                 hit = np.isin(h, identity)
                 sentence = np.cumsum(_STOP[data])[start[hit]] if hit.any() else np.zeros(0, np.int64)
                 named = np.unique(np.stack([row[hit], sentence, _signed(h[hit])]), axis=1) if hit.any() else np.zeros((3, 0), np.int64)
@@ -131,25 +217,25 @@ def _sample_words(rows: DataFrame) -> DataFrame:
                 cuts = np.searchsorted(row, np.arange(j - i + 1))
                 named_cuts = np.searchsorted(named[0], np.arange(j - i + 1))
                 lists = [pa.ListArray.from_arrays(pa.array(c, pa.int32()), pa.array(v, pa.int64())) for c, v in ((cuts, h), (named_cuts, named[2]))]
+                lists.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.full(j - i, len(swaps))), pa.int32()), swaps))
                 yield record(_WORDS, [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *lists])
 
-    return rows.mapInArrow(run, "doc_id long, toxic int, words array<long>, named array<long>")
+    return rows.mapInArrow(run, "doc_id long, toxic int, words array<long>, named array<long>, swaps array<struct<kind:int,a:long,b:long,n:long>>")
 
 
 def train(x_row: np.ndarray, x_col: np.ndarray, y: np.ndarray, n_words: int, swaps: tuple[np.ndarray, np.ndarray, np.ndarray],
           l1: float = L1, swap: float = SWAP, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Accelerated proximal gradient steps on log-loss + l1 |w| + swap * mean squared score change of swaps.
 
-    x: (row, word) occurrences; swaps: (word, other word or -1 for one the model doesn't know, number of sentences).
+    x: (row, feature) occurrences; swaps: (feature, feature, mean product of their changes).
     """
     n = len(y)
-    a, b, count = swaps
-    total = max(count.sum(), 1)
+    a, b, product = swaps
     per_row = np.bincount(x_row, minlength=n)
     col = np.bincount(x_col, minlength=n_words)
     reach = np.bincount(x_col, per_row[x_row] + 1, minlength=n_words) / 4 / n  # bounds the loss's curvature per word
-    pull = np.bincount(a, count, minlength=n_words) + np.bincount(b[b >= 0], count[b >= 0], minlength=n_words)
-    step = 1 / (reach + 4 * swap * pull / total + 1e-9)
+    pull = np.bincount(a, np.abs(product), minlength=n_words)  # row sums bound the penalty's curvature
+    step = 1 / (reach + 2 * swap * pull + 1e-9)
     step[col == 0] = 0
     step0 = 1 / ((per_row.mean() + 1) / 4)
     w, bias = np.zeros(n_words), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
@@ -158,9 +244,7 @@ def train(x_row: np.ndarray, x_col: np.ndarray, y: np.ndarray, n_words: int, swa
         z = v0 + np.bincount(x_row, v[x_col], minlength=n)
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
         grad = np.bincount(x_col, g[x_row], minlength=n_words)
-        change = v[a] - np.where(b >= 0, v[b], 0)
-        grad += 2 * swap / total * (np.bincount(a, change * count, minlength=n_words)
-                                    - np.bincount(b[b >= 0], (change * count)[b >= 0], minlength=n_words))
+        grad += 2 * swap * np.bincount(a, product * v[b], minlength=n_words)
         new = v - step * grad
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         new0 = v0 - step0 * g.sum()
@@ -170,6 +254,17 @@ def train(x_row: np.ndarray, x_col: np.ndarray, y: np.ndarray, n_words: int, swa
     return w, bias
 
 
+def _changes(seen: DataFrame, words: np.ndarray, mentions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean products of the changes of two features (places in `words`, sorted) over all mentions, each an even mix of its swaps."""
+    sums = seen.select(F.explode("swaps").alias("s")).select("s.*").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    known = sums.orderBy("kind", "a", "b").toArrow()  # features of identity terms: bounded by their list
+    kind, a, b, n = (known.column(c).to_numpy() for c in ("kind", "a", "b", "n"))
+    a, b = (_places(x, words) if len(words) else np.full(len(x), -1) for x in (a, b))
+    keep = (a >= 0) & (b >= 0)  # others have no weight
+    alternatives = np.array([len(k) - 1 for k in IDENTITY])
+    return a[keep], b[keep], n[keep] / alternatives[kind[keep]] / max(mentions, 1)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidates: int = CANDIDATES, swap: float = SWAP,
         min_texts: int = MIN_TEXTS) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted feature hashes, their weights and the bias, from docs (doc_id, text) and labels (doc_id, toxic)."""
@@ -196,15 +291,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidates: in
     cuts = pairs.column("words").combine_chunks()
     lengths = np.diff(cuts.offsets.to_numpy())
     x_row, x_col = np.repeat(np.arange(len(lengths)), lengths), np.searchsorted(words, cuts.flatten().to_numpy())
-    at = {int(w): i for i, w in enumerate(words)}
-    counts = {int(r[0]): r[1] for r in named}
-    swaps = []
-    for kind in IDENTITY:
-        hashes = _signed(term_hashes(kind)).tolist()
-        for x in hashes[1:]:
-            swaps += [(at[x], at.get(y, -1), counts[x] / (len(hashes) - 1)) for y in hashes if x in counts and y != x]
-    a, b, c = (np.array(v) for v in zip(*swaps)) if swaps else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    w, bias = train(x_row, x_col, pairs.column("toxic").to_numpy().astype(float), len(words), (a, b, c), swap=swap)
+    w, bias = train(x_row, x_col, pairs.column("toxic").to_numpy().astype(float), len(words),
+                    _changes(seen, words, sum(r[1] for r in named)), swap=swap)
     keep = w != 0
     hashes = words[keep].view(np.uint64)
     order = np.argsort(hashes)

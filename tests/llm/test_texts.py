@@ -19,7 +19,8 @@ from docspark.llm.langid import codewords, identify
 from docspark.llm.mixing import copies, fit_rates, mixing_rates
 from docspark.llm.ngram_lm import score_texts, train
 from docspark.llm.suffix_dedup import PART, Shard, remove_repeats, repeated, common_prefixes, suffix_order
-from docspark.llm.toxicity import IDENTITY, fit, toxicity
+from docspark.llm.bytetext import chunks
+from docspark.llm.toxicity import IDENTITY, Kind, _swaps, features, fit, score_texts as score_words, toxicity, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string"
 
@@ -391,6 +392,61 @@ def test_mentions_of_groups_are_not_toxic(spark):
     assert len({t for kind in IDENTITY for t in kind}) == sum(map(len, IDENTITY))
 
 
+def test_changes_of_swaps_match_swapped_sentences():
+    rng = random.Random(4)
+    kinds = [Kind(terms) for terms in IDENTITY]
+    plain = ["word", "Muslims", "blacksmith", "africanized", "womanly", "people", "patients", "a"]
+    texts = []
+    for _ in range(12):
+        w = [rng.choice(plain + rng.sample(sum(IDENTITY, []), 3)) for _ in range(rng.randint(0, 80))]
+        texts.append(" ".join(x + rng.choice(["", "", "", ".", "!"]) for x in w + w[:1] * 3))
+    texts += ["", "muslim", "Gay, gay gay; straight people", "x. " * 50]
+    got = Counter()
+    for _, _, data, offsets in chunks(pa.array(texts)):
+        for r in _swaps(data, word_hashes(data, offsets), kinds).to_pylist():
+            got[r["kind"], r["a"], r["b"]] += r["n"]
+
+    def having(sentence):
+        _, _, data, offsets = next(chunks(pa.array([sentence])))
+        return set(features(data, offsets)[1].view(np.int64).tolist())
+
+    want = Counter()
+    for sentence in (x for t in texts for x in re.split("[.!?\n]", t)):
+        low = [x.lower() for x in re.findall("[A-Za-z]+", sentence)]
+        for k, terms in enumerate(IDENTITY):
+            for x in set(low) & set(terms[1:]):
+                for y in terms:
+                    if y != x:
+                        a, b = having(" ".join(low)), having(" ".join(y if w == x else w for w in low))
+                        change = {f: -1 for f in a - b} | {f: 1 for f in b - a}
+                        want.update({(k, f, g): change[f] * change[g] for f in change for g in change})
+    assert {k: n for k, n in got.items() if n} == {k: n for k, n in want.items() if n}
+    assert any(a & 7 for _, a, _ in want)  # some word beginnings change
+
+
+def test_repeated_mentions_of_groups_are_not_toxic(spark):
+    """Toxic texts name a group several times, so its word beginnings are dense there."""
+    rng = random.Random(1)
+    rows, labels = [], []
+    for i in range(900):
+        w = rng.choices([f"word{k}" for k in range(150)], k=rng.randint(8, 40))
+        toxic = i % 4 == 0
+        if toxic and rng.random() < 0.8:  # the others can only be told by the group they name
+            w.insert(rng.randrange(len(w)), rng.choice(["vileword", "nastyword"]))
+        if rng.random() < (0.8 if toxic else 0.03):
+            w[3:3] = rng.choice(["immigrants", "muslims"]).split() * 3
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    plain, fair = fit(docs, marks, swap=0.0), fit(docs, marks, swap=10.0)
+    ask = spark.createDataFrame([(1, "word1 immigrants word2 immigrants immigrants word3 word4 word5"), (2, "word1 word2 nastyword word3"),
+                                 (3, "word1 people word2 people people word3 word4 word5")], "doc_id long, text string")
+    before, after = ({r["doc_id"]: r["score"] for r in score_words(ask, m, ["doc_id"]).collect()} for m in (plain, fair))
+    gap = [math.log(s[1] / (1 - s[1])) - math.log(s[3] / (1 - s[3])) for s in (before, after)]
+    assert gap[0] > 1 and abs(gap[1]) < gap[0] / 4  # naming the group moves the score far less
+    assert after[1] < 0.5 < after[2]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (None, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
