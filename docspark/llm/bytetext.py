@@ -25,7 +25,7 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
+    if "up" not in _powers or len(_powers["up"]) < n:
         size = max(n, CHUNK + 1)
         for key, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(size, base, np.uint64)
