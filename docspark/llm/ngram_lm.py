@@ -7,7 +7,8 @@ for a task. Continuation counts and the numbers of followers seen once, twice an
 sums of what the pair shards hold.
 
 Storage. Every shard is written as plain sorted arrays in the folder that spark.checkpoint.dir
-names; a repeated task replaces its files. Workers map these files into memory and look up
+names; a repeated task replaces its files. The model knows which files there are: one that is
+missing, or can't be seen yet, fails the task that asks for it. Workers map these files into memory and look up
 sorted queries, so a worker holds no model of its own and its size doesn't matter.
 """
 from __future__ import annotations
@@ -137,6 +138,8 @@ class Model:
         self.frequent = np.zeros(0, np.int64)
         self.discounts, self.low_discounts = np.zeros(4), np.zeros(4)
         self.pairs, self.low_kinds = 0, np.zeros(4)
+        #: which shards have a file of each name
+        self.files = {"count": np.array(sizes) > 0, **{name: np.zeros(shards, bool) for name in ("follows", "kinds", "pair")}}
 
     def number(self, sorted_hashes: np.ndarray) -> np.ndarray:
         """Numbers of words given by distinct hashes in order; -1 for those never seen."""
@@ -154,9 +157,8 @@ class Model:
         out = np.zeros((len(numbers), width) if width else len(numbers), np.int64)
         cuts = np.searchsorted(numbers, self.base)
         for s in np.flatnonzero(np.diff(cuts)):
-            path = f"{self.folder}/{name}_{s}.npy"
-            if os.path.exists(path):
-                out[cuts[s]:cuts[s + 1]] = _map(path)[numbers[cuts[s]:cuts[s + 1]] - self.base[s]]
+            if self.files[name][s]:
+                out[cuts[s]:cuts[s + 1]] = _map(f"{self.folder}/{name}_{s}.npy")[numbers[cuts[s]:cuts[s + 1]] - self.base[s]]
         return out
 
     def pair_shard(self, keys: np.ndarray) -> np.ndarray:
@@ -171,9 +173,8 @@ class Model:
         out = np.zeros(len(keys), np.int64)
         cuts = np.searchsorted(self.pair_shard(keys), np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)):
-            path = f"{self.folder}/pair_{s}.npy"
-            if os.path.exists(path):
-                known, ask = _map(path), keys[cuts[s]:cuts[s + 1]]
+            if self.files["pair"][s]:
+                known, ask = _map(f"{self.folder}/pair_{s}.npy"), keys[cuts[s]:cuts[s + 1]]
                 at = np.minimum(np.searchsorted(known, ask), len(known) - 1)
                 out[cuts[s]:cuts[s + 1]] = np.where(known[at] == ask, _map(f"{self.folder}/pair_count_{s}.npy")[at], 0)
         return out
@@ -296,14 +297,14 @@ def train(docs: DataFrame) -> Model:
         k = np.minimum(counts, 3)
         kinds = np.stack([np.add.reduceat((k == x).astype(np.uint32), first) for x in (1, 2, 3)], axis=1).astype(np.uint32)
         out += _split(3, v.astype(np.uint32), kinds, np.searchsorted(model.base, v.astype(np.int64), "right") - 1, shards)
-        out.append((-1, 4, np.bincount(np.minimum(counts, 5), minlength=6).astype(np.int64).tobytes(), None))
+        out.append((-1, 4, np.bincount(np.minimum(counts, 5), minlength=6).astype(np.int64).tobytes(), np.array([s]).tobytes()))
         return _blobs(out)
 
     def keep_kinds(key, t):
         s = key[0].as_py()
         kind, a, b = (t.column(c).to_pylist() for c in ("kind", "a", "b"))
         if s < 0:
-            return _blobs([(-1, 4, sum(np.frombuffer(x, np.int64) for x in a).tobytes(), None)])
+            return _blobs([(-1, 4, sum(np.frombuffer(x, np.int64) for x in a).tobytes(), b"".join(b))])
         size = int(model.base[s + 1] - model.base[s])
         out = []
         for k, name, width in ((2, "follows", 1), (3, "kinds", 3)):
@@ -319,8 +320,12 @@ def train(docs: DataFrame) -> Model:
     found = rows.mapInArrow(count_pairs, _BLOB_DDL).groupBy("shard").applyInArrow(keep_pairs, _BLOB_DDL)
     found = found.groupBy("shard").applyInArrow(keep_kinds, _BLOB_DDL)
     high, low = np.zeros(6, np.int64), np.zeros(6, np.int64)
-    for r in materialize(found).select("kind", "a").collect():  # six numbers a shard
+    for r in materialize(found).select("shard", "kind", "a", "b").collect():  # six numbers a shard, and the shards of pairs
         (high if r["kind"] == 4 else low)[:] += np.frombuffer(bytes(r["a"]), np.int64)
+        if r["kind"] == 4:
+            model.files["pair"][np.frombuffer(bytes(r["b"]), np.int64)] = True
+        else:
+            model.files["follows"][r["shard"]] = model.files["kinds"][r["shard"]] = True
     model.discounts, model.low_discounts = discounts(high[1:5].tolist()), discounts(low[1:5].tolist())
     model.pairs = int(high[1:].sum())
     model.low_kinds = np.array([0, low[1], low[2], low[3:].sum()], float)
@@ -334,9 +339,8 @@ def _frequent(spark: SparkSession, model: Model) -> np.ndarray:
     def run(batches):
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                path = f"{model.folder}/count_{s}.npy"
-                if os.path.exists(path):
-                    at = np.flatnonzero(np.asarray(_map(path)) > least)
+                if model.files["count"][s]:
+                    at = np.flatnonzero(np.asarray(_map(f"{model.folder}/count_{s}.npy")) > least)
                     if len(at):
                         yield pa.RecordBatch.from_arrays([pa.array(at + model.base[s])], names=["id"])
 
