@@ -9,7 +9,9 @@ few sums over all documents; the step itself is a column expression.
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,9 +75,29 @@ def posteriors(docs: DataFrame, model, columns: list[str]) -> DataFrame:
     return scored.select(*columns, "n_tokens", *[(F.col(f"s{k}") / norm).alias(f"p{k}") for k in range(len(domains))])
 
 
+class Fit(NamedTuple):
+    """Rows with their rate, the expected tokens a domain, the steps taken, and whether the loss had settled by then."""
+
+    rows: DataFrame
+    expected: list[float]
+    steps: int
+    converged: bool
+
+
+class Mix(NamedTuple):
+    """Rates a document, the domains, the tokens aimed at and expected in each, the steps taken, and whether they settled."""
+
+    rates: DataFrame
+    domains: list[str]
+    targets: list[float]
+    expected: list[float]
+    steps: int
+    converged: bool
+
+
 def fit_rates(state: DataFrame, targets: list[float], least: float = 0.0, steps: int = STEPS, tolerance: float = TOLERANCE,
-              ridge: float = RIDGE) -> tuple[DataFrame, list[float], int]:
-    """Adds `rate` >= least to rows with n_tokens and p0, p1, ...; gives the rows, the expected tokens a domain and the steps taken.
+              ridge: float = RIDGE) -> Fit:
+    """Adds `rate` >= least to rows with n_tokens and p0, p1, ..., in at most `steps` steps.
 
     Minimises sum of ((expected - target) / scale)^2 / 2 + ridge / 2 * token-weighted mean of
     (rate - 1)^2, the scale being the target, or a hundredth of an even share if that is more.
@@ -87,7 +109,7 @@ def fit_rates(state: DataFrame, targets: list[float], least: float = 0.0, steps:
     n = gram["n"] or 0
     state = state.withColumn("rate", F.lit(max(1.0, least))).withColumn("_v", F.col("rate"))
     if not n:
-        return state.drop("_v"), [0.0] * k, 0
+        return Fit(state.drop("_v"), [0.0] * k, 0, True)
     g = [[gram[f"g{min(a, b)}_{max(a, b)}"] * n / (scale[a] * scale[b]) for b in range(k)] for a in range(k)]
     bound = max(sum(abs(x) for x in row) for row in g) + ridge  # no eigenvalue is greater
     momentum, last, done, t = 1.0, None, 0, 0
@@ -97,7 +119,8 @@ def fit_rates(state: DataFrame, targets: list[float], least: float = 0.0, steps:
                          F.sum(F.col("n_tokens") * (F.col("rate") - 1) * (F.col("rate") - 1)).alias("far")).first()
         done = [sums[f"r{d}"] for d in range(k)]
         loss = sum(((done[d] - targets[d]) / scale[d]) ** 2 for d in range(k)) + ridge * sums["far"] / n
-        if t == steps or last is not None and abs(last - loss) <= tolerance * max(loss, tolerance) and t % 4 == 0:
+        settled = last is not None and abs(last - loss) <= tolerance * max(loss, tolerance)
+        if t == steps or settled and t % 4 == 0:
             break
         if last is not None and loss > last:
             momentum = 1.0  # restart
@@ -111,25 +134,27 @@ def fit_rates(state: DataFrame, targets: list[float], least: float = 0.0, steps:
         t += 1
         if t % KEEP_EVERY == 0:
             state = materialize(state)
-    return state.drop("_v"), done, t
+    return Fit(state.drop("_v"), done, t, settled)
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float | None = None, least: float = 0.0,
-                 sample: int = SAMPLE) -> tuple[DataFrame, list[str]]:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float | None = None, least: float = 0.0,
+        sample: int = SAMPLE, steps: int = STEPS) -> Mix:
     """A sampling rate for every row of docs (doc_id, text, any others), so that expected domain tokens have the given weights.
 
     labels: (doc_id, domain). `weights` are shares of `budget` tokens (default: the tokens
     there are; with `least` > 0 no less than leaves room for it). Domains without a weight aim
-    at 0, weights of domains without labelled texts are left out. Gives doc_id, n_tokens,
-    rate, and p0, p1, ..., the posterior of each of the domains returned beside it. Null,
+    at 0, weights of domains without labelled texts are left out. The rates have doc_id, n_tokens,
+    rate, and p0, p1, ..., the posterior of each of the domains returned beside them. Null,
     empty and blank texts have no tokens, the prior as posterior and a rate like any other.
-    Without any labels every rate is max(1, least). Repeated ids are rows of their own.
+    Without any labels every rate is max(1, least). Repeated ids are rows of their own, columns
+    of docs other than doc_id and text are not read. A fit that has not settled within `steps`
+    steps warns and says so; targets that no rates can meet (by `least`) settle at the nearest.
     """
     model = classifier(docs, labels, sample)
     rows = materialize(posteriors(docs.select("doc_id", "text"), model, ["doc_id"]))
     domains = model[0]
     if not domains:
-        return rows.withColumn("rate", F.lit(max(1.0, least))), []
+        return Mix(rows.withColumn("rate", F.lit(max(1.0, least))), [], [], [], 0, True)
     share = [max(0.0, weights.get(d, 0.0)) for d in domains]
     if not sum(share):
         raise ValueError("no domain has a weight")
@@ -138,8 +163,18 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
     total = float(budget if budget is not None else have["n"] or 0)
     if least > 0:
         total = max([total, *(least * (have[f"d{d}"] or 0) / s for d, s in enumerate(share) if s > 0)])
-    state, _, _ = fit_rates(rows, [total * s for s in share], least)
-    return state.select("doc_id", "n_tokens", "rate", *[f"p{d}" for d in range(len(domains))]), domains
+    targets = [total * s for s in share]
+    fit = fit_rates(rows, targets, least, steps)
+    if not fit.converged:
+        warnings.warn(f"rates have not settled after {fit.steps} steps: tokens expected {fit.expected}, aimed at {targets}")
+    rates = fit.rows.select("doc_id", "n_tokens", "rate", *[f"p{d}" for d in range(len(domains))])
+    return Mix(rates, domains, targets, fit.expected, fit.steps, fit.converged)
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float | None = None, least: float = 0.0,
+                 sample: int = SAMPLE) -> tuple[DataFrame, list[str]]:
+    """The rates and domains of `mix`."""
+    return mix(docs, labels, weights, budget, least, sample)[:2]
 
 
 def copies(rate: Column, *key: Column, seed: int = 1) -> Column:

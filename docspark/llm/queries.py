@@ -17,7 +17,7 @@ from .hard_negatives import hard_negatives
 from .jaccard_join import similar_documents
 from .langid import identify
 from .merkle import fold, manifest, path_digest
-from .mixing import mixing_rates
+from .mixing import mix
 from .ngram_lm import score_texts, train
 from .packing import cut, pack
 from .suffix_dedup import remove_repeats
@@ -139,9 +139,10 @@ def domain_labels(spark, d):
 
 @query("op1_mixing")
 def op1(spark, d):
-    rates, domains = mixing_rates(table(spark, d, "documents").select("doc_id", "text"), domain_labels(spark, d), WEIGHTS)
-    return rates.select("doc_id", "n_tokens", F.round("rate", 6).alias("rate"),
-                        *[F.round(f"p{k}", 6).alias(f"p_{x}") for k, x in enumerate(domains)])
+    m = mix(table(spark, d, "documents").select("doc_id", "text"), domain_labels(spark, d), WEIGHTS)
+    return m.rates.select("doc_id", "n_tokens", F.round("rate", 6).alias("rate"),
+                          *[F.round(f"p{k}", 6).alias(f"p_{x}") for k, x in enumerate(m.domains)],
+                          F.lit(m.steps).alias("fit_steps"), F.lit(m.converged).alias("fit_converged"))
 
 
 @query("op6_lm_score")

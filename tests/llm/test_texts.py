@@ -16,7 +16,7 @@ from docspark.llm import chat
 from docspark.llm.bpe import Codec, bpe_decode, bpe_encode
 from docspark.llm.jaccard_join import similar_documents
 from docspark.llm.langid import codewords, identify
-from docspark.llm.mixing import copies, fit_rates, mixing_rates
+from docspark.llm.mixing import classifier, copies, fit_rates, mix, mixing_rates, posteriors
 from docspark.llm.ngram_lm import score_texts, train
 from docspark.llm.suffix_dedup import PART, Shard, remove_repeats, repeated, common_prefixes, suffix_order
 from docspark.llm.bytetext import chunks
@@ -301,6 +301,23 @@ def test_scores_match_brute_force(spark, learn):
         assert math.isclose(r["score"], want[r["doc_id"]][4], rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_a_missing_file_of_the_model_is_an_error(spark):
+    df = spark.createDataFrame([(i, f"a b c{i} a") for i in range(30)], "doc_id long, text string").withColumn("held_out", F.lit(False))
+    model = train(df)
+    assert all(model.files[name].any() for name in ("count", "follows", "kinds", "pair"))
+    model.folder += "-lost"
+    with pytest.raises(Exception, match="-lost"):
+        score_texts(df, model).collect()
+
+
+def test_scores_of_nothing_and_of_equal_ids(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string").withColumn("held_out", F.lit(False))
+    assert score_texts(df.limit(0), train(df.limit(0))).count() == 0
+    got = score_texts(df, train(df)).orderBy("doc_id").collect()
+    assert len(got) == 3 and got[1] == got[2] and got[0]["n_tokens"] == 1
+    assert all(math.isfinite(r["score"]) for r in score_texts(df, train(df.limit(0))).collect())
+
+
 # --- chat
 
 def test_chat_round_trip_of_control_strings():
@@ -462,14 +479,59 @@ def test_rates_meet_targets(spark):
     n = rng.integers(1, 200, 800)
     df = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(800)], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
     targets = [float(n.sum()) * s for s in (0.6, 0.3, 0.1)]
-    rows, expected, steps = fit_rates(df, targets)
+    rows, expected, steps, converged = fit_rates(df, targets)
     got = rows.collect()
     r = np.array([x["rate"] for x in sorted(got, key=lambda x: x["doc_id"])])
     sums = (r * n) @ p
-    assert (r >= 0).all() and np.allclose(sums, expected) and np.abs(sums / targets - 1).max() < 0.05 and 0 < steps <= 60
+    assert (r >= 0).all() and np.allclose(sums, expected) and np.abs(sums / targets - 1).max() < 0.05 and 0 < steps <= 60 and converged
     assert fit_rates(df.limit(0), targets)[1] == [0.0] * 3
 
 
+def test_rates_are_the_least_squares_rates(spark):
+    """Against a plain projected gradient in numpy, run to its end."""
+    rng = np.random.default_rng(3)
+    p, n = rng.dirichlet([0.5, 0.5], 60), rng.integers(1, 90, 60).astype(float)
+    df = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(60)], "doc_id long, n_tokens long, p0 double, p1 double")
+    targets = n.sum() * np.array([0.75, 0.25])
+    fit = fit_rates(df, targets.tolist(), least=0.25, steps=400, tolerance=1e-9, ridge=0.1)
+    got = np.array([r["rate"] for r in fit.rows.orderBy("doc_id").collect()])
+    scale, mean = np.maximum(targets, targets.sum() / 200), n.sum()
+    want = np.ones(60)
+    for _ in range(60_000):
+        slope = p @ (((want * n) @ p - targets) / scale**2) * mean + 0.1 * (want - 1)
+        want = np.maximum(0.25, want - 0.2 * slope)
+    assert fit.converged and np.abs(got - want).max() < 5e-3
+
+
+def test_posteriors_match_brute_force(spark):
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.choices("ab cd ef gh ij kl".split(), k=rng.randint(0, 150)))) for i in range(40)]
+    docs = spark.createDataFrame(texts + [(90, None), (91, "long word " * 30_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "xyz"[i % 3]) for i in range(30)], "doc_id long, domain string")
+    count, of = {d: Counter() for d in "xyz"}, dict(texts)
+    for i in range(30):
+        count["xyz"[i % 3]].update(of[i].split())
+    for r in posteriors(docs, classifier(docs, labels), ["doc_id"]).collect():
+        w = {90: "", 91: "long word " * 30_000}.get(r["doc_id"], of.get(r["doc_id"])).split()
+        odds = [sum(math.log((count[d][x] + 1) / (count[d].total() + 4096)) for x in w) * 64 / max(len(w), 64) for d in "xyz"]
+        e = [math.exp(o - max(odds)) for o in odds]
+        assert r["n_tokens"] == len(w) and np.allclose([r["p0"], r["p1"], r["p2"]], np.array(e) / sum(e), atol=1e-4)
+
+
+def test_a_mix_says_whether_it_settled(spark):
+    docs = spark.createDataFrame([(i, "good word " * 9 if i % 2 else "bad stuff here " * 6, "x", -1.0) for i in range(40)],
+                                 "doc_id long, text string, n_tokens string, rate double")  # clashing columns
+    labels = spark.createDataFrame([(i, "g" if i % 2 else "b") for i in range(20)], "doc_id long, domain string")
+    m = mix(docs, labels, {"g": 0.9, "b": 0.1})
+    assert (m.converged or m.steps == 60) and np.allclose(m.expected, m.targets, rtol=0.01)
+    assert m.rates.columns == ["doc_id", "n_tokens", "rate", "p0", "p1"] and m.rates.count() == 40
+    with pytest.warns(UserWarning, match="not settled"):
+        short = mix(docs, labels, {"g": 0.9, "b": 0.1}, steps=1)
+    assert not short.converged and short.steps == 1 and len(short.expected) == len(short.targets) == 2
+    none = mix(docs.limit(0), labels, {"g": 1.0})
+    assert none.converged and none.rates.count() == 0
+
+
 def test_mixing_of_odd_rows(spark):
     docs = spark.createDataFrame([(i, "good word " * 9 if i % 2 else "bad stuff here " * 6) for i in range(40)] + [(100, None), (101, ""), (None, "good"), (3, "good word")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, "g" if i % 2 else "b") for i in range(0, 20)] + [(0, None), (None, "g")], "doc_id long, domain string")
