@@ -135,3 +135,19 @@ def test_compaction_of_ingested_batches(spark, tmp_path):
     assert {n: sorted(map(str, df.collect())) for n, df in SI.read_tables(spark, out).items()} == before
     assert Snapshots(spark, out).read()["tables"]["chunks"] == ["chunks/part=c1/batch=1"]
     assert [r.text for r in SI.read_tables(spark, out)["doc_text"].where("doc_id = 'a'").collect()] == ["The second text of a, which is another."]
+
+
+def test_last_rows_are_a_table(spark, tmp_path):
+    """No Python per document; last rows are folded with the counts, and a row folded away is not counted again."""
+    out = str(tmp_path / "live")
+    last = []
+    for n, (i, minute, tags) in enumerate([("a", 5, ["x"]), ("b", 1, ["x", "y"]), ("a", 4, ["old"]), ("a", 6, ["z"]), ("a", 6, ["z"])]):
+        rows = spark.createDataFrame([(i, at(minute), "completed", None, tags), (i, at(0), "failed", None, tags)], KIND)
+        new = L.catalog_rows(rows).groupBy("doc_id").agg({"row": "max"}).withColumnRenamed("max(row)", "row")
+        newer = L.newer_rows(new, Snapshots(spark, out).table("last", None, new.schema))
+        plan = L.signed_rows(newer)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan
+        L.save_changes(L.signed_rows(newer), n, out, folders=2, last=newer.select("doc_id", "row"))
+        last.append({r.tag: r.n for r in L.live_tags(spark, out).collect()})
+    assert last == [{"x": 1}, {"x": 2, "y": 1}, {"x": 2, "y": 1}, {"x": 1, "y": 1, "z": 1}, {"x": 1, "y": 1, "z": 1}]
+    assert len(Snapshots(spark, out).read()["tables"]["last"]) <= 2
