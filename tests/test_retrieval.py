@@ -179,3 +179,14 @@ def test_classify_thresholds(spark):
     docs = spark.createDataFrame([(1, deg(45)), (2, deg(-68)), (3, deg(-90)), (4, deg(10))], "doc_id long, embedding array<double>")
     got = {r.doc_id: r.classifications for r in CL.classify(docs, dims, lab).collect()}
     assert got == {1: {"m": ["a", "b"], "s": ["a"]}, 2: {"s": ["a"]}, 4: {"m": ["a"], "s": ["a"]}}
+
+
+def test_keyphrases_move_no_token(spark):
+    text = "Red foxes met NATO, a red fox. NATO met Ann; red foxes ran!\nAnn saw red foxes: red foxes saw Ann."
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "of the 12 ab"), (4, "<b>One</b>")], "doc_id long, text string")
+    got = KW.keyphrases(docs, 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Window", "Aggregate", "Sort "))
+    rows = got.collect()
+    assert [(r.doc_id, r.pos) for r in rows if r.doc_id == 1] == [(1, p) for p in range(4)] and {r.doc_id for r in rows} == {1, 4}
+    assert "red foxes" in [r.phrase for r in rows] and KW.keyphrases(docs, 9, n=1).where("phrase LIKE '% %'").count() == 0
