@@ -229,3 +229,17 @@ def test_late_record_does_not_restart_an_ended_document(spark):
     seen = {(r.doc_id, r.step, r.status) for r in spark.read.parquet(out).collect()}
     assert {x for x in seen if x[0] == 1} == {(1, "completed", "completed")}
     assert (2, "saving", "failed") in seen and (3, "saving", "failed") not in seen
+
+
+def test_a_large_bucket_is_split(spark, tmp_path):
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        docs = spark.range(40_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("term"))
+        ST.write_index(docs.select("doc_id"), docs.select("doc_id"), docs, str(tmp_path / "i"), buckets=2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    got = ST.read_index(spark, str(tmp_path / "i"))["postings"]
+    files = got.groupBy("bucket", F.input_file_name().alias("file")).count().groupBy("bucket").count().collect()
+    assert len(files) == 2 and all(r["count"] > 1 for r in files)
+    assert got.count() == 40_000 and got.select("doc_id").distinct().count() == 40_000
