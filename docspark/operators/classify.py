@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.hooks import label_scorer
-from ..functions.text import parse_suggestion, title_case
+from ..functions.text import let, parse_suggestion, title_case
 from .vectors import similar_above
 
 # Labels of a taxonomy are typed in by people; more than this is a mistake, not a taxonomy.
@@ -88,7 +88,23 @@ def classify_with(docs: DataFrame, dims: DataFrame, cats: DataFrame, scorer=labe
     n = F.aggregate("d", F.lit(0), lambda a, x: a + F.size(x["labels"]))
     checked = packed.select(F.when(n > MAX_LABELS, F.raise_error(F.lit("taxonomy too large"))).otherwise(F.col("d")).alias("d"))
     pairs = docs.withColumn("dim", F.explode(checked.scalar()))
-    scored = pairs.select(
-        "doc_id", F.col("dim.dimension_id").alias("dimension_id"),
-        F.explode(scorer(F.col(text), F.col("dim.labels"), F.col("dim.is_multi_label"))).alias("label", "similarity"))
-    return _assign(scored.withColumn("order", -F.col("similarity")), dims)
+    scored = pairs.select("doc_id", "dim.dimension_id", "dim.is_multi_label",
+                          scorer(F.col(text), F.col("dim.labels"), F.col("dim.is_multi_label")).alias("scores"))
+    multi = F.col("is_multi_label")
+    # The labels of one dimension are chosen inside the row; what is moved then is the result.
+    passed = F.sort_array(F.transform(F.filter(F.map_entries("scores"), lambda e: e["value"] > F.when(
+        multi, K.MULTI_LABEL_THRESHOLD).otherwise(K.SINGLE_LABEL_THRESHOLD)), lambda e: F.struct((-e["value"]).alias("order"), e["key"].alias("label"))))
+    kept = lambda multi, found: F.when(multi, found).otherwise(F.slice(found, 1, 1))
+    chosen = scored.withColumn("passed", passed).where(F.size("passed") > 0).select("doc_id", F.struct(
+        "dimension_id", F.coalesce(multi, F.lit(False)).alias("multi"), kept(multi, F.col("passed")).alias("found")).alias("d"))
+
+    def merged(all_rows):  # a document that comes in several rows has one entry a dimension
+        def entry(k):
+            same = F.filter(all_rows, lambda x: x["dimension_id"] == k)
+            return let(same, lambda m: F.struct(k.alias("dimension_id"), F.transform(
+                kept(F.get(m, F.lit(0))["multi"], F.sort_array(F.flatten(F.transform(m, lambda x: x["found"])))), lambda x: x["label"]).alias("v")))
+
+        return F.transform(F.array_distinct(F.transform(all_rows, lambda x: x["dimension_id"])), entry)
+
+    return chosen.groupBy("doc_id").agg(F.sort_array(F.collect_list("d")).alias("d")).select(
+        "doc_id", F.map_from_entries(let(F.col("d"), merged)).alias("classifications"))

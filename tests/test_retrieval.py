@@ -190,3 +190,12 @@ def test_keyphrases_move_no_token(spark):
     rows = got.collect()
     assert [(r.doc_id, r.pos) for r in rows if r.doc_id == 1] == [(1, p) for p in range(4)] and {r.doc_id for r in rows} == {1, 4}
     assert "red foxes" in [r.phrase for r in rows] and KW.keyphrases(docs, 9, n=1).where("phrase LIKE '% %'").count() == 0
+
+
+def test_classify_with_moves_results_only(spark):
+    dims = spark.createDataFrame([("m", "M", True, 1), ("s", "S", False, 2)], "dimension_id string, display_name string, is_multi_label boolean, dim_order int")
+    cats = spark.createDataFrame([(d, x) for d in "ms" for x in ("aa", "bb", "cc", "dd")], "dimension_id string, name string")
+    docs = spark.createDataFrame([(1, "aa " * 6 + "bb " * 8), (1, "cc " * 9), (2, "dd " * 4), (3, None), (4, "")], "doc_id long, text string")
+    got = CL.classify_with(docs, dims, cats)
+    assert got._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(doc_id#") == 1
+    assert {r.doc_id: r.classifications for r in got.collect()} == {1: {"m": ["cc", "bb", "aa"], "s": ["cc"]}, 2: {"s": ["dd"]}}
