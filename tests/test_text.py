@@ -109,3 +109,18 @@ def test_summarizer_hook(values):
 def test_index_token_count_matches(values):
     rows = [("Élève éf ́x a_b 12,5 ß",), ("",), ("...",)]
     assert all(a == len(b) for a, b in values(rows, "t string", T.count_index_tokens("t"), T.index_tokens("t")))
+
+
+def test_stemming_a_batch_costs_the_same_however_many_terms_were_seen():
+    import itertools
+    import time
+
+    import pyarrow as pa
+
+    stem = hooks.porter().func
+    many = ["".join(t) + "ing" for t in itertools.islice(itertools.product("bcdfglmnprst", repeat=5), 200_000)]
+    stem(pa.array(many))
+    start = time.process_time()
+    for _ in range(100):
+        assert stem(pa.array(["connected", None, "caresses", "connected"])).to_pylist() == ["connect", None, "caress", "connect"]
+    assert time.process_time() - start < 2
