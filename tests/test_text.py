@@ -124,3 +124,17 @@ def test_stemming_a_batch_costs_the_same_however_many_terms_were_seen():
     for _ in range(100):
         assert stem(pa.array(["connected", None, "caresses", "connected"])).to_pylist() == ["connect", None, "caress", "connect"]
     assert time.process_time() - start < 2
+
+
+def test_nfkc_holds_few_texts_of_a_batch_as_strings():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["\uff41\u2460 " * 5_000, None, "plain"] * 1_000)
+    tracemalloc.start()
+    out = hooks.nfkc().func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out[:3].to_pylist() == ["a1 " * 5_000, None, "plain"] and len(out) == 3_000
+    assert peak < 10_000_000  # 60 MB and more when the whole batch is strings
