@@ -199,3 +199,14 @@ def test_classify_with_moves_results_only(spark):
     got = CL.classify_with(docs, dims, cats)
     assert got._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(doc_id#") == 1
     assert {r.doc_id: r.classifications for r in got.collect()} == {1: {"m": ["cc", "bb", "aa"], "s": ["cc"]}, 2: {"s": ["dd"]}}
+
+
+def test_cosine_of_odd_rows_a_batch_at_a_time(spark):
+    nan = float("nan")
+    rows = [(0, [3.0, 4.0], [3.0, 4.0]), (1, [1.0, 0.0], [0.0, 2.0]), (2, [0.0, 0.0], [1.0, 1.0]), (3, None, [1.0, 1.0]),
+            (4, [1.0, None], [1.0, 1.0]), (5, [1.0], [1.0, 1.0]), (6, [nan, 1.0], [1.0, 1.0]), (7, [-2.0, 0.0], [1.0, 0.0]), (8, [], [])]
+    df = spark.createDataFrame(rows, "i int, a array<double>, b array<double>").coalesce(1).select("i", V.cosine(F.col("a"), F.col("b")).alias("c"))
+    got = [r["c"] for r in df.orderBy("i").collect()]
+    assert [round(x, 9) if x is not None and x == x else x for x in got[:6] + got[7:]] == [1.0, 0.0, 0.0, 0.0, 0.0, None, -1.0, 0.0]
+    assert got[6] != got[6]
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()  # before: lambdas over single components

@@ -138,3 +138,16 @@ def test_nfkc_holds_few_texts_of_a_batch_as_strings():
     tracemalloc.stop()
     assert out[:3].to_pylist() == ["a1 " * 5_000, None, "plain"] and len(out) == 3_000
     assert peak < 10_000_000  # 60 MB and more when the whole batch is strings
+
+
+def test_hash_encoder_of_odd_texts(values):
+    rows = [(None,), ("",), ("...",), ("One two one",), ("straße",)] + [(f"w{i}",) for i in range(2_100)]
+    got = values(rows, "t string", hooks.hash_encoder("t"))
+    from hashlib import md5
+    for (text,), v in zip(rows, got):
+        want = [0.0] * 64
+        for w in (text or "").replace(".", "").lower().split():
+            code = md5(w.encode()).digest()[0] % 128
+            want[code % 64] += 1 if code < 64 else -1
+        norm = sum(x * x for x in want) ** 0.5
+        assert v == [x / norm if norm else 0.0 for x in want]
