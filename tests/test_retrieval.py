@@ -210,3 +210,21 @@ def test_cosine_of_odd_rows_a_batch_at_a_time(spark):
     assert [round(x, 9) if x is not None and x == x else x for x in got[:6] + got[7:]] == [1.0, 0.0, 0.0, 0.0, 0.0, None, -1.0, 0.0]
     assert got[6] != got[6]
     assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()  # before: lambdas over single components
+
+
+def test_phrase_matches_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = {i: [rng.choice("abc") for _ in range(rng.randrange(0, 40))] for i in range(30)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    phrases = ["a b", "a a", "a b a", "b c a b", "a z"]
+    items = lexical.match_items(spark.createDataFrame([(k, [p.replace(" ", "_")]) for k, p in enumerate(phrases)], "query_id long, terms array<string>"))
+    found = lexical.phrase_matches(items, lexical.build_postings(docs))
+    want = {}
+    for p in map(str.split, phrases):
+        for i, t in texts.items():
+            n = sum(t[j:j + len(p)] == p for j in range(len(t)))
+            if n:
+                want[" ".join(p), i] = n
+    assert {(r["item"], r["doc_id"]): r["tf"] for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(transform(positions" not in plan  # before: a row for every position of every token
