@@ -1,9 +1,12 @@
 import math
+import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks import inputs as I
 from docspark.functions import hooks
 from docspark.operators import classify as CL, fusion, keywords as KW, lexical, vectors as V
 from docspark.plans.search import hybrid_search
@@ -228,3 +231,38 @@ def test_phrase_matches_against_brute_force(spark):
     assert {(r["item"], r["doc_id"]): r["tf"] for r in found.collect()} == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(transform(positions" not in plan  # before: a row for every position of every token
+
+
+@pytest.mark.parametrize("terms, weights, batch", [(16_384, 65_536, 10_000), (16_384, 65_536, 7), (3, 65_536, 7), (16_384, 3, 7)])
+def test_best_documents_are_found_where_the_rows_are(spark, monkeypatch, terms, weights, batch):
+    """Any bound on what is sent to tasks gives the ranks of the whole sum; within the bounds, no sums of all pairs are exchanged."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.randrange(0, 12))) for _ in range(150)] + ["aa bb"] * 40 + ["", None, "zz"]
+    docs = spark.createDataFrame([(i, t, f"aa{i}.txt") for i, t in enumerate(texts)], "doc_id long, text string, filename string").repartition(3)
+    q = qs(spark, "aa bb", "cc dd ee cc", "aa", "nowhere", "zz hh nowhere", "")
+    items = lexical.match_items(lexical.query_terms(q))
+    want = lexical.rank_keyword(lexical.bm25(items, lexical.build_postings(docs), lexical.doc_stats(docs)), 10)
+    monkeypatch.setattr(lexical, "SHIP_TERMS", terms)
+    monkeypatch.setattr(lexical, "SHIP_WEIGHTS", weights)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = lexical.keyword_ranks(q, docs, top=10)
+        rows = lambda df: sorted((r.query_id, r.doc_id, r.kw_rank, round(r.bm25, 6)) for r in df.collect())
+        assert rows(got) == rows(want) and {r[0] for r in rows(got)} == {0, 1, 2, 4}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pairs = re.search(r"hashpartitioning\(query_id#\d+L, doc_id#\d+L", got._jdf.queryExecution().executedPlan().toString())
+    assert (pairs is None) == (min(terms, weights) > 3)
+
+
+def test_catalog_of_looked_up_documents_only(spark):
+    """What is not looked up is dropped before any column is derived."""
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    some = spark.createDataFrame([(i,) for i in (3, 5, 5, 10**9)], "doc_id long")
+    for tags in (False, True):
+        whole = I.catalog(spark, "/root/testdata/sf0.001", tags).where("doc_id IN (3, 5)")
+        part = I.catalog(spark, "/root/testdata/sf0.001", tags, only=some)
+        assert sorted(map(str, part.collect())) == sorted(map(str, whole.collect())) and part.count() == 2
+    plan = I.catalog(spark, "/root/testdata/sf0.001", False, only=some)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") > plan.index("AS summary")
