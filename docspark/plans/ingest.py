@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.hooks import Encoder, hash_encoder, outcome, summarize
 from ..functions.tags import doc_type
-from ..functions.text import empty_entities, head, key_findings, normalize_text
+from ..functions.text import empty_entities, head, lead_and_findings, normalize_text
 from ..operators.chunking import cap_chunks, chunk_pages, number_chunks
 from ..operators.classify import classify, label_union
 from ..operators.keywords import content_keywords, document_tags
@@ -55,9 +55,10 @@ def document_metadata(docs: DataFrame, dims: DataFrame, cats: DataFrame,
     none, no_map = F.array().cast("array<string>"), F.create_map().cast("map<string,array<string>>")
     tags = document_tags(docs, label_union(cats), o.keyword_encoder, keywords=o.keywords)
     classes = classify_text(docs, dims, cats, o.encoder, o.classify_chars)
+    shown = docs.withColumn("_m", lead_and_findings("text"))
+    summary = F.col("_m.summary") if o.summarizer is None else summarize(F.col("text"), o.summarizer, o.summary_words)
     return (
-        docs.select("doc_id", summarize(F.col("text"), o.summarizer, o.summary_words).alias("summary"),
-                    key_findings("text").alias("key_findings"), empty_entities().alias("entities"))
+        shown.select("doc_id", summary.alias("summary"), F.col("_m.key_findings").alias("key_findings"), empty_entities().alias("entities"))
         .join(classes, "doc_id", "left").join(tags, "doc_id", "left")
         .withColumns({"classifications": F.coalesce("classifications", no_map), "tags": F.coalesce("tags", none)})
     )
