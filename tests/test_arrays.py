@@ -1,5 +1,6 @@
 """Steps that cut and count texts as arrays of a batch, against counting them word by word."""
 import unicodedata
+from collections import defaultdict
 from hashlib import md5
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions.hooks import DIMENSIONS, hash_encoder
 from docspark.functions.text import fallback_summary, key_findings, lead_and_findings
-from docspark.operators import keywords, phrases
+from docspark.operators import keywords, lexical, phrases
 from docspark.functions import constants as K
 
 TEXTS = {
@@ -41,6 +42,24 @@ def _runs(text, inside):
     return out
 
 
+def test_postings_are_counted_as_arrays(odd, monkeypatch):
+    want = {}
+    folded = {r[0]: r[1] or "" for r in odd.select("doc_id", lexical.fold("text")).collect()}
+    for k, text in folded.items():
+        at = defaultdict(list)
+        for i, t in enumerate(_runs(text, lambda c: unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co")):
+            at[t].append(i)
+        want[k] = [(t, len(at[t]), at[t]) for t in sorted(at, key=lambda t: t.encode())]
+    for piece in (1, 1 << 21):  # a text each, or all of them at once
+        monkeypatch.setattr(lexical, "PIECE", piece)
+        rows = lexical.document_terms(odd, positions=True, lengths=True)
+        assert "MapInArrow" in plan(rows) and "sort_array" not in plan(rows)
+        got = {r[0]: ([(e.term, e.tf, e.positions) for e in r[1]], r[2]) for r in rows.collect()}
+        assert got == {k: (x, sum(e[1] for e in x)) for k, x in want.items()}
+        some = {r[0]: ([e.term for e in r[1]], r[2]) for r in lexical.document_terms(odd, False, True, ["alpha", "ete"]).collect()}
+        assert some == {k: ([e[0] for e in x if e[0] in ("alpha", "ete")], sum(e[1] for e in x)) for k, x in want.items()}
+
+
 def test_hash_encoder_cuts_texts_itself(odd):
     low = {r[0]: r[1] or "" for r in odd.select("doc_id", F.lower("text")).collect()}
     got = odd.select("doc_id", hash_encoder("text").alias("v"))
